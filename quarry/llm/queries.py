@@ -106,7 +106,7 @@ ps AS (SELECT doc_id, nw, sz, pos, array_to_string(ws[pos + 1:pos + sz], ' ') AS
 h AS (SELECT ps.*, w FROM ps JOIN wt USING (s)),
 st AS (SELECT DISTINCT doc_id, nw, pos, i.l, i.sz FROM h JOIN i ON h.s = i.s AND h.sz = i.sz),
 f AS (SELECT st.doc_id, st.nw, st.pos, st.l, st.sz, h.s, any_value(h.w) AS w, count(*) AS n FROM st JOIN h ON h.doc_id = st.doc_id AND h.sz = st.sz AND h.pos BETWEEN st.pos AND st.pos + st.l - st.sz GROUP BY ALL),
-fw AS (SELECT doc_id, nw, pos, l, sz, sum(w * n) + (least(l, nw - pos) - sz + 1 - sum(n)) AS weight FROM f GROUP BY ALL),
+fw AS (SELECT doc_id, nw, pos, l, sz, sum(w * n) + (least(l, nw - pos) - sz + 1 - sum(n)) AS weight FROM f GROUP BY doc_id, nw, pos, l, sz),
 c AS (SELECT f.doc_id, f.pos, f.l, i.item_id, sum(least(f.n, i.n) * i.w) AS common FROM f JOIN i ON f.s = i.s AND f.l = i.l GROUP BY ALL),
 r AS (SELECT c.doc_id, c.item_id, c.pos, common / CAST(weight + iweight - common AS DOUBLE) AS similarity FROM c JOIN fw ON fw.doc_id = c.doc_id AND fw.pos = c.pos AND fw.l = c.l JOIN iwt ON iwt.item_id = c.item_id)
 SELECT doc_id, item_id, CAST(pos AS INTEGER) AS start, round(similarity, 6) AS similarity FROM r WHERE similarity >= 0.75 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, pos) = 1""",
