@@ -30,7 +30,7 @@ def pass_at_k(cases: DataFrame) -> DataFrame:
     k = cases.groupBy("run_id").agg((F.max("sample") + 1).cast("long").alias("k"))
     each = by_case.join(k, "run_id").withColumn("p1", stats.pass_at_k(F.col("n"), F.col("c"), F.lit(1))).withColumn("pk", stats.pass_at_k(F.col("n"), F.col("c"), F.col("k")))
     out = each.groupBy("run_id").agg(F.count("*").alias("cases"), F.max("k").alias("k"), F.avg("p1").alias("p1"), F.avg("pk").alias("pk"), F.avg((F.col("c") == F.col("n")).cast("double")).alias("all_pass"))
-    lo, hi = stats.wilson(F.round(F.col("p1") * F.col("cases")), F.col("cases"))
+    lo, hi = stats.wilson(F.round(F.round(F.col("p1") * F.col("cases"), 9)), F.col("cases"))
     return out.select("run_id", "cases", "k", F.round("p1", 6).alias("pass_at_1"), F.round("pk", 6).alias("pass_at_k"), F.round("all_pass", 6).alias("all_pass"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
 
 

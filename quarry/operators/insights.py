@@ -12,24 +12,24 @@ from quarry.functions import stats
 
 def markers(points: DataFrame, kinds: dict[str, Column]) -> DataFrame:
     """First time and number of sessions for each name of each kind; kinds: kind -> name column (null: none)."""
-    one = [points.select(F.lit(kind).alias("kind"), name.alias("name"), "at", "session_id").where("name is not null") for kind, name in kinds.items()]
-    return reduce(DataFrame.union, one).groupBy("kind", "name").agg(F.min("at").alias("first_seen_at"), F.count_distinct("session_id").alias("sessions"))
+    one = [points.select(F.lit(kind).alias("kind"), name.alias("name"), "at_ms", "session_id").where("name is not null") for kind, name in kinds.items()]
+    return reduce(DataFrame.union, one).groupBy("kind", "name").agg(F.min("at_ms").alias("first_seen_at"), F.count_distinct("session_id").alias("sessions"))
 
 
 def trailing_median(points: DataFrame, value: str, window: int = 15) -> DataFrame:
     """Median of the last window points of each series, by time."""
-    w = Window.partitionBy("series").orderBy("at", "session_id").rowsBetween(-(window - 1), 0)
+    w = Window.partitionBy("series").orderBy("at_ms", "session_id").rowsBetween(-(window - 1), 0)
     values = F.collect_list(value).over(w)
-    return points.select("series", "session_id", "at", F.round(stats.array_median(values), 6).alias("median"), F.size(values).cast("long").alias("n"))
+    return points.select("series", "session_id", "at_ms", F.round(stats.array_median(values), 6).alias("median"), F.size(values).cast("long").alias("n"))
 
 
 def impact(points: DataFrame, marks: DataFrame, window: int = 20, least: int = 5) -> DataFrame:
     """Medians of the window sessions before and after each marker (ties land after), and their differences.
 
     marks has few rows; points are ranked on each side by time."""
-    side = F.when(F.col("at") < F.col("first_seen_at"), "before").otherwise("after")
+    side = F.when(F.col("at_ms") < F.col("first_seen_at"), "before").otherwise("after")
     j = points.join(F.broadcast(marks)).withColumn("side", side)
-    near = F.when(F.col("side") == "before", -F.col("at")).otherwise(F.col("at"))
+    near = F.when(F.col("side") == "before", -F.col("at_ms")).otherwise(F.col("at_ms"))
     tie = F.when(F.col("side") == "before", -F.col("ord")).otherwise(F.col("ord"))
     j = j.withColumn("r", F.row_number().over(Window.partitionBy("kind", "name", "side").orderBy(near, tie))).where(F.col("r") <= window)
     agg = j.groupBy("kind", "name").agg(*(x for s in ("before", "after") for x in (
@@ -43,29 +43,29 @@ def impact(points: DataFrame, marks: DataFrame, window: int = 20, least: int = 5
 def trend(points: DataFrame, value: str) -> DataFrame:
     """Per series the medians of its first and second half and their difference."""
     w = Window.partitionBy("series")
-    half = F.row_number().over(w.orderBy("at", "session_id")) > F.floor(F.count("*").over(w) / 2)
+    half = F.row_number().over(w.orderBy("at_ms", "session_id")) > F.floor(F.count("*").over(w) / 2)
     m = points.withColumn("late", half).groupBy("series").agg(F.count("*").alias("n"), F.coalesce(F.median(F.when(~F.col("late"), F.col(value))), F.lit(0.0)).alias("a"), F.coalesce(F.median(F.when(F.col("late"), F.col(value))), F.lit(0.0)).alias("b"))
     return m.select("series", "n", F.round("a", 6).alias("before"), F.round("b", 6).alias("after"), F.round(F.col("b") - F.col("a"), 6).alias("trend"))
 
 
 def change_scores(points: DataFrame, value: str, window: int = 25) -> DataFrame:
     """z of the difference of means of window points before and from each place; series of two windows or more."""
-    w = Window.partitionBy("series").orderBy("at", "session_id")
+    w = Window.partitionBy("series").orderBy("at_ms", "session_id")
     a, b = w.rowsBetween(-window, -1), w.rowsBetween(0, window - 1)
     n = F.count("*").over(Window.partitionBy("series"))
-    s = points.select("series", "at", F.col(value).alias("v"), (F.row_number().over(w) - 1).alias("i"), n.alias("n"), F.avg(value).over(a).alias("ma"), F.avg(value).over(b).alias("mb"), F.coalesce(F.var_samp(value).over(a), F.lit(0.0)).alias("va"), F.coalesce(F.var_samp(value).over(b), F.lit(0.0)).alias("vb"))
+    s = points.select("series", "at_ms", F.col(value).alias("v"), (F.row_number().over(w) - 1).alias("i"), n.alias("n"), F.avg(value).over(a).alias("ma"), F.avg(value).over(b).alias("mb"), F.coalesce(F.var_samp(value).over(a), F.lit(0.0)).alias("va"), F.coalesce(F.var_samp(value).over(b), F.lit(0.0)).alias("vb"))
     se = F.sqrt(F.col("va") / window + F.col("vb") / window)
     z = F.when(se > 1e-9, F.abs(F.col("mb") - F.col("ma")) / se).otherwise(0.0)
-    return s.where((F.col("n") >= 2 * window) & (F.col("i") >= window) & (F.col("i") <= F.col("n") - window)).select("series", F.col("i").cast("long").alias("i"), "at", F.col("ma").alias("before"), F.col("mb").alias("after"), z.alias("z"))
+    return s.where((F.col("n") >= 2 * window) & (F.col("i") >= window) & (F.col("i") <= F.col("n") - window)).select("series", F.col("i").cast("long").alias("i"), "at_ms", F.col("ma").alias("before"), F.col("mb").alias("after"), z.alias("z"))
 
 
 def change_points(scores: DataFrame, window: int = 25, least: float = 3.0, top: int = 12) -> DataFrame:
     """Greedy suppression: by falling z (ties to the earlier), places within a window of one that is taken are dropped."""
-    strong = scores.where(F.col("z") >= least).groupBy("series").agg(F.array_sort(F.collect_list(F.struct((-F.col("z")).alias("minus"), "i", "at", "before", "after"))).alias("all"))
+    strong = scores.where(F.col("z") >= least).groupBy("series").agg(F.array_sort(F.collect_list(F.struct((-F.col("z")).alias("minus"), "i", "at_ms", "before", "after"))).alias("all"))
     none = F.slice(F.col("all"), 1, 0)
     taken = F.aggregate("all", none, lambda acc, s: F.when(F.exists(acc, lambda t: F.abs(t["i"] - s["i"]) < window), acc).otherwise(F.concat(acc, F.array(s))))
     rows = strong.select("series", F.inline(taken))
-    return rows.select("series", "i", "at", F.round(-F.col("minus"), 6).alias("z"), F.round(F.col("after") - F.col("before"), 6).alias("delta")).orderBy(F.desc("z"), "series", "i").limit(top)
+    return rows.select("series", "i", "at_ms", F.round(-F.col("minus"), 6).alias("z"), F.round(F.col("after") - F.col("before"), 6).alias("delta")).orderBy(F.desc("z"), "series", "i").limit(top)
 
 
 def stride(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:

@@ -19,8 +19,8 @@ def _parts(query: str) -> list[tuple[str, bool]]:
     return [(w.rstrip("*").lower(), w.endswith("*")) for w in query.split() if w.rstrip("*")]
 
 
-def search(index: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """Documents with all words of the query, by BM25, best first; ties by id. A word with a * matches as a prefix."""
+def search(index: DataFrame, query: str, limit: int | None = 50) -> DataFrame:
+    """Documents with all words of the query, by BM25, best first; ties by id; limit: 1 to 200, None for all. A word with a * matches as a prefix."""
     parts = _parts(query)
     if not parts:
         return index.select("doc", F.lit(0.0).alias("score")).where(F.lit(False))
@@ -33,7 +33,8 @@ def search(index: DataFrame, query: str, limit: int = 50) -> DataFrame:
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     found = hit.groupBy("doc").agg(F.count("*").alias("parts"), F.sum(weight).alias("score")).where(F.col("parts") == len(parts))
-    return found.select("doc", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc").limit(max(1, min(200, limit)))
+    ranked = found.select("doc", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc")
+    return ranked if limit is None else ranked.limit(max(1, min(200, limit)))
 
 
 def phrase(index: DataFrame, words: list[str]) -> DataFrame:

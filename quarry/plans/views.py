@@ -34,7 +34,7 @@ def sess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("day").cast("string")).alias("session_id"),
         "*",
-        millis("started_at").alias("at"),
+        millis("started_at").alias("at_ms"),
         millis("last_event_at").alias("until"),
         named("m", "user_id", 5).alias("model"),
         named("p", "user_id", 11).alias("project"),
@@ -44,7 +44,7 @@ def sess(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SESS = """SELECT CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id, user_id, CAST(ts AS DATE) AS day, min(ts) AS started_at, max(ts) AS last_event_at,
  count(*) AS n_events, count(*) FILTER (event_type IN ('click', 'view')) AS tool_calls, count(*) FILTER (event_type = 'error') AS tool_errors,
- coalesce(sum(value) FILTER (event_type = 'purchase'), 0.0) AS cost, count(*) FILTER (event_type = 'signup') AS signups, epoch_ms(min(ts)) AS at, epoch_ms(max(ts)) AS until,
+ coalesce(sum(value) FILTER (event_type = 'purchase'), 0.0) AS cost, count(*) FILTER (event_type = 'signup') AS signups, epoch_us(min(ts)) // 1000 AS at_ms, epoch_us(max(ts)) // 1000 AS until,
  'm' || CAST(user_id % 5 AS VARCHAR) AS model, 'p' || CAST(user_id % 11 AS VARCHAR) AS project, 's' || CAST(user_id % 3 AS VARCHAR) AS source FROM events GROUP BY user_id, CAST(ts AS DATE)"""
 
 
