@@ -15,6 +15,7 @@ each; extra columns are ignored; an empty table gives an empty result. Very long
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 #: Distinct pieces that a worker remembers; beyond it, the memory starts anew.
 REMEMBERED = 1_000_000
+#: Symbols of a pre-token from which merging goes by a heap.
+LONG = 40
 
 _worker: dict[str, Counter] = {}
 
@@ -46,6 +49,8 @@ def byte_symbols() -> list[str]:
 
 def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     """Byte-pair merging: the pair of lowest rank is merged, leftmost first, until none is left."""
+    if len(symbols) > LONG:
+        return _merged_long(symbols, ranks)
     while len(symbols) > 1:
         best, at = None, -1
         for i in range(len(symbols) - 1):
@@ -58,6 +63,28 @@ def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return symbols
 
 
+def _merged_long(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The same in n log n steps: a heap of (rank, place) over a linked list."""
+    n = len(symbols)
+    after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+    text: list[str | None] = list(symbols)
+    heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := ranks.get((a, b))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if text[i] != a or j < 0 or text[j] != b:  # one side has merged since
+            continue
+        text[i], text[j] = a + b, None
+        after[i] = after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        for x, y in ((before[i], i), (i, after[i])):
+            if x >= 0 and y >= 0 and (r := ranks.get((text[x], text[y]))) is not None:
+                heapq.heappush(heap, (r, x, text[x], text[y]))
+    return [t for t in text if t is not None]
+
+
 def proven_single(vocab: dict[str, int], merges: list[tuple[str, str]]) -> set[str]:
     """Vocabulary strings with a word end that, as a pre-token of their own, are one token; without the end mark."""
     ranks = {m: i for i, m in enumerate(merges)}
@@ -89,7 +116,7 @@ class Counter(dict):
             self.clear()
         n = 0
         for token in self.find(piece):
-            text = token if token.isascii() else "".join(map(self.symbols.__getitem__, token.encode()))
+            text = token if token.isascii() and token.isprintable() else "".join(map(self.symbols.__getitem__, token.encode()))
             if text in self.single:
                 n += 1
             else:
