@@ -110,7 +110,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     inside = spans.join(near, ["uid", "span", "size"]).where("at >= pos and at <= pos + len - size")
     window = ["uid", "id", "words", "pos", "len", "size"]
     features = store(inside.repartition("uid", "pos", "len").groupBy(*window, "h").agg(F.first("w").alias("w"), F.count("*").alias("n")), "bench-features")
-    windows = _fingerprints(features, window).join(features.groupBy(*window).agg(F.sum("n").alias("shared")), window)
+    windows = _fingerprints(features, window).join(features.groupBy("uid", "pos", "len", "size").agg(F.sum("n").alias("shared")), ["uid", "pos", "len", "size"])
     # every other shingle of the window weighs 1
     total = F.least(F.col("len"), F.col("words") - F.col("pos")) - F.col("size") + 1 - F.col("shared")
     windows = windows.withColumn("weight", F.col("weight") + total)
