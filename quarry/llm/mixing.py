@@ -17,7 +17,7 @@ Nulls and odd cases: a null text has no tokens; a document without tokens is cho
 before the quota is reached; a null language, source or domain forms a branch named ``unknown``; a null id counts as an
 empty id in the key; equal keys (repeated ids) are taken in the order of the rows. A branch of weight 0 or less gets
 nothing. A budget of 0, an empty table, or one without tokens gives an empty result. Extra columns are kept in mix() and
-may have any names.
+may have any names; columns named domain, n_tokens and epoch are replaced by the mixture's.
 """
 
 from __future__ import annotations
@@ -124,8 +124,8 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with its columns, a row for each copy taken, and the columns domain, n_tokens and epoch."""
-    chosen = store(plan(docs, id_col, text_col, **options).select(F.col("uid").alias("__quarry_uid"), F.col("domain").alias("__quarry_domain"), F.col("n_tokens").alias("__quarry_tokens"), "times"), "mix-chosen")
+    chosen = store(plan(docs, id_col, text_col, **options).select(F.col("uid").alias("__quarry_uid"), F.col("domain").alias("__quarry_domain"), F.col("n_tokens").alias("__quarry_tokens"), F.col("times").alias("__quarry_times")), "mix-chosen")
     small = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = docs.withColumn("__quarry_uid", F.monotonically_increasing_id()).join(F.broadcast(chosen) if small else chosen, "__quarry_uid")
     own = [c for c in docs.columns if c not in ("domain", "n_tokens", "epoch")]
-    return rows.select(*own, F.col("__quarry_domain").alias("domain"), F.col("__quarry_tokens").alias("n_tokens"), F.explode(F.sequence(F.lit(1), "times")).alias("epoch"))
+    return rows.select(*own, F.col("__quarry_domain").alias("domain"), F.col("__quarry_tokens").alias("n_tokens"), F.explode(F.sequence(F.lit(1), "__quarry_times")).alias("epoch"))

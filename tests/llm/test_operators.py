@@ -93,7 +93,8 @@ def test_filters_keep_columns(spark, odd):
 
 def test_mixture(spark, odd):
     out = mixing.mixture(odd)
-    assert out.where("doc_id = 1").count() == 0 and out.count() > 0
+    # a document without tokens is part of whole epochs: its small leaf is taken twice
+    assert out.where("doc_id = 1").count() == 2 and out.where("doc_id = 11").count() == 2
     assert mixing.mixture(odd.limit(0)).count() == 0
     # a branch that cannot give its share passes it to its siblings first
     rows = [(i, "a b c d e f g h i j", lang, f"src{s}") for i, (lang, s) in enumerate([("en", 0)] * 2 + [("en", 4)] * 50 + [("de", 0)] * 50)]
