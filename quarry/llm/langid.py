@@ -130,9 +130,10 @@ def pooled(p: Params, data: np.ndarray, offsets: np.ndarray, at_once: int = 4096
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_each: int) -> tuple[list[str], Params | None]:
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null").where(remainder("id", 4) != 2)
     order = F.xxhash64("id", "text", F.lit(8))
-    # about 4 * rows_each rows of a language are ranked, however many it has; one row of counts for each output of the network
-    counts = known.groupBy("lang").agg(F.count("*").alias("rows"))
-    few = known.join(F.broadcast(counts), "lang").where(order / F.lit(2.0**64) + 0.5 <= F.lit(4.0 * rows_each) / F.col("rows"))
+    # about 4 * rows_each rows of a language are ranked, however many it has (its least hash always is, should one row repeat
+    # so often that no other is there); one row of counts for each output of the network
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows"), F.min(order).alias("least"))
+    few = known.join(F.broadcast(counts), "lang").where((order / F.lit(2.0**64) + 0.5 <= F.lit(4.0 * rows_each) / F.col("rows")) | (order == F.col("least")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "id", "text"))
     ids = few.select("id", "lang", "text", rank.alias("rank")).where(F.col("rank") <= rows_each).drop("rank").orderBy("lang", "id", "text").toArrow()
     langs = sorted(set(ids.column("lang").to_pylist()))

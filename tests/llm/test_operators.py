@@ -300,3 +300,11 @@ def test_pipeline(spark):
     assert {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, d, SF).collect()} == good
     final = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in final.select("doc_id").collect()} <= good - leaked
+
+
+def test_langid_of_rows_that_repeat(spark):
+    """Languages whose rows are one row, repeated beyond what is ranked, are learned all the same."""
+    d = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de")], "doc_id long, text string, lang string")
+    d = d.crossJoin(spark.range(50)).drop("id")
+    got = {(r.doc_id, r.lang_pred) for r in langid.language_ids(d, rows_each=2).collect()}
+    assert got == {(1, "en"), (2, "de")}
