@@ -122,8 +122,10 @@ def backward(p: Params, f: dict, symbols: np.ndarray, first: np.ndarray, y: np.n
     return g
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 5, seed: int = 5, bytes_a_step: int = 120_000) -> Params:
-    """Adam over steps of about bytes_a_step bytes of whole texts; both classes weigh as they occur."""
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = 5, seed: int = 5, bytes_a_step: int = 120_000, least_steps: int = 150) -> Params:
+    """Adam over steps of about bytes_a_step bytes of whole texts; both classes weigh as they occur.
+
+    A small sample is gone through more than epochs times, until least_steps steps are made."""
     rng = np.random.default_rng(seed)
     draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     p: Params = {
@@ -138,7 +140,9 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 5, seed: int = 5
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
     done, size = 0, np.array([len(t) + 64 for t in texts])
-    total = epochs * max(1, int(size.sum() // bytes_a_step))
+    each = max(1, int(size.sum() // bytes_a_step))
+    epochs = max(epochs, -(-least_steps // each))
+    total = epochs * each
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         cut = np.flatnonzero(np.diff(np.cumsum(size[order]) // bytes_a_step, prepend=-1))
