@@ -78,6 +78,16 @@ def groups(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]
         a = b
 
 
+def blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Every batch in parts of about BLOCK bytes of text, each with its text_buffer: what a task holds besides a batch stays bounded."""
+    for batch in batches:
+        data, off = text_buffer(batch.column(column))
+        for a, b in groups(off):
+            yield batch.slice(a, b - a), data[off[a] : off[b]], off[a : b + 1] - off[a]
+        del batch, data, off
+        pa.default_memory_pool().release_unused()
+
+
 # Words: maximal runs of bytes other than 0x20 and 0x09-0x0D, with A-Z in lower case.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

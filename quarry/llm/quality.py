@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import groups, remainder, text_buffer
+from quarry.llm.common import blocks, remainder
 
 CHUNK, LAGS, EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 256, 48, 6, 8, 4, 24, 16
 HOP = CHUNK // 2
@@ -203,10 +203,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
-        for batch in batches:
-            data, off = text_buffer(batch.column("__text"))
-            out = [np.full(b - a, p) if isinstance(p, float) else score(p, data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in groups(off)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*(f.name for f in fields), "score"])
+        for part, data, off in blocks(batches, "__text"):
+            out = np.full(len(off) - 1, p) if isinstance(p, float) else score(p, data, off)
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(out)], names=[*(f.name for f in fields), "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
     back = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep or [])]

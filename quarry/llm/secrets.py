@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_buffer
+from quarry.llm.common import blocks
 
 #: The base patterns (fixed values); kinds in the order in which ties are listed.
 BASE = {
@@ -229,9 +229,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fields = [f for f in rows.schema.fields if f.name != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("__text")
-            data, off = text_buffer(texts)
+        for part, data, off in blocks(batches, "__text"):
+            texts = part.column("__text")
             look = worth_reading(data, off)
             counts, base_col, span_col, masked = [], [], [], []
             for i in range(len(texts)):
@@ -245,16 +244,16 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     if not spans:
                         masked.append(texts[i].as_py())
                         continue
-                    parts, at = [], 0
+                    pieces, at = [], 0
                     for a, _, b in spans:
                         if a >= at:
-                            parts += [text[at:a], mask]
+                            pieces += [text[at:a], mask]
                         at = max(at, b)
-                    masked.append("".join([*parts, text[at:]]))
+                    masked.append("".join([*pieces, text[at:]]))
             c = np.array(counts, np.int64).reshape(-1, 3)
             extra = [pa.array(masked, pa.string())] if mask is not None else []
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in fields), *(pa.array(c[:, j]) for j in range(3)), pa.array(base_col, pa.string()), pa.array(span_col, pa.string()), *extra],
+                [*(part.column(f.name) for f in fields), *(pa.array(c[:, j]) for j in range(3)), pa.array(base_col, pa.string()), pa.array(span_col, pa.string()), *extra],
                 names=[*(f.name for f in fields), "n_assign", "n_access", "n_hex", "base", "spans", *(["masked"] if extra else [])],
             )
 
