@@ -308,3 +308,25 @@ def test_langid_of_rows_that_repeat(spark):
     d = d.crossJoin(spark.range(50)).drop("id")
     got = {(r.doc_id, r.lang_pred) for r in langid.language_ids(d, rows_each=2).collect()}
     assert got == {(1, "en"), (2, "de")}
+
+
+@pytest.mark.parametrize("most", [1 << 20, 300, 0])
+def test_lm_scores_by_whole_trie(spark, most):
+    """No context is pruned, however few codes are sent to the tasks: scores equal those of a trie with every count."""
+    raw = [(r.doc_id, r.text or "") for r in docs(spark).collect()]
+    parts = []
+    for i, t in raw:
+        data = np.frombuffer(t.encode(), np.uint8)
+        parts.append((zlib.crc32(str(i).encode()) % 7 != 2, lm.codes(data, np.array([0, len(data)]))[0]))
+    code = np.concatenate([c for train, c in parts if train])
+    grams, contexts = [], []
+    for k in range(lm.ORDER + 1):
+        keys, n = lm.runs(code & lm._mask(k + 1))
+        names, back = np.unique(keys >> np.uint64(8), return_inverse=True)
+        grams.append((keys, n))
+        contexts.append((names, np.bincount(back, n)))
+    trie = lm.Trie(grams, contexts)
+    want = sorted((i, float(trie.log10(c).sum())) for (i, _), (_, c) in zip(raw, parts, strict=True))
+    got = sorted((r.doc_id, r.score) for r in lm.lm_scores(docs(spark), most=most).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(abs(x - y) <= 1e-9 * abs(y) for (_, x), (_, y) in zip(got, want, strict=True))
