@@ -2,10 +2,12 @@
 
 From labelled credentials (LABELLED, made by the rules of public credential formats) a probabilistic prefix tree is built
 and statistically compatible states are merged (state merging by Hoeffding bounds on the frequencies of leaving a state by
-each symbol and of ending in it), which gives one probabilistic automaton. Every candidate, a maximal run of at least
-SHORTEST credential characters, is scored by the likelihood of its symbols under the automaton against that of ordinary
-words, per symbol; those above the cut between labelled credentials and labelled ordinary strings are added as spans of
-kind ``format``. A candidate inside a base span adds nothing; base spans always stay.
+each symbol and of ending in it), which gives one probabilistic automaton. Candidates lie in maximal runs of at least
+SHORTEST credential characters: they start with the run or after a mark (= / . + -) in it, if the automaton has the two
+characters there, and end with the run or before a mark. They are scored by the likelihood of their symbols under the
+automaton against that of ordinary words, per symbol; of those above the cut between labelled credentials and labelled
+ordinary strings the best that don't overlap are added as spans of kind ``format``. A candidate inside a base span adds
+nothing; base spans always stay.
 
 Nulls and odd cases: a null or empty text has no spans, counts 0 and the hash of the empty string; ids may be null or
 repeat; extra columns are ignored; an empty table gives an empty result. Offsets are code points, the end exclusive.
@@ -35,6 +37,7 @@ KINDS = ("assign", "access", "hex", "format")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 SHORTEST = 20
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
+MARK = re.compile("[=/.+-]")
 _CHARS = np.zeros(256, bool)
 _CHARS[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-", np.uint8)] = True
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -170,6 +173,37 @@ class Formats:
         self.other = math.log2(0.5 / sum(counts.values()))
         least, most = min(map(self.ratio, good)), max(map(self.ratio, plain))
         self.cut = (least + most) / 2
+        go = self.automaton.go
+        self.head = re.compile("(?<=[=/.+-])(?:" + "|".join(sorted(re.escape(a + b) for a, q in go[0].items() for b in go[q])) + ")")
+
+    def above(self, run: str, start: int, ends: set[int]) -> Iterator[tuple[int, int, float]]:
+        """(end, start, score) of the candidates from start that are above the cut. A score is the ratio times the length."""
+        auto, at, score = self.automaton, 0, 0.0
+        for i, c in enumerate(symbols(run[start:]), 1):
+            n = auto.n[at].get(c, 0) if at is not None else 0
+            score -= self.ordinary.get(c, self.other)
+            if n:
+                score += math.log2(n / (auto.total(at) + 1))
+                at = auto.go[at][c]
+            else:
+                score -= 10
+                at = at if at is not None and auto.n[at] else None
+            if start + i in ends and (i >= SHORTEST or not start):
+                whole = score + (math.log2((auto.end[at] + 0.01) / (auto.total(at) + 1)) if at is not None else -10)
+                if whole / i >= self.cut:
+                    yield start + i, start, whole
+
+    def secrets(self, run: str) -> list[tuple[int, int]]:
+        """(start, end) of the credentials in a run."""
+        last = len(run.rstrip(".=-"))
+        ends = {last, *(m.start() for m in MARK.finditer(run) if m.start() >= SHORTEST and run[m.start() - 1] not in ".=-")}
+        starts = {0, *(m.start() for m in self.head.finditer(run) if len(run) - m.start() >= SHORTEST)}
+        found = [x for start in starts for x in self.above(run, start, ends)]
+        out: list[tuple[int, int]] = []
+        for b, a, _ in sorted(found, key=lambda x: (-x[2], x)):
+            if all(b <= c or d <= a for c, d in out):
+                out.append((a, b))
+        return sorted(out)
 
     def ratio(self, s: list[str]) -> float:
         return (self.automaton.likelihood(s) - sum(self.ordinary.get(c, self.other) for c in s)) / len(s)
@@ -190,8 +224,12 @@ def all_spans(text: str, formats: Formats) -> tuple[list[tuple[int, int, int]],
     base = base_spans(text)
     more = []
     for m in CANDIDATE.finditer(text):
-        if not any(a <= m.start() and m.end() <= b for a, _, b in base) and formats.is_secret(m.group().rstrip(".=-")):
-            more.append((m.start(), 3, m.start() + len(m.group().rstrip(".=-"))))
+        if any(a <= m.start() and m.end() <= b for a, _, b in base):
+            continue
+        for x, y in formats.secrets(m.group()):
+            x, y = x + m.start(), y + m.start()
+            if not any(a <= x and y <= b for a, _, b in base):
+                more.append((x, 3, y))
     return base, sorted(base + more)
 
 

@@ -330,3 +330,23 @@ def test_lm_scores_by_whole_trie(spark, most):
     got = sorted((r.doc_id, r.score) for r in lm.lm_scores(docs(spark), most=most).collect())
     assert [i for i, _ in got] == [i for i, _ in want]
     assert all(abs(x - y) <= 1e-9 * abs(y) for (_, x), (_, y) in zip(got, want, strict=True))
+
+
+def test_secrets_inside_a_run():
+    """Formats behind NAME=, in a query, behind a path, and before a further part of the run."""
+    f = secrets.Formats(secrets.labelled())
+    fresh = secrets.labelled(seed=98)
+    for before, after in (("", ""), ("GH_PAT=", ""), ("see https://host/x?a=1&id=", "&b=2"), ("https://", "@host/x"), ("conf/app/", ""), ("conf/app/", "/more/parts"), ("a.b-c+", " end")):
+        found = total = 0
+        for s, y in fresh:
+            text = before + s + after
+            spans = [(a, b) for a, k, b in secrets.all_spans(text, f)[1] if k == 3 or s.startswith("AKIA")]
+            if y:
+                total, found = total + 1, found + any(a <= len(before) and len(before) + len(s.rstrip(".=-")) <= b for a, b in spans)
+            else:
+                # only what is above the cut as a whole run
+                assert all(f.is_secret(text[a:].split()[0].split("@")[0].split("&")[0].rstrip(".=-")) for a, _ in spans), text
+        assert found >= 0.95 * total, (before, after, found, total)
+    one, two = (next(s for s, y in fresh if y and s.startswith(p)) for p in ("ghp_", "npm_"))
+    spans = secrets.all_spans(f"A={one}/{two}", f)[1]
+    assert all(any(x <= i < y for x, _, y in spans) for i in range(2, 3 + len(one) + len(two)) if i != 2 + len(one))
