@@ -1,18 +1,15 @@
 """Benchmark decontamination with DataFrame functions alone.
 
 Features are shingles of five words (fewer if an item is shorter; words: runs without ASCII white space, in lower case).
-Only shingles that occur in the benchmark are features of a fingerprint: a window without any has the zero vector, is like
-no item, and gets no fingerprint. A shingle weighs 4 divided by the number of items that hold it (rounded down, at least
-1); any other shingle of a document weighs 1.
+A shingle weighs 4 divided by the number of items that hold it (rounded down, at least 1); any other shingle of a document
+weighs 1.
 
 1. Windows of an item's number of words start at each place where a document has a shingle of such an item (a window that
    starts before its first shared shingle holds no more of the item than one that starts there), cut at the text's end.
-2. Each window and item gets a 64-bit SimHash: for each bit the weights of the shingles whose hash has it set, against half
-   of all weights. The 64 sums are kept in 22 numbers of three lanes each.
-3. Fingerprints are cut into 8 blocks. By the pigeonhole principle two fingerprints within RADIUS = 15 bits have a block
-   that differs in one bit at most, so items are indexed under each block value and its 8 neighbours; look-ups by block
-   value (and length) find every pair within the radius, which the full distance then confirms.
-4. Candidates are verified by the exact weighted Jaccard similarity of the two multisets of shingles; pairs at 0.75 or
+2. Items are indexed by their rarest shingles, as many as weigh more than 1 - threshold of the item. A window without any
+   of these shares less than the threshold of the item's weight, and so is below it in similarity too: look-ups by shingle
+   and length find every pair at the threshold. Fingerprints within a radius would miss some.
+3. Candidates are verified by the exact weighted Jaccard similarity of the two multisets of shingles; pairs at 0.75 or
    more are reported with their best window.
 
 The benchmark is broadcast only while its shingles are under BROADCAST_ROWS; larger ones are shuffled. Windows meet their
@@ -27,14 +24,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import BROADCAST_ROWS, store
 
-SHINGLE, THRESHOLD, BLOCKS, RADIUS, SPAN = 5, 0.75, 8, 15, 64
-LANES, LANE_BITS = 3, 20
-NUMBERS = -(-64 // LANES)
+SHINGLE, THRESHOLD, SPAN = 5, 0.75, 64
 
 
 def words(text: Column) -> Column:
@@ -47,50 +42,22 @@ def shingles(w: str, size: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, size)))
 
 
-def _sums() -> list[Column]:
-    """Aggregates that hold, for each bit, the weight of shingles with the bit set: lanes of LANE_BITS bits."""
-    out = []
-    for j in range(NUMBERS):
-        bits = F.shiftrightunsigned("h", LANES * j).bitwiseAND((1 << LANES) - 1)
-        lanes = reduce(Column.bitwiseOR, (F.shiftleft(bits.bitwiseAND(1 << i), (LANE_BITS - 1) * i) for i in range(LANES)))
-        out.append(F.sum(F.col("w") * F.col("n") * lanes).alias(f"s{j}"))
-    return out
-
-
-def _fingerprint() -> Column:
-    bits = []
-    for b in range(64):
-        lane = F.shiftrightunsigned(F.col(f"s{b // LANES}"), LANE_BITS * (b % LANES)).bitwiseAND((1 << LANE_BITS) - 1)
-        bits.append(F.when(lane * 2 > F.col("weight"), F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b).cast("long")).otherwise(F.lit(0).cast("long")))
-    return reduce(Column.bitwiseOR, bits)
-
-
-def _fingerprints(features: DataFrame, keys: list[str]) -> DataFrame:
-    """features: keys, h, w, n -> keys, weight, fp."""
-    return features.groupBy(*keys).agg(F.sum(F.col("w") * F.col("n")).alias("weight"), *_sums()).select(*keys, "weight", _fingerprint().alias("fp"))
-
-
-def _block(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, 8 * i).bitwiseAND(255).cast("int")
-
-
-def _probes(fp: Column, flips: bool) -> Column:
-    """(block number, value) of a fingerprint; with flips also the values one bit away."""
-    return F.array(*(F.struct(F.lit(i).alias("no"), _block(fp, i).bitwiseXOR(m).alias("value")) for i in range(BLOCKS) for m in ([0, *(1 << b for b in range(8))] if flips else [0])))
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """uid (row number of docs), id_col, item_col, start (word of the best window), similarity: one row for each pair."""
     items = benchmark.select(F.monotonically_increasing_id().alias("iid"), F.col(item_col).alias("item"), words(F.col(item_text)).alias("ws")).withColumn("len", F.size("ws")).where("len > 0")
     items = items.withColumn("size", F.least(F.lit(SHINGLE), F.col("len")))
     parts = [items.where(F.col("size") == s).select("iid", "item", "len", "size", F.explode(shingles("ws", s)).alias("h")) for s in range(1, SHINGLE + 1)]
     item_shingles = reduce(DataFrame.union, parts).groupBy("iid", "item", "len", "size", "h").agg(F.count("*").alias("n"))
-    spread = item_shingles.groupBy("h").agg(F.greatest(F.lit(1), F.floor(F.lit(4) / F.count_distinct("iid"))).cast("long").alias("w"))
+    spread = item_shingles.groupBy("h").agg(F.count_distinct("iid").alias("holders")).withColumn("w", F.greatest(F.lit(1), F.floor(F.lit(4) / F.col("holders"))).cast("long"))
     item_shingles = store(item_shingles.join(spread, "h"), "bench-shingles")
     small = item_shingles.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hint = F.broadcast if small else lambda df: df
     sizes = sorted(r[0] for r in item_shingles.select("size").distinct().collect())  # five at most
-    item_fp = _fingerprints(item_shingles, ["iid", "item", "len"])
+    # an item's shingles, rarest first, with the weight of those before: one item a group
+    weight = F.col("w") * F.col("n")
+    rarest = Window.partitionBy("iid").orderBy("holders", "h").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = item_shingles.withColumn("before", F.coalesce(F.sum(weight).over(rarest), F.lit(0))).withColumn("item_weight", F.sum(weight).over(Window.partitionBy("iid")))
+    index = store(ranked.where(F.col("before") <= (1 - threshold) * F.col("item_weight") + 1e-6).select("iid", "item", "item_weight", "len", "size", "h"), "bench-index")
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("ws"))
     vocabulary = item_shingles.select("h", "size", "w").distinct()
@@ -110,15 +77,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     inside = spans.join(near, ["uid", "span", "size"]).where("at >= pos and at <= pos + len - size")
     window = ["uid", "id", "words", "pos", "len", "size"]
     features = store(inside.repartition("uid", "pos", "len").groupBy(*window, "h").agg(F.first("w").alias("w"), F.count("*").alias("n")), "bench-features")
-    windows = _fingerprints(features, window).join(features.groupBy("uid", "pos", "len", "size").agg(F.sum("n").alias("shared")), ["uid", "pos", "len", "size"])
+    windows = features.groupBy(*window).agg(F.sum(F.col("w") * F.col("n")).alias("weight"), F.sum("n").alias("shared"))
     # every other shingle of the window weighs 1
     total = F.least(F.col("len"), F.col("words") - F.col("pos")) - F.col("size") + 1 - F.col("shared")
-    windows = windows.withColumn("weight", F.col("weight") + total)
+    windows = windows.select("uid", "id", "pos", "len", "size", (F.col("weight") + total).alias("weight"))
 
-    index = item_fp.select("iid", "item", "len", F.col("weight").alias("item_weight"), F.col("fp").alias("item_fp"), F.explode(_probes(F.col("fp"), True)).alias("p")).select("*", "p.no", "p.value").drop("p")
-    looked = windows.withColumn("p", F.explode(_probes(F.col("fp"), False))).select("*", "p.no", "p.value").drop("p")
-    close = looked.join(hint(index), (looked["len"] == index["len"]) & (looked["no"] == index["no"]) & (looked["value"] == index["value"]) & (F.bit_count(looked["fp"].bitwiseXOR(index["item_fp"])) <= RADIUS)).drop(index["len"], index["no"], index["value"])
-    pairs = close.select("uid", "id", "pos", "len", "size", "weight", "iid", "item", "item_weight").distinct()
+    found = features.select("uid", "pos", "len", "size", "h").join(hint(index), ["h", "len", "size"]).select("uid", "pos", "len", "size", "iid", "item", "item_weight").distinct()
+    pairs = found.join(windows, ["uid", "pos", "len", "size"])
     both = pairs.join(features.select("uid", "pos", "len", "size", "h", "n"), ["uid", "pos", "len", "size"]).join(hint(item_shingles.select("iid", "h", F.col("n").alias("item_n"), "w")), ["iid", "h"])
     exact = both.groupBy("uid", "id", "pos", "len", "weight", "iid", "item", "item_weight").agg(F.sum(F.least("n", "item_n") * F.col("w")).alias("common"))
     similar = exact.withColumn("similarity", F.col("common") / (F.col("weight") + F.col("item_weight") - F.col("common"))).where(F.col("similarity") >= threshold)

@@ -350,3 +350,26 @@ def test_secrets_inside_a_run():
     one, two = (next(s for s, y in fresh if y and s.startswith(p)) for p in ("ghp_", "npm_"))
     spans = secrets.all_spans(f"A={one}/{two}", f)[1]
     assert all(any(x <= i < y for x, _, y in spans) for i in range(2, 3 + len(one) + len(two)) if i != 2 + len(one))
+
+
+def test_leaks_near_the_threshold(spark):
+    """Copies of every item with words changed, or cut by the document's end: all that SQL's exact similarity reports are found."""
+    import duckdb
+
+    rng = random.Random(3)
+    items = [(i, [f"i{i}x{j}" for j in range(rng.choice([11, 16, 28, 32, 40, 52]))]) for i in range(400)]
+    rows = []
+    for i, w in items:
+        changed = list(w)
+        for j in (len(w) // 3, 2 * len(w) // 3)[: 1 + (len(w) > 45)] if len(w) > 11 else (0,):
+            changed[j] = f"z{i}"
+        rows += [(2 * i, " ".join(["before", *changed, "after", "that"])), (2 * i + 1, " ".join(["before", *w[: len(w) - (len(w) - 4) // 4]]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", d.toArrow())
+    con.register("benchmark", bench.toArrow())
+    want = sorted(con.execute(ORACLE["op2_benchmark_leaks"]).fetchall())
+    got = sorted((r.doc_id, r.item_id, r.start, r.similarity) for r in decontam.leaks(d, bench).collect())
+    assert len(want) > 400 and [x[:3] for x in got] == [x[:3] for x in want]
+    assert all(abs(x[3] - y[3]) < 1e-6 for x, y in zip(got, want, strict=True))
