@@ -233,11 +233,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """One row per row of docs: uid (its row number, as monotonically_increasing_id of docs), id_col, n_shingles, component_id, kept, is_first.
+    """One row per row of docs: uid (its row number), id_col, n_shingles, component_id, kept, is_first.
 
     kept: the id is the component's smallest. is_first: the one row of its component that a deduplicated corpus keeps."""
+    return _near_duplicates(store(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "numbered"), id_col, threshold)
+
+
+def _near_duplicates(rows: DataFrame, id_col: str, threshold: int) -> DataFrame:
+    """near_duplicates of stored rows (uid, id, text): a uid that is computed anew may differ once executors are lost or join."""
     least = _least(threshold)
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = store(rows.select("uid", "text").mapInArrow(_signed, "uid long, n long, k1 long, k2 long, sig binary"), "signatures")
     ids = rows.select("uid", "id")
     full = signed.where("n > 0")
@@ -298,5 +302,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """docs with one row of each component, its columns unchanged."""
     name = "__quarry_uid"
-    stay = near_duplicates(docs, id_col, text_col, threshold).where("is_first").select(F.col("uid").alias(name))
-    return semi_join(docs.withColumn(name, F.monotonically_increasing_id()), store(stay, "stay"), name).drop(name)
+    whole = store(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    rows = whole.select(F.col(name).alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    stay = _near_duplicates(rows, id_col, threshold).where("is_first").select(F.col("uid").alias(name))
+    return semi_join(whole, store(stay, "stay"), name).drop(name)

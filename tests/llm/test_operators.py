@@ -373,3 +373,21 @@ def test_leaks_near_the_threshold(spark):
     got = sorted((r.doc_id, r.item_id, r.start, r.similarity) for r in decontam.leaks(d, bench).collect())
     assert len(want) > 400 and [x[:3] for x in got] == [x[:3] for x in want]
     assert all(abs(x[3] - y[3]) < 1e-6 for x, y in zip(got, want, strict=True))
+
+
+def test_row_numbers_are_stored(spark, monkeypatch):
+    """Rows stay who they are when the tables are split otherwise in between, as after the loss of an executor."""
+    want = sorted(r.doc_id for r in neardup.near_duplicates(docs(spark)).where("kept").collect())
+    conf, kept = "spark.sql.files.maxPartitionBytes", neardup.store
+
+    def store(df, name):
+        out = kept(df, name)
+        spark.conf.set(conf, "20000")
+        return out
+
+    monkeypatch.setattr(neardup, "store", store)
+    try:
+        got = sorted(r.doc_id for r in neardup.drop_near_duplicates(docs(spark)).collect())
+    finally:
+        spark.conf.unset(conf)
+    assert got == want
