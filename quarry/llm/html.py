@@ -1,19 +1,24 @@
 """Main text of web pages: flat text blocks, classified by a decision tree on their own and their neighbours' figures.
 
-The page is cut into flat blocks of text at block-level tags; comments, scripts, styles and the like are dropped. A block
-has its number of words and its link density (share of characters in links), those of the blocks before and after it, and
-whether an element around it is marked as page furniture or as an article. A CART decision tree (Gini impurity), trained
-here on the small labelled table LABELLED, keeps or drops each block.
+The page is cut into flat blocks of text at block-level tags; what is no text to read (comments, scripts, styles, the head)
+is left out. A block has its number of words and its link density (share of characters in links), those of the blocks
+before and after it, whether it stands in an element made for running text (paragraphs, headings, quotations, cells), and
+whether it lies inside an article or inside what a page marks as furniture (menus, headers, footers, sidebars, notices,
+adverts, forms, reader comments). A CART decision tree (Gini impurity), trained here on the small labelled table LABELLED,
+keeps or drops each block; in pages without any mark the words and link densities decide.
 
 Nulls and odd cases: a null or empty page, or one without main text, gives the empty text and n_chars 0. Unclosed and
-stray tags are tolerated: an end tag closes the nearest open element of its name, or nothing. Ids may be null or repeat;
-extra columns are ignored; an empty table gives an empty result. No part of a page is capped or cut.
+stray tags are tolerated: an end tag closes the nearest open element of its name, or nothing; a head ends where the first
+element of a body begins; only script, style and comments run to the page's end when unclosed, other elements whose text
+is left out are then taken as empty. Ids may be null or repeat; extra columns are ignored; an empty table gives an empty
+result. No part of a page is capped or cut, and the work grows in proportion to its length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,154 +27,357 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Element names and marks (fixed values).
-DROPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "title", "textarea", "select", "button", "canvas")
+TO_END = {"script", "style"}
+UNREAD = {"title", "textarea", "select", "iframe", "noscript", "template", "svg", "canvas"}
+IN_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template", "html", "head"}
 FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 ARTICLE = {"article", "main"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "button", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "math", "mi", "mn", "mo", "mrow", "msup", "msub", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-BAD_MARK = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|overlay|newsletter|subscribe|signup|login|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget|footer|header|masthead|comments?|replies|reply|disqus|respond|share|sharing|social|related|recommended|copyright|legal|toolbar|pagination|tags?)(?:$|[\s_-])",
-    re.I,
-)
-GOOD_MARK = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main|text|body)(?:$|[\s_-])", re.I)
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(DROPPED) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+TEXTUAL = HEADING | {"p", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption", "caption", "address", "summary"}
+#: Parts of class names, ids and roles: of furniture, of furniture whatever else is said, of articles, of layout.
+SOFT = set("banner promo promos notice popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget widgets footer header masthead share sharing social related recommended copyright legal toolbar pagination pager tags complementary contentinfo".split())
+HARD = set("ad ads advert adverts advertisement advertising sponsor sponsored sponsors cookie cookies consent gdpr newsletter subscribe subscription signup login comment comments reply replies disqus respond".split())
+GOOD = set("article articles content entry post story main text body".split())
+LAYOUT = {"has", "with", "no", "without", "is", "js", "tag", "category", "cat", "lang", "layout", "page", "theme"}
+ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
+TAG_PART = re.compile(r"""=\s*(["'])|>""")
+ANCHOR = re.compile(r"<(/?)a(?=[\s>/])", re.I)
 
 
 class Block(NamedTuple):
     text: str
     words: int
     link: float
-    furniture: bool
+    textual: bool
     article: bool
+    furniture: bool
 
 
-def blocks(page: str) -> list[Block]:
-    """The flat text blocks of a page, in order."""
-    out: list[Block] = []
-    parts: list[tuple[str, bool]] = []
-    # open elements that say something about the text inside: (name, furniture, article)
-    open_: list[tuple[str, bool, bool]] = []
-    in_link = 0
-    at = 0
-
-    def close() -> None:
-        text = " ".join("".join(p for p, _ in parts).split())
-        if text:
-            linked = sum(len("".join(p.split())) for p, link in parts if link)
-            bad, good = any(x[1] for x in open_), any(x[2] for x in open_)
-            out.append(Block(text, len(text.split()), linked / max(1, len("".join(text.split()))), bad, good))
-        parts.clear()
-
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            parts.append((html.unescape(page[at : m.start()]), in_link > 0))
-        at = m.end()
-        name = (m.group(3) or "").lower()
-        if not name:
-            if m.group(1):
-                close()
-            continue
+def marks(attributes: str) -> tuple[bool, bool, bool]:
+    """(soft furniture, hard furniture, article) by the names that a tag carries."""
+    soft = hard = good = False
+    for _, *values in ATTRIBUTE.findall(attributes):
+        for name in "".join(values).lower().split():
+            parts = [p for p in re.split(r"[_\W]+", name) if p]
+            if not parts or parts[0] in LAYOUT:
+                continue
+            is_hard = bool(HARD.intersection(parts))
+            is_soft = bool(SOFT.intersection(parts))
+            hard |= is_hard
+            soft |= is_soft
+            good |= not is_hard and not is_soft and bool(GOOD.intersection(parts))
+    return soft, hard, good
+
+
+class Page:
+    """Cuts a page into flat blocks in one pass."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.found: list[Block] = []
+        self.parts: list[tuple[str, bool]] = []
+        # open elements: (name, hard, soft, article, soft marks counted outside an article, textual)
+        self.open: list[tuple[str, bool, bool, bool, int, bool]] = []
+        self.names: Counter[str] = Counter()
+        self.hard = self.soft = self.good = self.textual = 0
+        self.in_link = self.in_head = False
+        self.lacks: set[str] = set()  # what the rest of the page has none of
+        self.pattern: dict[str, re.Pattern[str]] = {}
+        self.read()
+
+    def close_block(self) -> None:
+        if self.parts:
+            text = " ".join("".join(p for p, _ in self.parts).split())
+            if text:
+                linked = sum(len("".join(p.split())) for p, link in self.parts if link)
+                self.found.append(Block(text, len(text.split()), linked / max(1, len("".join(text.split()))), self.textual > 0, self.good > 0, self.hard + self.soft > 0))
+            self.parts.clear()
+
+    def push(self, name: str, attributes: str) -> None:
+        soft, hard, good = marks(attributes)
+        inside = self.good > 0
+        if name in FURNITURE and not (name == "header" and inside):
+            hard = True
+        # an article outweighs mere parts of class names, its own and those around it
+        article = (name in ARTICLE or good) and not hard
+        if article:
+            soft = False
+        held = self.soft
+        if name in ARTICLE and not hard:
+            self.soft = 0
+        textual = name in TEXTUAL
+        self.open.append((name, hard, soft, article, held, textual))
+        self.names[name] += 1
+        self.hard += hard
+        self.soft += soft
+        self.good += article
+        self.textual += textual
+
+    def pop(self) -> None:
+        name, hard, _, article, held, textual = self.open.pop()
+        self.names[name] -= 1
+        self.hard -= hard
+        self.soft = held
+        self.good -= article
+        self.textual -= textual
+
+    def end(self, name: str) -> None:
+        if self.names[name]:
+            while self.open[-1][0] != name:
+                self.pop()
+            self.pop()
+
+    def text(self, a: int, b: int) -> None:
+        if a < b:
+            piece = self.page[a:b]
+            if self.in_head:
+                if not piece.strip():
+                    return
+                self.in_head = False
+            self.parts.append((html.unescape(piece), self.in_link))
+
+    def find(self, what: str, at: int) -> int:
+        """Place of a string from at on, or -1; remembered once there is none."""
+        if what in self.lacks:
+            return -1
+        i = self.page.find(what, at)
+        if i < 0:
+            self.lacks.add(what)
+        return i
+
+    def tag_end(self, at: int) -> int:
+        """Place after the > that ends a tag; one in a quoted value doesn't. -1: none."""
+        while self.find(">", at) >= 0 and (m := TAG_PART.search(self.page, at)):
+            if m.group() == ">":
+                return m.end()
+            i = self.find(m.group(1), m.end())
+            at = i + 1 if i >= 0 else m.end()
+        return -1
+
+    def skip(self, name: str, at: int) -> int:
+        """Place after the end tag of an element whose text is left out; at, if it has none before the next of its name."""
+        if name in self.lacks:
+            return len(self.page) if name in TO_END else at
+        if name not in self.pattern:
+            self.pattern[name] = re.compile(rf"<(/?){name}(?=[\s>/])", re.I) if name not in TO_END else re.compile(rf"<(/){name}(?=[\s>/])", re.I)
+        m = self.pattern[name].search(self.page, at)
+        if not m:
+            self.lacks.add(name)
+            return len(self.page) if name in TO_END else at
+        if not m.group(1):
+            return at
+        i = self.find(">", m.end())
+        return i + 1 if i >= 0 else len(self.page)
+
+    def read(self) -> None:
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            lt = page.find("<", at)
+            if lt < 0:
+                break
+            self.text(at, lt)
+            at = lt
+            if page.startswith("<!--", lt):
+                i = self.find("-->", lt + 4)
+                at = i + 3 if i >= 0 else n
+                continue
+            if page.startswith(("<!", "<?"), lt):
+                i = self.find(">", lt)
+                if i >= 0:
+                    at = i + 1
+                    continue
+            closing = page.startswith("/", lt + 1)
+            m = NAME.match(page, lt + 1 + closing)
+            after = self.tag_end(m.end()) if m else -1
+            if not m or after < 0:
+                self.text(lt, lt + 1)  # no tag
+                at = lt + 1
+                continue
+            at = after
+            name, rest = m.group().lower(), page[m.end() : after - 1]
+            at = self.end_tag(name, at) if closing else self.start_tag(name, rest, at)
+        self.text(at, n)
+        self.close_block()
+
+    def end_tag(self, name: str, at: int) -> int:
+        if name == "head":
+            self.in_head = False
+        if name == "a":
+            self.in_link = False
+        elif name not in INLINE:
+            self.close_block()
+        if name not in VOID:
+            self.end(name)
+        return at
+
+    def start_tag(self, name: str, rest: str, at: int) -> int:
+        if name == "head":
+            self.in_head = True
+        elif self.in_head and name not in IN_HEAD:
+            self.in_head = False
+        empty = rest.rstrip().endswith("/")
+        if name in TO_END or name in UNREAD:
+            if name not in INLINE and name in UNREAD:
+                self.close_block()
+            return at if empty and name not in TO_END else self.skip(name, at)
         if name == "a":
-            in_link = max(0, in_link - 1) if m.group(2) else in_link + 1
+            # a link without an end tag before the next link holds nothing
+            m = ANCHOR.search(self.page, at)
+            self.in_link = bool(m and m.group(1))
         elif name not in INLINE:
-            close()
-        if name in VOID:
-            continue
-        if m.group(2):
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    del open_[i:]
-                    break
-        elif not m.group(4).rstrip().endswith("/") and name not in ("p", "li", "a", "html", "body"):
-            mark = " ".join(filter(None, (x for g in ATTRIBUTE.findall(m.group(4)) for x in g)))
-            bad = name in FURNITURE or bool(mark and BAD_MARK.search(mark))
-            open_.append((name, bad, name in ARTICLE or bool(mark and GOOD_MARK.search(mark))))
-    if at < len(page):
-        parts.append((html.unescape(page[at:]), in_link > 0))
-    close()
-    return out
+            self.close_block()
+        if name in VOID or empty or name in ("html", "head", "body"):
+            return at
+        if name not in INLINE:
+            # a paragraph ends where another block begins, a list item where the next one does
+            while self.open and (self.open[-1][0] == "p" or (self.open[-1][0] in HEADING and name in HEADING)):
+                self.pop()
+            if name == "li" and self.names["li"]:
+                i = len(self.open) - 1
+                while i >= 0 and self.open[i][0] not in ("li", "ul", "ol", "menu"):
+                    i -= 1
+                if i >= 0 and self.open[i][0] == "li":
+                    self.end("li")
+            self.push(name, rest)
+        elif rest and name in ("span", "label", "small"):
+            soft, hard, _ = marks(rest)
+            if hard or soft:
+                self.close_block()
+                self.push(name, rest)
+        return at
+
+
+def blocks(page: str) -> list[Block]:
+    """The flat text blocks of a page, in order."""
+    return Page(page).found
 
 
 Row = tuple[float, ...]
 
 
 def features(found: list[Block]) -> list[Row]:
-    """words, link density, then both of the block before and after, furniture, article."""
-    none = Block("", 0, 0.0, False, False)
-    out = []
-    for i, b in enumerate(found):
-        p, n = found[i - 1] if i else none, found[i + 1] if i + 1 < len(found) else none
-        out.append((float(b.words), b.link, float(p.words), p.link, float(n.words), n.link, float(b.furniture), float(b.article)))
-    return out
+    """words, link density, both of the block before and after, then textual, article, furniture.
+
+    Neighbours are blocks that are no furniture, if the block is none."""
+    none = Block("", 0, 0.0, False, False, False)
+    before, after = [none] * len(found), [none] * len(found)
+    for places, out in ((range(len(found)), before), (range(len(found) - 1, -1, -1), after)):
+        last = {False: none, True: none}
+        for i in places:
+            out[i] = last[found[i].furniture]
+            last[found[i].furniture] = found[i]
+    return [
+        (float(b.words), b.link, float(p.words), p.link, float(n.words), n.link, float(b.textual), float(b.article), float(b.furniture))
+        for b, p, n in zip(found, before, after, strict=True)
+    ]
 
 
-#: Labelled blocks: words, link density, words and link density before, the same after, furniture, article; 1 main text.
+#: Labelled blocks: words, link density; the same before; the same after; textual, article, furniture; 1 main text.
 LABELLED: list[tuple[Row, int]] = [
-    ((1, 1.0, 0, 0.0, 1, 1.0, 1, 0), 0),
-    ((1, 1.0, 1, 1.0, 1, 1.0, 1, 0), 0),
-    ((2, 1.0, 1, 1.0, 12, 0.0, 1, 0), 0),
-    ((8, 0.0, 1, 1.0, 10, 0.0, 1, 0), 0),
-    ((25, 0.0, 1, 1.0, 10, 0.0, 1, 0), 0),
-    ((60, 0.1, 40, 0.0, 30, 0.0, 1, 0), 0),
-    ((14, 0.0, 90, 0.0, 0, 0.0, 1, 0), 0),
-    ((12, 0.2, 3, 0.0, 0, 0.0, 1, 0), 0),
-    ((45, 0.0, 80, 0.0, 45, 0.0, 1, 1), 0),
-    ((20, 0.0, 60, 0.0, 30, 0.0, 1, 1), 0),
-    ((5, 1.0, 50, 0.0, 60, 0.0, 1, 1), 0),
-    ((10, 0.0, 8, 0.0, 30, 0.0, 0, 1), 1),
-    ((3, 0.0, 8, 0.0, 30, 0.0, 0, 1), 1),
-    ((1, 0.0, 40, 0.0, 1, 0.0, 0, 1), 1),
-    ((1, 0.0, 1, 0.0, 35, 0.0, 0, 1), 1),
-    ((1, 0.0, 14, 0.0, 14, 0.0, 0, 1), 1),
-    ((90, 0.0, 10, 0.0, 60, 0.0, 0, 1), 1),
-    ((150, 0.05, 20, 0.0, 14, 0.0, 0, 1), 1),
-    ((40, 0.3, 30, 0.0, 30, 0.1, 0, 1), 1),
-    ((6, 0.0, 50, 0.0, 14, 0.0, 0, 1), 1),
-    ((4, 1.0, 60, 0.0, 70, 0.0, 0, 1), 1),
-    ((2, 0.0, 0, 0.0, 0, 0.0, 0, 1), 1),
-    ((5, 0.0, 60, 0.0, 3, 0.0, 0, 1), 1),
-    ((5, 0.0, 3, 0.0, 4, 0.0, 0, 1), 1),
-    ((8, 0.0, 4, 0.0, 6, 0.0, 0, 1), 1),
-    ((12, 0.0, 80, 0.0, 5, 0.0, 0, 1), 1),
-    ((18, 0.0, 2, 0.0, 2, 0.0, 0, 1), 1),
-    ((6, 0.0, 2, 1.0, 6, 0.0, 0, 1), 1),
-    ((20, 0.0, 30, 0.0, 1, 1.0, 0, 1), 1),
-    ((9, 0.0, 5, 1.0, 2, 0.0, 0, 1), 1),
-    ((15, 0.0, 15, 0.0, 0, 0.0, 0, 1), 1),
-    ((30, 0.0, 4, 0.0, 4, 0.0, 0, 1), 1),
-    ((4, 0.0, 20, 0.0, 9, 0.1, 0, 1), 1),
-    ((2, 1.0, 3, 1.0, 3, 1.0, 0, 1), 0),
-    ((5, 1.0, 4, 1.0, 14, 0.0, 0, 1), 0),
-    ((1, 1.0, 0, 0.0, 1, 1.0, 0, 0), 0),
-    ((2, 1.0, 2, 1.0, 2, 1.0, 0, 0), 0),
-    ((4, 0.9, 2, 1.0, 30, 0.0, 0, 0), 0),
-    ((30, 0.8, 12, 0.0, 40, 0.1, 0, 0), 0),
-    ((5, 0.0, 2, 1.0, 4, 0.5, 0, 0), 0),
-    ((4, 0.0, 3, 0.0, 4, 0.0, 0, 0), 0),
-    ((12, 0.0, 4, 0.0, 6, 0.0, 0, 0), 0),
-    ((15, 0.0, 80, 0.0, 0, 0.0, 0, 0), 0),
-    ((6, 0.0, 60, 0.0, 3, 0.0, 0, 0), 0),
-    ((10, 0.0, 2, 1.0, 6, 0.0, 0, 0), 0),
-    ((3, 0.0, 2, 0.0, 2, 0.0, 0, 0), 0),
-    ((6, 0.0, 4, 0.0, 5, 0.0, 0, 0), 0),
-    ((8, 0.0, 90, 0.0, 0, 0.0, 0, 0), 0),
-    ((9, 0.3, 60, 0.0, 3, 1.0, 0, 0), 0),
-    ((40, 0.0, 8, 0.0, 50, 0.0, 0, 0), 1),
-    ((70, 0.1, 30, 0.0, 20, 0.0, 0, 0), 1),
-    ((25, 0.0, 60, 0.0, 60, 0.0, 0, 0), 1),
-    ((12, 0.0, 40, 0.0, 55, 0.0, 0, 0), 1),
-    ((3, 0.0, 70, 0.0, 60, 0.0, 0, 0), 1),
-    ((7, 0.0, 1, 1.0, 45, 0.0, 0, 0), 1),
-    ((120, 0.0, 2, 1.0, 3, 1.0, 0, 0), 1),
-    ((55, 0.2, 70, 0.0, 8, 0.0, 0, 0), 1),
-    ((35, 0.0, 90, 0.0, 0, 0.0, 0, 0), 1),
+    # marked as furniture: menus, notices, adverts, sidebars with prose, comments of readers
+    ((1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 1), 0),
+    ((2, 1.0, 1, 1.0, 12, 0.0, 0, 0, 1), 0),
+    ((8, 0.0, 1, 1.0, 10, 0.0, 0, 0, 1), 0),
+    ((25, 0.0, 1, 1.0, 10, 0.0, 1, 0, 1), 0),
+    ((60, 0.1, 40, 0.0, 30, 0.0, 1, 0, 1), 0),
+    ((14, 0.0, 90, 0.0, 0, 0.0, 0, 0, 1), 0),
+    ((45, 0.0, 80, 0.0, 45, 0.0, 1, 1, 1), 0),
+    ((20, 0.0, 60, 0.0, 30, 0.0, 1, 1, 1), 0),
+    ((5, 1.0, 50, 0.0, 60, 0.0, 0, 1, 1), 0),
+    ((120, 0.0, 20, 0.0, 0, 0.0, 1, 0, 1), 0),
+    ((3, 0.0, 60, 0.0, 0, 0.0, 0, 1, 1), 0),
+    ((8, 0.0, 40, 0.0, 40, 0.0, 0, 1, 1), 0),
+    ((1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 1), 0),
+    ((20, 0.1, 10, 0.0, 30, 0.0, 0, 1, 1), 0),
+    ((2, 0.0, 0, 0.0, 0, 0.0, 1, 1, 1), 0),
+    ((60, 0.0, 1, 1.0, 10, 0.0, 0, 0, 1), 0),
+    ((90, 0.1, 90, 0.0, 0, 0.0, 0, 0, 1), 0),
+    ((45, 0.0, 80, 0.0, 45, 0.0, 0, 1, 1), 0),
+    ((150, 0.0, 40, 0.0, 60, 0.0, 0, 0, 1), 0),
+    ((35, 0.0, 60, 0.0, 60, 0.0, 0, 0, 1), 0),
+    ((70, 0.0, 20, 0.0, 35, 0.0, 0, 1, 1), 0),
+    # articles that are marked
+    ((10, 0.0, 0, 0.0, 30, 0.0, 1, 1, 0), 1),
+    ((3, 0.0, 8, 0.0, 30, 0.0, 1, 1, 0), 1),
+    ((1, 0.0, 40, 0.0, 1, 0.0, 1, 1, 0), 1),
+    ((1, 0.0, 1, 0.0, 35, 0.0, 1, 1, 0), 1),
+    ((1, 0.0, 14, 0.0, 14, 0.0, 0, 1, 0), 1),
+    ((90, 0.0, 10, 0.0, 60, 0.0, 1, 1, 0), 1),
+    ((150, 0.05, 20, 0.0, 14, 0.0, 0, 1, 0), 1),
+    ((40, 0.3, 30, 0.0, 30, 0.1, 1, 1, 0), 1),
+    ((4, 1.0, 60, 0.0, 70, 0.0, 1, 1, 0), 1),
+    ((6, 0.6, 40, 0.0, 20, 0.0, 0, 1, 0), 1),
+    ((2, 0.0, 0, 0.0, 0, 0.0, 1, 1, 0), 1),
+    ((2, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0), 1),
+    ((5, 0.0, 60, 0.0, 3, 0.0, 1, 1, 0), 1),
+    ((8, 0.0, 4, 0.0, 6, 0.0, 0, 1, 0), 1),
+    ((12, 0.0, 80, 0.0, 5, 0.0, 0, 1, 0), 1),
+    ((6, 0.0, 2, 1.0, 6, 0.0, 1, 1, 0), 1),
+    ((20, 0.0, 30, 0.0, 1, 1.0, 1, 1, 0), 1),
+    ((15, 0.0, 15, 0.0, 0, 0.0, 0, 1, 0), 1),
+    ((4, 1.0, 20, 0.0, 10, 0.0, 1, 1, 0), 1),
+    ((6, 1.0, 60, 0.0, 0, 0.0, 1, 1, 0), 1),
+    ((2, 1.0, 5, 0.0, 5, 0.0, 1, 1, 0), 1),
+    # lists of links in them
+    ((2, 1.0, 3, 1.0, 3, 1.0, 0, 1, 0), 0),
+    ((3, 1.0, 40, 0.0, 2, 1.0, 0, 1, 0), 0),
+    ((5, 1.0, 4, 1.0, 14, 0.0, 0, 1, 0), 0),
+    ((4, 0.9, 2, 1.0, 0, 0.0, 0, 1, 0), 0),
+    # pages without marks: menus, lists of links, bylines, notices
+    ((1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0), 0),
+    ((2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), 0),
+    ((2, 1.0, 2, 1.0, 2, 1.0, 1, 0, 0), 0),
+    ((4, 0.9, 2, 1.0, 30, 0.0, 0, 0, 0), 0),
+    ((6, 0.8, 60, 0.0, 5, 1.0, 0, 0, 0), 0),
+    ((30, 0.8, 12, 0.0, 40, 0.1, 0, 0, 0), 0),
+    ((30, 0.7, 60, 0.0, 0, 0.0, 1, 0, 0), 0),
+    ((60, 0.9, 3, 1.0, 3, 1.0, 0, 0, 0), 0),
+    ((45, 0.8, 50, 0.0, 0, 0.0, 0, 0, 0), 0),
+    ((5, 0.0, 2, 1.0, 4, 0.5, 0, 0, 0), 0),
+    ((8, 0.0, 1, 1.0, 9, 0.0, 0, 0, 0), 0),
+    ((6, 0.0, 1, 1.0, 2, 0.0, 0, 0, 0), 0),
+    ((12, 0.0, 1, 1.0, 25, 0.0, 0, 0, 0), 0),
+    ((10, 0.0, 2, 1.0, 6, 0.0, 0, 0, 0), 0),
+    ((12, 0.0, 4, 0.0, 6, 0.0, 0, 0, 0), 0),
+    ((3, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0), 0),
+    ((2, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0), 0),
+    ((15, 0.0, 80, 0.0, 0, 0.0, 0, 0, 0), 0),
+    ((6, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0), 0),
+    ((8, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0), 0),
+    ((9, 0.3, 60, 0.0, 3, 1.0, 0, 0, 0), 0),
+    ((5, 0.0, 2, 1.0, 2, 1.0, 1, 0, 0), 0),
+    # and their prose: long blocks, and short ones in elements for text
+    ((40, 0.0, 8, 0.0, 50, 0.0, 0, 0, 0), 1),
+    ((70, 0.1, 30, 0.0, 20, 0.0, 0, 0, 0), 1),
+    ((25, 0.0, 60, 0.0, 60, 0.0, 0, 0, 0), 1),
+    ((120, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), 1),
+    ((35, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0), 1),
+    ((55, 0.2, 70, 0.0, 8, 0.0, 1, 0, 0), 1),
+    ((40, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0), 1),
+    ((12, 0.0, 40, 0.0, 55, 0.0, 1, 0, 0), 1),
+    ((12, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0), 1),
+    ((3, 0.0, 70, 0.0, 60, 0.0, 1, 0, 0), 1),
+    ((1, 0.0, 21, 0.0, 21, 0.0, 1, 0, 0), 1),
+    ((2, 0.0, 0, 0.0, 20, 0.0, 1, 0, 0), 1),
+    ((7, 0.0, 1, 1.0, 45, 0.0, 1, 0, 0), 1),
+    ((10, 0.0, 9, 0.0, 30, 0.0, 1, 0, 0), 1),
+    ((1, 0.0, 8, 0.0, 12, 0.0, 1, 0, 0), 1),
+    ((1, 0.0, 8, 0.0, 1, 0.0, 1, 0, 0), 1),
+    ((2, 0.0, 1, 0.0, 8, 0.0, 1, 0, 0), 1),
+    ((6, 0.0, 12, 0.0, 9, 0.0, 1, 0, 0), 1),
+    ((1, 0.0, 6, 0.0, 8, 0.0, 1, 0, 0), 1),
+    ((4, 1.0, 50, 0.0, 60, 0.0, 1, 0, 0), 1),
+    ((20, 0.0, 1, 1.0, 1, 1.0, 1, 0, 0), 1),
+    ((10, 0.3, 40, 0.0, 40, 0.0, 1, 0, 0), 1),
 ]
 
 Tree = int | tuple[int, float, "Tree", "Tree"]
 
 
-def grow(rows: list[tuple[Row, int]], depth: int = 8) -> Tree:
+def grow(rows: list[tuple[Row, int]], depth: int = 10) -> Tree:
     """CART: the split of least Gini impurity, halfway between neighbouring values; ties to the earlier feature and value."""
     ones = sum(y for _, y in rows)
     if ones in (0, len(rows)) or not depth:

@@ -1,23 +1,30 @@
 """Secrets in texts: fixed base patterns, and formats learned by grammar inference.
 
-From labelled credentials (LABELLED, made by the rules of public credential formats) a probabilistic prefix tree is built
-and statistically compatible states are merged (state merging by Hoeffding bounds on the frequencies of leaving a state by
-each symbol and of ending in it), which gives one probabilistic automaton. Candidates lie in maximal runs of at least
-SHORTEST credential characters: they start with the run or after a mark (= / . + -) in it, if the automaton has the two
-characters there, and end with the run or before a mark. They are scored by the likelihood of their symbols under the
-automaton against that of ordinary words, per symbol; of those above the cut between labelled credentials and labelled
-ordinary strings the best that don't overlap are added as spans of kind ``format``. A candidate inside a base span adds
-nothing; base spans always stay.
+For every labelled credential format a probabilistic prefix tree is built from its strings and statistically compatible
+states are merged (state merging by Hoeffding bounds on the frequencies of leaving a state by each symbol and of ending in
+it), which gives one probabilistic automaton a format, with the head that all its strings share and the lengths they have.
+Candidates start with a run of credential characters or after a mark (= / . + - _) in it, and end with the run or before a
+mark. A candidate's score under a format is the log-likelihood ratio of its characters: under the format (head, automaton,
+length) against ordinary strings. A string without a format's head has likelihood 0 under it, so looking for the heads
+scores all candidates; no shortest or longest candidate is set. Of the candidates above the cut between labelled
+credentials and labelled ordinary strings, the best that don't overlap are added as spans of kind ``format``. A candidate
+inside a base span adds nothing; base spans always stay.
 
 Nulls and odd cases: a null or empty text has no spans, counts 0 and the hash of the empty string; ids may be null or
-repeat; extra columns are ignored; an empty table gives an empty result. Offsets are code points, the end exclusive.
+repeat; extra columns are ignored; an empty table gives an empty result. Offsets are code points, the end exclusive. The
+work grows in proportion to a text's length, however long its runs.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import os
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from random import Random
 
 import numpy as np
@@ -34,44 +41,49 @@ BASE = {
     "hex": re.compile(r"[0-9a-f]{24,}"),
 }
 KINDS = ("assign", "access", "hex", "format")
-WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
-SHORTEST = 20
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
-MARK = re.compile("[=/.+-]")
-_CHARS = np.zeros(256, bool)
-_CHARS[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-", np.uint8)] = True
+#: Each match of the assign pattern holds one of these, in some case.
+HINTS = ("passw", "secret", "token", "api")
+RUN = "A-Za-z0-9+/_.=-"
+MARK = re.compile("[=/.+_-]")
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ALNUM = UPPER + LOWER + DIGIT
-#: Public credential formats: fixed text, or (alphabet, length).
-FORMATS: dict[str, list[str | tuple[str, int]]] = {
-    "cloud access key": ["AKIA", (UPPER + "234567", 16)],
-    "code host token": ["ghp_", (ALNUM, 36)],
-    "code host server token": ["ghs_", (ALNUM, 36)],
-    "chat bot token": ["xoxb-", (DIGIT, 12), "-", (DIGIT, 12), "-", (ALNUM, 24)],
-    "map service key": ["AIza", (ALNUM + "_-", 35)],
-    "payment key": ["sk_live_", (ALNUM, 24)],
-    "model service key": ["sk-", (ALNUM, 48)],
-    "package index token": ["npm_", (ALNUM, 36)],
-    "web token": ["eyJ", (ALNUM, 33), ".eyJ", (ALNUM, 45), ".", (ALNUM + "_-", 43)],
-    "mail service key": ["SG.", (ALNUM + "_-", 22), ".", (ALNUM + "_-", 43)],
+#: Public credential formats: fixed text, or (alphabet, least length, greatest length).
+FORMATS: dict[str, list[str | tuple[str, int, int]]] = {
+    "cloud access key": ["AKIA", (UPPER + "234567", 16, 16)],
+    "code host token": ["ghp_", (ALNUM, 36, 36)],
+    "code host server token": ["ghs_", (ALNUM, 36, 36)],
+    "chat bot token": ["xoxb-", (DIGIT, 10, 13), "-", (DIGIT, 10, 13), "-", (ALNUM, 24, 24)],
+    "map service key": ["AIza", (ALNUM + "_-", 35, 35)],
+    "payment key": ["sk_live_", (ALNUM, 24, 34)],
+    "model service key": ["sk-", (ALNUM, 48, 48)],
+    "package index token": ["npm_", (ALNUM, 36, 36)],
+    "web token": ["eyJ", (ALNUM, 17, 40), ".eyJ", (ALNUM, 30, 90), ".", (ALNUM + "_-", 43, 43)],
+    "mail service key": ["SG.", (ALNUM + "_-", 22, 22), ".", (ALNUM + "_-", 43, 43)],
 }
 EACH = 40
 
 
-def labelled(seed: int = 10) -> list[tuple[str, int]]:
-    """(string, 1 credential or 0 ordinary), EACH of every format and as many ordinary strings."""
+def labelled(seed: int = 10) -> list[tuple[str, str | None]]:
+    """(string, its format, or None for an ordinary one): EACH of every format and as many ordinary strings."""
     rng = Random(seed)
-    out = [("".join(p if isinstance(p, str) else "".join(rng.choices(p[0], k=p[1])) for p in parts), 1) for parts in FORMATS.values() for _ in range(EACH)]
+    piece = lambda p: p if isinstance(p, str) else "".join(rng.choices(p[0], k=rng.randint(p[1], p[2])))
+    out: list[tuple[str, str | None]] = [("".join(map(piece, parts)), name) for name, parts in FORMATS.items() for _ in range(EACH)]
     word = lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(1, 5)))
-    for _ in range(EACH * len(FORMATS) // 5):
-        out += [(sep.join(word() for _ in range(rng.randint(3, 7))), 0) for sep in ("", "-", "_", "/")]
-        out.append((".".join(word().capitalize() for _ in range(4)) + str(rng.randint(1, 2030)), 0))
-    return [(s, y) for s, y in out if len(s) >= SHORTEST]
+    heads = [p[0].rstrip("_.-") for p in FORMATS.values() if isinstance(p[0], str)]
+    for _ in range(EACH * len(FORMATS) // 6):
+        out += [(sep.join(word() for _ in range(rng.randint(3, 7))), None) for sep in ("", "-", "_", "/")]
+        out.append((".".join(word().capitalize() for _ in range(4)) + str(rng.randint(1, 2030)), None))
+        out.append((rng.choice(heads) + rng.choice("-_.") + rng.choice("-_").join(word() for _ in range(rng.randint(1, 8))), None))
+    return out
 
 
-def symbols(s: str) -> list[str]:
-    """The first four characters and all marks as they are; other letters and digits by kind."""
-    return [c if i < 4 or c in "+/_.=-" else "0" if c in DIGIT else "A" if c in UPPER else "a" for i, c in enumerate(s)]
+def kinds_of(s: str) -> list[str]:
+    """Marks as they are; letters and digits by kind."""
+    return ["0" if c in DIGIT else "A" if c in UPPER else "a" if c in LOWER else c for c in s]
+
+
+#: Bits that a character of each kind takes besides its kind.
+_WITHIN = {"A": math.log2(26), "a": math.log2(26), "0": math.log2(10)}
 
 
 class Automaton:
@@ -144,150 +156,181 @@ class Automaton:
                 else:
                     self.go[r][c] = self.go[q][c]
 
-    def likelihood(self, s: list[str]) -> float:
-        """log2 of the string's probability; a symbol that a state lacks costs as one in 1000."""
-        at: int | None = 0
-        out = 0.0
-        for c in s:
-            n = self.n[at].get(c, 0) if at is not None else 0
-            if n:
-                out += math.log2(n / (self.total(at) + 1))
-                at = self.go[at][c]
+
+class Format:
+    """One learned format: the head of all its strings, the automaton of what follows, and their lengths.
+
+    ``step`` maps a state and a kind to (next state, log2 of its probability for one character); a kind that a state lacks
+    stays in it and costs more than any character can gain. ``fall`` is what each character beyond known lengths costs."""
+
+    def __init__(self, strings: list[str], ordinary: dict[str, float], other: float) -> None:
+        self.head = os.path.commonprefix(strings)
+        rest = [s[len(self.head) :] for s in strings]
+        auto = Automaton([kinds_of(s) for s in rest])
+        gain = -min([*ordinary.values(), other])
+        self.missing, self.fall = -gain - 1, gain + 1
+        self.step: dict[int, dict[str, tuple[int, float]]] = {}
+        self.ends: dict[int, float] = {}
+        for q in auto.red:
+            total = auto.total(q)
+            self.step[q] = {c: (auto.go[q][c], math.log2(n / (total + 1)) - _WITHIN.get(c, 0.0)) for c, n in auto.n[q].items()}
+            self.ends[q] = math.log2((auto.end[q] + 0.01) / (total + 1))
+        self.ordinary, self.other = ordinary, other
+        self.start = -sum(ordinary.get(c, other) for c in self.head)
+        lengths = Counter(map(len, rest))
+        self.longest = max(lengths)
+        # log2 of the share of each length; between known ones, by the distance to the nearest
+        share = {n: math.log2(k / (len(rest) + 1)) for n, k in lengths.items()}
+        least = math.log2(0.5 / (len(rest) + 1))
+        near = lambda i: min(abs(i - n) for n in lengths)
+        self.length = [share.get(i, least - self.fall * max(0, near(i) - 2)) for i in range(self.longest + 1)]
+
+    def above(self, text: str, start: int, ends: set[int], stop: int, cut: float) -> Iterator[tuple[int, int, float]]:
+        """(start, end, score) of the candidates text[start:end] that are above the cut; the head is there already.
+
+        Beyond the longest length a candidate loses more by its length than it can gain, so the first that is below the cut
+        there is the last to look at."""
+        at, score, i = 0, self.start, start + len(self.head)
+        known = len(self.length)
+        for n in range(stop - i + 1):
+            size = self.length[n] if n < known else self.length[-1] - self.fall * (n - known + 1)
+            if i + n in ends:
+                whole = score + size + self.ends[at]
+                if whole >= cut:
+                    yield start, i + n, whole
+            if i + n == stop or (n >= self.longest and score + size < cut):
+                return
+            c = text[i + n]
+            to = self.step[at].get("0" if "0" <= c <= "9" else "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else c)
+            if to is None:
+                score += self.missing
             else:
-                out -= 10
-                at = at if at is not None and self.n[at] else None
-        return out + math.log2((self.end[at] + 0.01) / (self.total(at) + 1)) if at is not None else out - 10
+                at = to[0]
+                score += to[1]
+            score -= self.ordinary.get(c, self.other)
 
 
 class Formats:
-    """The automaton, the frequencies of symbols in ordinary strings, and the cut between both."""
-
-    def __init__(self, table: list[tuple[str, int]]) -> None:
-        good, plain = [symbols(s) for s, y in table if y], [symbols(s) for s, y in table if not y]
-        self.automaton = Automaton(good)
-        counts: dict[str, int] = {}
-        for s in plain:
-            for c in s:
-                counts[c] = counts.get(c, 0) + 1
-        self.ordinary = {c: math.log2(n / sum(counts.values())) for c, n in counts.items()}
-        self.other = math.log2(0.5 / sum(counts.values()))
-        least, most = min(map(self.ratio, good)), max(map(self.ratio, plain))
-        self.cut = (least + most) / 2
-        go = self.automaton.go
-        self.head = re.compile("(?<=[=/.+-])(?:" + "|".join(sorted(re.escape(a + b) for a, q in go[0].items() for b in go[q])) + ")")
-
-    def above(self, run: str, start: int, ends: set[int]) -> Iterator[tuple[int, int, float]]:
-        """(end, start, score) of the candidates from start that are above the cut. A score is the ratio times the length."""
-        auto, at, score = self.automaton, 0, 0.0
-        for i, c in enumerate(symbols(run[start:]), 1):
-            n = auto.n[at].get(c, 0) if at is not None else 0
-            score -= self.ordinary.get(c, self.other)
-            if n:
-                score += math.log2(n / (auto.total(at) + 1))
-                at = auto.go[at][c]
-            else:
-                score -= 10
-                at = at if at is not None and auto.n[at] else None
-            if start + i in ends and (i >= SHORTEST or not start):
-                whole = score + (math.log2((auto.end[at] + 0.01) / (auto.total(at) + 1)) if at is not None else -10)
-                if whole / i >= self.cut:
-                    yield start + i, start, whole
-
-    def secrets(self, run: str) -> list[tuple[int, int]]:
-        """(start, end) of the credentials in a run."""
-        last = len(run.rstrip(".=-"))
-        ends = {last, *(m.start() for m in MARK.finditer(run) if m.start() >= SHORTEST and run[m.start() - 1] not in ".=-")}
-        starts = {0, *(m.start() for m in self.head.finditer(run) if len(run) - m.start() >= SHORTEST)}
-        found = [x for start in starts for x in self.above(run, start, ends)]
-        out: list[tuple[int, int]] = []
-        for b, a, _ in sorted(found, key=lambda x: (-x[2], x)):
-            if all(b <= c or d <= a for c, d in out):
-                out.append((a, b))
-        return sorted(out)
-
-    def ratio(self, s: list[str]) -> float:
-        return (self.automaton.likelihood(s) - sum(self.ordinary.get(c, self.other) for c in s)) / len(s)
+    """The learned formats, the frequencies of characters in ordinary strings, and the cut between both."""
+
+    def __init__(self, table: list[tuple[str, str | None]]) -> None:
+        counts = Counter("".join(s for s, y in table if y is None))
+        total = sum(counts.values()) + len(ALNUM)
+        ordinary = {c: math.log2((n + 1) / total) for c, n in counts.items()}
+        self.formats = [Format([s for s, y in table if y == name], ordinary, math.log2(1 / total)) for name in dict.fromkeys(y for _, y in table if y)]
+        heads = "|".join(sorted({re.escape(f.head) for f in self.formats}, key=len, reverse=True))
+        # a start is that of a run, or stands behind a mark
+        self.starts = re.compile(f"(?<![A-Za-z0-9])(?={heads})")
+        self.tail = re.compile(f"[{RUN}]*")
+        self.cut = -math.inf
+        least = min(self.ratio(s) for s, y in table if y)
+        most = max(self.ratio(s) for s, y in table if y is None)
+        self.cut = (least + max(most, 0.0)) / 2
+
+    def ratio(self, s: str) -> float:
+        """The best log-likelihood ratio of the whole string under a format; minus infinity without any format's head."""
+        return max((x[2] for f in self.formats if s.startswith(f.head) for x in f.above(s, 0, {len(s)}, len(s), -math.inf)), default=-math.inf)
 
     def is_secret(self, candidate: str) -> bool:
-        return self.ratio(symbols(candidate)) >= self.cut
+        return self.ratio(candidate) >= self.cut
+
+    def secrets(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of the credentials in a text, in order."""
+        out: list[tuple[int, int]] = []
+        found: list[tuple[int, int, float]] = []
+        stop = 0
+
+        def settle() -> None:
+            # the best that don't overlap, within a run
+            taken: list[tuple[int, int]] = []
+            for a, b, _ in sorted(found, key=lambda x: (-x[2], x)):
+                i = bisect_right(taken, (a, b))
+                if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+                    taken.insert(i, (a, b))
+            out.extend(taken)
+            found.clear()
+
+        ends: set[int] = set()
+        for m in self.starts.finditer(text):
+            a = m.start()
+            if a >= stop:
+                settle()
+                stop = self.tail.match(text, a).end()
+                last = stop
+                while last > a and text[last - 1] in ".=-":
+                    last -= 1
+                ends = {last, *(x.start() for x in MARK.finditer(text, a, stop) if text[x.start() - 1] not in ".=-")}
+            for f in self.formats:
+                if text.startswith(f.head, a):
+                    found.extend(f.above(text, a, ends, stop, self.cut))
+        settle()
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def learned() -> Formats:
+    return Formats(labelled())
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, place of the kind, end) of the base patterns."""
-    out = [(m.start(), 0, m.end()) for m in BASE["assign"].finditer(text) if m.end(2) - m.start(2) >= 6]
+    out: list[tuple[int, int, int]] = []
+    low = text.lower()
+    if any(h in low for h in HINTS):
+        out += [(m.start(), 0, m.end()) for m in BASE["assign"].finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in BASE["access"].finditer(text) if m.end() - m.start() >= 20]
     return sorted(out + [(m.start(), 2, m.end()) for m in BASE["hex"].finditer(text)])
 
 
 def all_spans(text: str, formats: Formats) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(base spans, all spans) in order of start, then kind."""
     base = base_spans(text)
+    begins, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
     more = []
-    for m in CANDIDATE.finditer(text):
-        if any(a <= m.start() and m.end() <= b for a, _, b in base):
-            continue
-        for x, y in formats.secrets(m.group()):
-            x, y = x + m.start(), y + m.start()
-            if not any(a <= x and y <= b for a, _, b in base):
-                more.append((x, 3, y))
+    for a, b in formats.secrets(text):
+        i = bisect_right(begins, a)
+        if not i or reach[i - 1] < b:
+            more.append((a, 3, b))
     return base, sorted(base + more)
 
 
-def worth_reading(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Texts that may hold any span: a run of SHORTEST credential characters, or a word of the assign pattern."""
-    n = len(offsets) - 1
-    hit = np.zeros(n, bool)
-    inside = np.r_[False, _CHARS[data], False]
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    long = ends - starts >= SHORTEST  # runs may cross into the next text; both are then read
-    for at in (starts[long], ends[long] - 1):
-        hit[np.searchsorted(offsets, at, "right") - 1] = True
-    raw = data.tobytes().lower()
-    for word in WORDS:
-        at = raw.find(word)
-        while at >= 0:
-            i = int(np.searchsorted(offsets, at, "right")) - 1
-            hit[i] = True
-            at = raw.find(word, int(offsets[i + 1]) if at + len(word) <= offsets[i + 1] else at + 1)
-    return hit
-
-
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def masked_text(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
+    """The text with every span, or chain of overlapping spans, replaced by the mask."""
+    pieces, at, covered = [], 0, 0
+    for a, _, b in spans:
+        if a >= covered:
+            pieces += [text[at:a], mask]
+        covered = max(covered, b)
+        at = covered
+    return "".join([*pieces, text[at:]])
+
+
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, mask: str | None = None) -> DataFrame:
     """For every row of docs: id_col, n_assign, n_access, n_hex, base (spans), spans; keep: columns to carry along.
 
     mask: also return the text with every span replaced by it, as ``masked``."""
-    formats = docs.sparkSession.sparkContext.broadcast(Formats(labelled()))  # an automaton of a few hundred states
+    formats = docs.sparkSession.sparkContext.broadcast(learned())  # automata of a few states
     carried = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep or [])]
     rows = docs.select(F.col(id_col).alias("id"), *carried, F.col(text_col).cast("string").alias("__text"))
     fields = [f for f in rows.schema.fields if f.name != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in blocks(batches, "__text"):
+        for part, _, _ in blocks(batches, "__text"):
             texts = part.column("__text")
-            look = worth_reading(data, off)
             counts, base_col, span_col, masked = [], [], [], []
             for i in range(len(texts)):
-                base, spans, text = [], [], None
-                if look[i] and (text := texts[i].as_py()):
-                    base, spans = all_spans(text, formats.value)
+                text = texts[i].as_py()
+                base, spans = all_spans(text, formats.value) if text else ([], [])
                 counts.append([sum(k == j for _, k, _ in base) for j in range(3)])
                 base_col.append(written(base))
                 span_col.append(written(spans))
                 if mask is not None:
-                    if not spans:
-                        masked.append(texts[i].as_py())
-                        continue
-                    pieces, at = [], 0
-                    for a, _, b in spans:
-                        if a >= at:
-                            pieces += [text[at:a], mask]
-                        at = max(at, b)
-                    masked.append("".join([*pieces, text[at:]]))
+                    masked.append(masked_text(text, spans, mask) if spans else text)
             c = np.array(counts, np.int64).reshape(-1, 3)
             extra = [pa.array(masked, pa.string())] if mask is not None else []
             yield pa.RecordBatch.from_arrays(
@@ -305,7 +348,10 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", mask: str = "[secret]") -> DataFrame:
-    """docs with every span in the text replaced by mask and the length column, if there is one, brought up to date. All rows stay."""
+    """docs with every span in the text replaced by mask and the length column, if there is one, brought up to date.
+
+    All rows and columns stay, in any order, also rows that repeat; null and empty texts stay as they are; an empty table
+    gives an empty one."""
     out = secret_spans(docs, id_col, text_col, keep=docs.columns, mask=mask)
     new = []
     for i, c in enumerate(docs.columns):
@@ -315,4 +361,4 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(*new)
 
 
-__all__ = ["Automaton", "Formats", "labelled", "mask_secrets", "secret_scan", "secret_spans"]
+__all__ = ["Automaton", "Format", "Formats", "labelled", "learned", "mask_secrets", "secret_scan", "secret_spans"]

@@ -239,45 +239,6 @@ def test_trie_sums_to_one(most):
         assert abs((10 ** trie.log10(every)).sum() - 1) < 1e-9
 
 
-def test_main_text(spark):
-    article = lambda h: (re.search(r"<article>(.*?)(</article>|\Z)", h, re.S) or [None, ""])[1]
-    import html as entities
-
-    plain = lambda h: " ".join(entities.unescape(re.sub(r"</?(?:p|h1|br)>", " ", article(h)).replace("<b>", "")).split())
-    raw = {r.page_id: r.html for r in docs(spark, "pages").collect()}
-    assert all(r.text == plain(raw[r.page_id]) and r.n_chars == len(r.text) for r in html.extract(docs(spark, "pages")).collect())
-    tree = html.grow(html.LABELLED)
-    long = "This is a long paragraph of the story, with many words that say what happened on that day in the town. "
-    page = (
-        "<html><head><title>T</title></head><body><header>Site <a href=/>Home</a></header><div class='cookie-notice'>We use cookies " + long + "</div><nav><a>One</a> <a>Two</a></nav>"
-        "<div id=wrap><h2>Head line</h2><p>" + long * 2 + "</p><p>Yes.</p><p>" + long + "caf&eacute; &amp;  <b>bo</b>ld</p></div><form>Name <input> send it now please</form>"
-        "<aside><p>" + long + "</p></aside><section class=comments><p>" + long + "</p></section><footer>&copy; 2024 someone</footer><script>var x='<p>no</p>'</script></body>"
-    )
-    got = html.main_text(page, tree)
-    assert got == " ".join(f"Head line {long * 2} Yes. {long} café & bold".split())
-    assert html.main_text(None, tree) == html.main_text("", tree) == html.main_text("<<<p", tree)[:0] == ""
-    odd = spark.createDataFrame([(1, "u", None, 1), (None, None, "<p", 1), (2, "u", "x" * 100000, 1)], "page_id long, url string, html string, text int")
-    assert len(html.extract(odd).collect()) == 3 and html.extract(odd.limit(0)).count() == 0
-
-
-def test_secrets(spark):
-    raw = {r.doc_id: r.text or "" for r in docs(spark, sf="/root/testdata/sf0.01").collect()}
-    from hashlib import sha256
-
-    for r in secrets.secret_scan(docs(spark, sf="/root/testdata/sf0.01")).collect():
-        t = raw[r.doc_id]
-        spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", t) if len(m.group(2)) >= 6]
-        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 24]
-        base = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
-        assert r.base_sha256 == sha256(base.encode()).hexdigest() and (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in spans) for i in range(3))
-    f = secrets.Formats(secrets.labelled())
-    fresh = secrets.labelled(seed=99)
-    assert np.mean([f.is_secret(s) for s, y in fresh if y]) >= 0.95 and not any(f.is_secret(s) for s, y in fresh if not y)
-    key = next(s for s, y in fresh if y and s.startswith("ghp_"))
-    base, spans = secrets.all_spans(f"é use {key}. TOKEN: 'abcdef' ok", f)
-    assert spans[0] == (6, 3, 6 + len(key)) and base[0][1] == 0
-
-
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     d = docs(spark)
@@ -332,26 +293,6 @@ def test_lm_scores_by_whole_trie(spark, most):
     assert all(abs(x - y) <= 1e-9 * abs(y) for (_, x), (_, y) in zip(got, want, strict=True))
 
 
-def test_secrets_inside_a_run():
-    """Formats behind NAME=, in a query, behind a path, and before a further part of the run."""
-    f = secrets.Formats(secrets.labelled())
-    fresh = secrets.labelled(seed=98)
-    for before, after in (("", ""), ("GH_PAT=", ""), ("see https://host/x?a=1&id=", "&b=2"), ("https://", "@host/x"), ("conf/app/", ""), ("conf/app/", "/more/parts"), ("a.b-c+", " end")):
-        found = total = 0
-        for s, y in fresh:
-            text = before + s + after
-            spans = [(a, b) for a, k, b in secrets.all_spans(text, f)[1] if k == 3 or s.startswith("AKIA")]
-            if y:
-                total, found = total + 1, found + any(a <= len(before) and len(before) + len(s.rstrip(".=-")) <= b for a, b in spans)
-            else:
-                # only what is above the cut as a whole run
-                assert all(f.is_secret(text[a:].split()[0].split("@")[0].split("&")[0].rstrip(".=-")) for a, _ in spans), text
-        assert found >= 0.95 * total, (before, after, found, total)
-    one, two = (next(s for s, y in fresh if y and s.startswith(p)) for p in ("ghp_", "npm_"))
-    spans = secrets.all_spans(f"A={one}/{two}", f)[1]
-    assert all(any(x <= i < y for x, _, y in spans) for i in range(2, 3 + len(one) + len(two)) if i != 2 + len(one))
-
-
 def test_leaks_near_the_threshold(spark):
     """Copies of every item with words changed, or cut by the document's end: all that SQL's exact similarity reports are found."""
     import duckdb
