@@ -372,6 +372,23 @@ LABELLED: list[tuple[Row, int]] = [
     ((4, 1.0, 50, 0.0, 60, 0.0, 1, 0, 0), 1),
     ((20, 0.0, 1, 1.0, 1, 1.0, 1, 0, 0), 1),
     ((10, 0.3, 40, 0.0, 40, 0.0, 1, 0, 0), 1),
+    ((28, 0.0, 20, 0.0, 3, 1.0, 1, 0, 0), 1),
+    ((33, 0.0, 40, 0.0, 2, 1.0, 1, 0, 0), 1),
+    ((24, 0.1, 30, 0.0, 2, 1.0, 1, 1, 0), 1),
+    ((26, 0.0, 0, 0.0, 50, 0.0, 1, 0, 0), 1),
+    ((30, 0.0, 30, 0.0, 30, 0.0, 1, 0, 0), 1),
+    ((23, 0.0, 12, 0.0, 6, 0.0, 1, 1, 0), 1),
+    ((2, 0.0, 1, 1.0, 30, 0.0, 1, 0, 0), 1),
+    ((4, 0.0, 2, 1.0, 20, 0.0, 1, 0, 0), 1),
+    ((1, 0.0, 2, 1.0, 1, 0.0, 1, 0, 0), 1),
+    ((3, 0.0, 4, 1.0, 40, 0.0, 1, 1, 0), 1),
+    ((3, 0.0, 2, 1.0, 1, 1.0, 1, 0, 0), 0),
+    ((1, 0.0, 3, 1.0, 2, 1.0, 1, 0, 0), 0),
+    ((1, 1.0, 20, 0.0, 5, 0.0, 1, 0, 0), 0),
+    ((1, 1.0, 20, 0.0, 2, 1.0, 1, 0, 0), 0),
+    ((2, 1.0, 90, 0.0, 1, 1.0, 1, 0, 0), 0),
+    ((3, 1.0, 60, 0.0, 0, 0.0, 1, 0, 0), 0),
+    ((6, 0.9, 30, 0.0, 3, 1.0, 1, 0, 0), 0),
 ]
 
 Tree = int | tuple[int, float, "Tree", "Tree"]
