@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="quarry-"))
     return f"file://{_own_folder[0]}"
@@ -42,6 +44,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a row number, stored: a number that is computed anew may differ once executors are lost or join."""
+    return store(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def semi_join(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is in ids (distinct, stored). ids is broadcast only up to BROADCAST_ROWS rows."""
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

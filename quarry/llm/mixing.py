@@ -8,10 +8,12 @@ give all they have.
 
 Each leaf then takes whole epochs of its documents and a prefix of one more: documents in the order of
 md5(seed:epoch:id), as long as the tokens before a document are under the leaf's quota (so the last one may reach over it).
-The prefix is found without sorting a leaf: tokens are summed by the first four hex digits of the key (65,536 buckets a
-leaf at most), the bucket that the quota falls into is found, and only that bucket's documents are ordered.
+The prefix is found without sorting a leaf: tokens are summed by the first two hex digits of the key, the bucket of 256
+that the quota falls into is found, its tokens are summed by the next two digits, and so on; only the documents of the last
+bucket are ordered. A leaf has 256 rows at most in a window then. Siblings are put in order in one task while a level of
+the tree has at most BROADCAST_ROWS nodes; larger levels are sorted by ranges, with sums carried over from range to range.
 
-Everything is DataFrame functions; texts are never shuffled.
+Everything is DataFrame functions; texts are never shuffled. Rows are told apart by a stored number.
 
 Nulls and odd cases: a null text has no tokens; a document without tokens is chosen only as part of a whole epoch or
 before the quota is reached; a null language, source or domain forms a branch named ``unknown``; a null id counts as an
@@ -25,9 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BROADCAST_ROWS, store
+from quarry.llm.common import BROADCAST_ROWS, numbered, store
 
-SEED, FRACTION, MAX_EPOCHS, HEX = 7, 0.8, 2, 4
+#: HEX digits of the key are looked at in each of DEPTH steps.
+SEED, FRACTION, MAX_EPOCHS, HEX, DEPTH = 7, 0.8, 2, 2, 3
+RANGES = 200
 LEVELS = ("domain", "lang", "source")
 #: Target weights; a name that is not listed has the weight under "".
 WEIGHTS: dict[str, dict[str, float]] = {
@@ -56,40 +60,54 @@ def _weight(level: str, weights: dict[str, dict[str, float]]) -> Column:
     return F.coalesce(out, F.lit(float(table.get("", 0.0))))
 
 
-def _fill(nodes: DataFrame, parent: list[str], child: str, weights: dict[str, dict[str, float]]) -> DataFrame:
+def _sums_before(df: DataFrame, parent: list[str], order: list[str], values: list[str], most: int) -> DataFrame:
+    """df with before_x for each x of values: the sum of x over its siblings that come earlier.
+
+    Up to ``most`` rows by a window of siblings; more are sorted by ranges and each range gets the sums of those before."""
+    if df.limit(most + 1).count() <= most:
+        w = Window.partitionBy(*parent, "budget").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({f"before_{v}": F.coalesce(F.sum(v).over(w), F.lit(0.0)) for v in values})
+    parts = store(df.repartitionByRange(RANGES, *parent, *order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    whole = Window.partitionBy(*parent, "budget").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = parts.groupBy(*parent, "budget", "range").agg(*(F.sum(v).alias(f"all_{v}") for v in values))
+    ahead = ahead.select(*parent, "budget", "range", *(F.coalesce(F.sum(f"all_{v}").over(whole), F.lit(0.0)).alias(f"ahead_{v}") for v in values))
+    inside = Window.partitionBy(*parent, "budget", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.withColumns({f"before_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0.0)) for v in values}).join(ahead, [*parent, "budget", "range"])
+    return out.withColumns({f"before_{v}": F.col(f"before_{v}") + F.col(f"ahead_{v}") for v in values}).drop("range", *(f"ahead_{v}" for v in values))
+
+
+def _fill(nodes: DataFrame, parent: list[str], child: str, weights: dict[str, dict[str, float]], most: int) -> DataFrame:
     """nodes: parent columns, child, capacity, budget of the parent -> the child's own budget as ``share``."""
-    w = nodes.withColumn("weight", _weight(child, weights)).where("weight > 0 and capacity > 0")
-    order = Window.partitionBy(*parent, "budget").orderBy(F.col("capacity") / F.col("weight"), child)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.col("budget") - F.coalesce(F.sum("capacity").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    full = w.withColumn("full", F.col("capacity") <= F.col("weight") * level)
-    whole = Window.partitionBy(*parent, "budget")
-    given = F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))).over(whole), F.lit(0.0))
-    left = F.sum(F.when(~F.col("full"), F.col("weight"))).over(whole)
-    share = F.when(F.col("full"), F.col("capacity")).otherwise(F.greatest(F.lit(0.0), F.col("budget") - given) * F.col("weight") / left)
-    return full.withColumn("share", share).drop("weight", "full", "budget")
-
-
-def budgets(leaves: DataFrame, fraction: float, max_epochs: int, weights: dict[str, dict[str, float]]) -> DataFrame:
+    w = store(nodes.withColumn("weight", _weight(child, weights)).where("weight > 0 and capacity > 0").withColumn("ratio", F.col("capacity") / F.col("weight")), "mix-nodes")
+    by = [*parent, "budget"]
+    before = _sums_before(w, parent, ["ratio", child], ["capacity", "weight"], most)
+    total = w.groupBy(*by).agg(F.sum("weight").alias("all_weight"))
+    level = (F.col("budget") - F.col("before_capacity")) / (F.col("all_weight") - F.col("before_weight"))
+    full = store(before.join(total, by).withColumn("full", F.col("capacity") <= F.col("weight") * level), "mix-full")
+    given = full.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))), F.lit(0.0)).alias("given"), F.sum(F.when(~F.col("full"), F.col("weight"))).alias("left"))
+    share = F.when(F.col("full"), F.col("capacity")).otherwise(F.greatest(F.lit(0.0), F.col("budget") - F.col("given")) * F.col("weight") / F.col("left"))
+    return full.join(given, by).withColumn("share", share).drop("weight", "ratio", "full", "budget", "given", "left", "all_weight", "before_capacity", "before_weight")
+
+
+def budgets(leaves: DataFrame, fraction: float, max_epochs: int, weights: dict[str, dict[str, float]], most: int = BROADCAST_ROWS) -> DataFrame:
     """leaves (domain, lang, source, tokens) -> each leaf's quota of tokens. Sizes follow the number of leaves, not of rows."""
     capacity = (F.sum("tokens") * max_epochs).cast("double").alias("capacity")
     total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(fraction)).cast("double").alias("all"), F.coalesce(F.sum("tokens") * max_epochs, F.lit(0)).cast("double").alias("most"))
     budget = total.select(F.least("all", "most").alias("budget"))
-    domains = _fill(leaves.groupBy("domain").agg(capacity).join(F.broadcast(budget)), [], "domain", weights).select("domain", F.col("share").alias("budget"))
-    langs = _fill(leaves.groupBy("domain", "lang").agg(capacity).join(domains, "domain"), ["domain"], "lang", weights).select("domain", "lang", F.col("share").alias("budget"))
-    sources = _fill(leaves.groupBy("domain", "lang", "source").agg(capacity, F.sum("tokens").alias("tokens")).join(langs, ["domain", "lang"]), ["domain", "lang"], "source", weights)
+    domains = _fill(leaves.groupBy("domain").agg(capacity).join(F.broadcast(budget)), [], "domain", weights, most).select("domain", F.col("share").alias("budget"))
+    langs = _fill(leaves.groupBy("domain", "lang").agg(capacity).join(domains, "domain"), ["domain"], "lang", weights, most).select("domain", "lang", F.col("share").alias("budget"))
+    sources = _fill(leaves.groupBy("domain", "lang", "source").agg(capacity, F.sum("tokens").alias("tokens")).join(langs, ["domain", "lang"]), ["domain", "lang"], "source", weights, most)
     quota = F.floor(F.col("share") + 1e-6).cast("long")
     return sources.select(*LEVELS, "tokens", quota.alias("quota"), F.floor(quota / F.col("tokens")).cast("int").alias("whole"), (quota % F.col("tokens")).alias("part"))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None, fraction: float = FRACTION, max_epochs: int = MAX_EPOCHS, weights: dict[str, dict[str, float]] | None = None, seed: int = SEED) -> DataFrame:
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None, fraction: float = FRACTION, max_epochs: int = MAX_EPOCHS, weights: dict[str, dict[str, float]] | None = None, seed: int = SEED, uid: Column | None = None) -> DataFrame:
     """One row for each row of docs: uid, id, domain, lang, source, n_tokens, and times (copies that the mixture takes).
 
-    Copies number 1 to times; all but a last, partial one are whole epochs."""
+    Copies number 1 to times; all but a last, partial one are whole epochs. uid: a stored row number, if docs has one."""
     name = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("uid"),
+        (uid if uid is not None else F.monotonically_increasing_id()).alias("uid"),
         F.col(id_col).alias("id"),
         name(domain if domain is not None else default_domain()).alias("domain"),
         name(F.col("lang")).alias("lang"),
@@ -98,22 +116,27 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain
     )
     rows = store(rows, "mix-rows")
     # the leaves are many times fewer than the rows; their number is checked before they are sent to tasks
-    leaves = store(budgets(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), fraction, max_epochs, weights or WEIGHTS), "mix-leaves")
+    tokens = store(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "mix-tokens")
+    leaves = store(budgets(tokens, fraction, max_epochs, weights or WEIGHTS), "mix-leaves")
     small = leaves.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hint = F.broadcast if small else lambda df: df
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    keyed = rows.join(hint(leaves.where("quota > 0")), list(LEVELS)).withColumn("key", key).withColumn("bucket", F.substring("key", 1, HEX))
-    by_bucket = keyed.where("part > 0").groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("inside"), F.first("part").alias("part"))
+    keyed = rows.join(hint(leaves.where("quota > 0").drop("tokens", "quota")), list(LEVELS)).withColumn("key", key)
+    keyed = store(keyed, "mix-keyed")
+    # a leaf's edge: the start of the keys of the bucket that its quota falls into, and the tokens in the buckets before
+    edge = leaves.where("quota > 0 and part > 0").select(*LEVELS, F.lit("").alias("edge"), F.lit(0).cast("long").alias("before"))
     upto = F.sum("inside").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
-    # buckets are at most 16**HEX a leaf
-    edge = by_bucket.withColumn("upto", upto).where("upto >= part and upto - inside < part").select(*LEVELS, F.col("bucket").alias("edge"), (F.col("upto") - F.col("inside")).alias("before"))
-    edge = store(edge, "mix-edges")
+    for depth in range(1, DEPTH + 1):
+        inside = keyed.where("part > 0").join(hint(edge), list(LEVELS)).where(F.col("key").startswith(F.col("edge")))
+        by_bucket = inside.groupBy(*LEVELS, F.substring("key", 1, HEX * depth).alias("bucket")).agg(F.sum("n_tokens").alias("inside"), F.first("part").alias("part"), F.first("before").alias("before"))
+        summed = by_bucket.withColumn("upto", F.col("before") + upto)
+        edge = store(summed.where("upto >= part and upto - inside < part").select(*LEVELS, F.col("bucket").alias("edge"), (F.col("upto") - F.col("inside")).alias("before")), "mix-edges")
     keyed = keyed.join(hint(edge), list(LEVELS), "left")
     ahead = F.coalesce(F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key", "uid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = keyed.where("bucket = edge").withColumn("ahead", F.col("before") + ahead).where("ahead < part").withColumn("times", F.col("whole") + 1)
-    other = keyed.where("edge is null or bucket <> edge").withColumn("times", F.col("whole") + F.when(F.col("bucket") < F.col("edge"), 1).otherwise(0))
-    late = keyed.where("bucket = edge and whole > 0").withColumn("times", F.col("whole")).join(inside.select("uid"), "uid", "left_anti").select(*rows.columns, "times")
-    return inside.select(*rows.columns, "times").union(other.select(*rows.columns, "times")).union(late).where("times > 0")
+    at_edge = F.coalesce(F.col("key").startswith(F.col("edge")), F.lit(False))
+    inside = keyed.where(at_edge).withColumn("ahead", F.col("before") + ahead).withColumn("times", F.col("whole") + F.when(F.col("ahead") < F.col("part"), 1).otherwise(0))
+    other = keyed.where(~at_edge).withColumn("times", F.col("whole") + F.when(F.col("key") < F.col("edge"), 1).otherwise(0))
+    return inside.select(*rows.columns, "times").union(other.select(*rows.columns, "times")).where("times > 0")
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -124,8 +147,10 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with its columns, a row for each copy taken, and the columns domain, n_tokens and epoch."""
-    chosen = store(plan(docs, id_col, text_col, **options).select(F.col("uid").alias("__quarry_uid"), F.col("domain").alias("__quarry_domain"), F.col("n_tokens").alias("__quarry_tokens"), F.col("times").alias("__quarry_times")), "mix-chosen")
+    whole = numbered(docs, "__quarry_uid")
+    chosen = plan(whole, id_col, text_col, uid=F.col("__quarry_uid"), **options)
+    chosen = store(chosen.select(F.col("uid").alias("__quarry_uid"), F.col("domain").alias("__quarry_domain"), F.col("n_tokens").alias("__quarry_tokens"), F.col("times").alias("__quarry_times")), "mix-chosen")
     small = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.withColumn("__quarry_uid", F.monotonically_increasing_id()).join(F.broadcast(chosen) if small else chosen, "__quarry_uid")
+    rows = whole.join(F.broadcast(chosen) if small else chosen, "__quarry_uid")
     own = [c for c in docs.columns if c not in ("domain", "n_tokens", "epoch")]
     return rows.select(*own, F.col("__quarry_domain").alias("domain"), F.col("__quarry_tokens").alias("n_tokens"), F.explode(F.sequence(F.lit(1), "__quarry_times")).alias("epoch"))

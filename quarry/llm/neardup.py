@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix, semi_join, shingle_sets, store, text_buffer
+from quarry.llm.common import mix, numbered, semi_join, shingle_sets, store, text_buffer
 from quarry.llm.common import groups as row_groups
 
 BANDS, ROWS, CELL = 44, 5, 512
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: uid (its row number), id_col, n_shingles, component_id, kept, is_first.
 
     kept: the id is the component's smallest. is_first: the one row of its component that a deduplicated corpus keeps."""
-    return _near_duplicates(store(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "numbered"), id_col, threshold)
+    return _near_duplicates(numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "uid"), id_col, threshold)
 
 
 def _near_duplicates(rows: DataFrame, id_col: str, threshold: int) -> DataFrame:
@@ -302,7 +302,7 @@ def _near_duplicates(rows: DataFrame, id_col: str, threshold: int) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """docs with one row of each component, its columns unchanged."""
     name = "__quarry_uid"
-    whole = store(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    whole = numbered(docs, name)
     rows = whole.select(F.col(name).alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     stay = _near_duplicates(rows, id_col, threshold).where("is_first").select(F.col("uid").alias(name))
     return semi_join(whole, store(stay, "stay"), name).drop(name)
