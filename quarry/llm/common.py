@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 20
 #: Most rows that are sent to every task; joins with more rows are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Rows from which a key's rows are not shuffled to one task.
+HOT = 10_000
 
 _own_folder: list[str] = []
 
@@ -36,10 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}"
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: it is computed once, and lost executors cost no lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,6 +61,25 @@ def semi_join(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """big joined to small, stored and with one row for each key; rows: small's column with the key's number of rows in big.
+
+    Keys of HOT rows or more are few (a HOT-th of the rows at most) and sent to the tasks, so no key's rows meet in one task;
+    should they be more than BROADCAST_ROWS, they are joined by a shuffle like the others."""
+    hot = store(small.where(F.col(rows) >= HOT), "hot")
+    n = hot.limit(BROADCAST_ROWS + 1).count()
+    if not 0 < n <= BROADCAST_ROWS:
+        return big.join(small.drop(rows), keys)
+    some = F.broadcast(hot.drop(rows))
+    return big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.where(F.col(rows) < HOT).drop(rows), keys).unionByName(big.join(some, keys))
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has stored; results that still read them can't be used any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id's text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

@@ -5,7 +5,8 @@ HIDDEN units reads forwards and one backwards; every position gets a probability
 the mean over all positions of the text is its probability. The highest is the prediction (ties to the smaller name).
 
 The network is trained here by backpropagation through time (Adam) on at most ``rows_each`` labelled texts of each
-language, chosen by a hash of the id and the text: a documented bound of the fit alone. Every text is labelled whole.
+language (``rows_all`` of all), of at most ``train_bytes`` bytes each, chosen by a hash of the id and the text, and on the
+``most`` most frequent languages: documented bounds of the fit alone. Every text is labelled whole.
 
 Nulls and odd cases: a null text, or one without a letter, is ``und`` with score 0; rows with a null lang are not learned
 from; a null id counts as an empty id for the split; ids may repeat; extra columns are ignored; an empty table gives an
@@ -21,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import groups, remainder, text_buffer
+from quarry.llm.common import groups, remainder, store, text_buffer
 
-HIDDEN, WINDOW, ROWS_EACH = 8, 48, 250
+HIDDEN, WINDOW, ROWS_EACH, ROWS_ALL, TRAIN_BYTES, MOST = 8, 48, 250, 4000, 1 << 16, 500
 PAD = 256
 Params = dict[str, np.ndarray]
 
@@ -128,11 +129,13 @@ def pooled(p: Params, data: np.ndarray, offsets: np.ndarray, at_once: int = 4096
 
 
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_each: int) -> tuple[list[str], Params | None]:
-    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null").where(remainder("id", 4) != 2)
+    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null").where(remainder("id", 4) != 2).where(F.octet_length("text") <= TRAIN_BYTES)
     order = F.xxhash64("id", "text", F.lit(8))
     # about 4 * rows_each rows of a language are ranked, however many it has (its least hash always is, should one row repeat
     # so often that no other is there); one row of counts for each output of the network
-    counts = known.groupBy("lang").agg(F.count("*").alias("rows"), F.min(order).alias("least"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows"), F.min(order).alias("least")).orderBy(F.desc("rows"), "lang").limit(MOST)
+    counts = store(counts, "languages")
+    rows_each = max(1, min(rows_each, ROWS_ALL // max(1, counts.count())))
     few = known.join(F.broadcast(counts), "lang").where((order / F.lit(2.0**64) + 0.5 <= F.lit(4.0 * rows_each) / F.col("rows")) | (order == F.col("least")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "id", "text"))
     ids = few.select("id", "lang", "text", rank.alias("rank")).where(F.col("rank") <= rows_each).drop("rank").orderBy("lang", "id", "text").toArrow()

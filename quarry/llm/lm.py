@@ -2,7 +2,7 @@
 
 The trie holds, for contexts of 0 to ORDER bytes, the counts of the bytes that follow, over all training texts; they are
 counted in one distributed pass and summed by shuffles. A text's score is the sum over its bytes (and one end symbol, the
-zero byte) of log10 of PPM's probability: from the longest context that the trie has, a byte seen there is coded by its
+byte 255, which UTF-8 never uses) of log10 of PPM's probability: from the longest context that the trie has, a byte seen there is coded by its
 count (method C: a context escapes with weight equal to the number of its different bytes); otherwise the escape is coded,
 the bytes of that context are excluded, and the next shorter context codes the byte; last come the bytes never seen, all
 alike. Probabilities sum to one.
@@ -46,14 +46,14 @@ HELD = 3_000_000
 def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(codes of ORDER bytes of history and a symbol, the symbol lowest; index of each text's first code and the end).
 
-    Every text starts with a history of zero bytes and ends with a zero byte of its own."""
+    Every text starts with a history of end symbols and ends with one of its own."""
     raw = data.tobytes()
-    gap = b"\0" * ORDER
+    gap = b"\xff" * ORDER
     b = np.frombuffer(gap + gap.join(raw[x:y] for x, y in zip(offsets[:-1], offsets[1:], strict=True)) + gap, np.uint8)
     code = np.zeros(len(b) - ORDER, np.uint64)
     for i in range(ORDER + 1):
         code = (code << np.uint64(8)) | b[i : len(b) - ORDER + i]
-    # a text's own codes: its bytes and the end; the other zeros of the gap belong to no text
+    # a text's own codes: its bytes and the end; the rest of the gap belongs to no text
     own = np.diff(offsets) + 1
     first = np.r_[0, np.cumsum(own)]
     at = np.arange(first[-1]) + np.repeat(np.arange(len(own)) * (ORDER - 1), own)

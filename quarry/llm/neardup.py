@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix, numbered, semi_join, shingle_sets, store, text_buffer
+from quarry.llm.common import join_hot, mix, numbered, semi_join, shingle_sets, store, text_buffer
 from quarry.llm.common import groups as row_groups
 
 BANDS, ROWS, CELL = 44, 5, 512
@@ -209,7 +209,8 @@ def _cells(members: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, comp): the smallest node that each node of edges (a, b) reaches, by alternating large-star and small-star.
 
-    Each round is a written table; minima are pre-aggregated, so a hub with many neighbours is no hot task."""
+    Each round is a written table; minima are pre-aggregated, so a hub with many neighbours is no hot task. Rounds grow with
+    the logarithm of the longest chain; should max_rounds not do, an error is raised and no link lost."""
     from_to = store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
@@ -245,7 +246,7 @@ def _near_duplicates(rows: DataFrame, id_col: str, threshold: int) -> DataFrame:
     signed = store(rows.select("uid", "text").mapInArrow(_signed, "uid long, n long, k1 long, k2 long, sig binary"), "signatures")
     ids = rows.select("uid", "id")
     full = signed.where("n > 0")
-    classes = store(full.groupBy("k1", "k2").agg(F.min("uid").alias("rep")), "classes")
+    classes = store(full.groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.count("*").alias("rows")), "classes")
     reps = classes.select("rep")
     sigs = full.select(F.col("uid").alias("rep"), "sig").join(reps, "rep", "left_semi")
     bands = store(sigs.mapInArrow(_banded, "rep long, key long"), "bands")
@@ -284,12 +285,13 @@ def _near_duplicates(rows: DataFrame, id_col: str, threshold: int) -> DataFrame:
     more = store(more.distinct(), "more-links")
     final = first if more.isEmpty() else components(sure.union(more))
 
-    # class -> component -> smallest id; every row of a class shares its component
-    node = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
-    member = store(signed.select("uid", "n", "k1", "k2").join(ids, "uid").join(node, ["k1", "k2"], "left").withColumn("comp", F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("uid"))).select("uid", "id", "n", "comp"), "members")
+    # class -> component -> smallest id; every row of a class shares its component, a row without shingles is its own
+    node = store(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"), "rows"), "class-components")
+    member = join_hot(full.select("uid", "n", "k1", "k2"), node, ["k1", "k2"], "rows").select("uid", "n", "comp")
+    member = store(member.union(signed.where("n = 0").select("uid", "n", F.col("uid").alias("comp"))).join(ids, "uid"), "members")
     # a component in which no row has an id keeps its first row
-    top = member.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("top"))
-    return member.join(top, "comp").select(
+    top = member.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("top"), F.count("*").alias("rows"))
+    return join_hot(member, store(top, "component-ids"), ["comp"], "rows").select(
         "uid",
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -300,7 +302,10 @@ def _near_duplicates(rows: DataFrame, id_col: str, threshold: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """docs with one row of each component, its columns unchanged."""
+    """docs with one row of each component, its columns unchanged.
+
+    Texts without a word are linked with nothing and stay, null ones too; of rows that repeat one stays, also without an id;
+    an empty table gives an empty one; extra columns may have any names."""
     name = "__quarry_uid"
     whole = numbered(docs, name)
     rows = whole.select(F.col(name).alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

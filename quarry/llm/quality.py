@@ -6,8 +6,9 @@ that repetition is visible to a filter). FILTERS learned filters of WIDTH bytes
 rectified responses are averaged within the chunk, a small dense layer turns them into chunk features, these are
 max-pooled over all chunks (with their mean beside them) and a logistic output combines them into one probability.
 
-The network is trained here by gradient descent (Adam) on at most ``train_rows`` labelled rows, chosen by a hash of the
-id: a documented bound of the fit alone. Every row of the table is scored, over its whole text.
+The network is trained here by gradient descent (Adam) on at most ``train_rows`` labelled rows with texts of at most
+``train_bytes`` bytes, chosen by a hash: a documented bound of the fit alone. Every row of the table is scored, over its
+whole text; a long text goes through in parts, so it takes a few bytes of memory for each of its own.
 
 Nulls and odd cases: a null text is empty; an empty text is one chunk of padding and gets the score of that. Labels that
 are null, and labels of ids without a document, are not learned from; an id with several labels or rows is learned from
@@ -28,7 +29,9 @@ from quarry.llm.common import blocks, remainder
 
 CHUNK, LAGS, EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 256, 48, 6, 8, 4, 24, 16
 HOP = CHUNK // 2
-TRAIN_ROWS = 2000
+TRAIN_ROWS, TRAIN_BYTES = 2000, 1 << 16
+#: Chunks that are scored at once.
+AT_ONCE = 512
 CUT = 0.3
 Params = dict[str, np.ndarray]
 
@@ -55,15 +58,25 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def prepared(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """((chunks, CHUNK) symbols: byte, plus 256 where it repeats, 512 past the text's end; first chunk of each text)."""
-    symbol = data.astype(np.int16)
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        symbol[a:b] += repeats(data[a:b]) * np.int16(256)
     starts, first = chunks(data, offsets)
-    ends = np.repeat(offsets[1:], np.diff(first))
-    at = starts[:, None] + np.arange(CHUNK)
-    inside = at < ends[:, None]
+    begins, ends = (np.repeat(x, np.diff(first)) for x in (offsets[:-1], offsets[1:]))
+    return symbols(data, starts, begins, ends), first
+
+
+def symbols(data: np.ndarray, starts: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(chunks, CHUNK) symbols of the chunks at starts, in order, of texts from begins to ends."""
+    lo = max(int(begins[0]), int(starts[0]) - LAGS)
+    hi = min(len(data), int(starts[-1]) + CHUNK + 3)
+    part = data[lo:hi]
+    symbol = part.astype(np.int16)
+    # repeats are looked for within a text
+    cuts = np.unique(np.clip(np.r_[begins, ends], lo, hi)) - lo
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        symbol[a:b] += repeats(part[a:b]) * np.int16(256)
+    at = (starts - lo)[:, None] + np.arange(CHUNK)
+    inside = at < (ends - lo)[:, None]
     padded = np.r_[symbol, np.int16(512)]
-    return np.where(inside, padded[np.minimum(at, len(data))], 512), first
+    return np.where(inside, padded[np.minimum(at, len(part))], np.int16(512))
 
 
 def table(p: Params) -> np.ndarray:
@@ -162,12 +175,14 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 5, seed: int = 5
 
 
 def score(p: Params, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Probability of label 1 for each text; a text longer than a step goes through in parts of whole chunks."""
-    symbols, first = prepared(data, offsets)
+    """Probability of label 1 for each text, AT_ONCE chunks at a time."""
+    starts, first = chunks(data, offsets)
+    begins, ends = (np.repeat(x, np.diff(first)) for x in (offsets[:-1], offsets[1:]))
     t = table(p)
     hs = []
-    for a in range(0, len(symbols), 512):
-        z = windows(t[symbols[a : a + 512]]) @ p["filters"]
+    for a in range(0, len(starts), AT_ONCE):
+        b = a + AT_ONCE
+        z = windows(t[symbols(data, starts[a:b], begins[a:b], ends[a:b])]) @ p["filters"]
         z += p["bias"]
         np.maximum(z, 0, out=z)
         hs.append(np.tanh(z.mean(axis=1) @ p["dense"] + p["dense_bias"]))
@@ -178,13 +193,14 @@ def score(p: Params, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, train_rows: int) -> Params | float:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, train_rows: int, train_bytes: int = TRAIN_BYTES) -> Params | float:
     """The network, or the share of label 1 if only one class is there to learn from."""
     known = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1) and id is not null").where(remainder("id", 5) != 0)
     # the ids first, without texts; then the texts of these alone
     chosen = known.orderBy(F.xxhash64("id", F.lit(5)), "id", "label").limit(train_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").orderBy("id", "label").toArrow()  # at most train_rows ids
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= train_bytes)
+    # an id may stand in many rows: the bound holds for rows
+    rows = texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id", F.lit(5)), "id", "label", F.xxhash64("text")).limit(train_rows).toArrow()
     y = np.array(rows.column("label").to_pylist(), np.float32)
     if len(np.unique(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
@@ -213,7 +229,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the classifier accepts, columns unchanged. Texts go through the classifier once."""
+    """The rows of docs that the classifier accepts, columns unchanged. Texts go through the classifier once.
+
+    Rows that repeat, or have no id, are judged by their texts like all others, a null text as the empty one; an empty table
+    gives an empty one; extra columns may have any names."""
     scored = quality_scores(docs, labels, id_col, text_col, keep=docs.columns)
     flat = scored.toDF(*[f"c{i}" for i in range(len(scored.columns))])
     kept = flat.where(F.col(f"c{len(scored.columns) - 1}") == 1)

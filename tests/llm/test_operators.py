@@ -168,11 +168,31 @@ def test_nearest_odd(spark):
 
 def test_index_finds_all_within_radius():
     rng = np.random.default_rng(1)
-    code = rng.integers(0, 1 << 16, (3000, 4)).astype(np.uint16)
-    index, bits = ann.Index(code), np.array([bin(i).count("1") for i in range(1 << 16)])
-    for r in (0, 5, 13, 24, 30):
-        q = code[r]
-        assert set(index.within(q, r)) == set(np.flatnonzero(bits[code ^ q].sum(axis=1) <= r))
+    code = rng.integers(0, 1 << 63, (3000, 4), dtype=np.uint64)
+    code[100:200] = code[5]
+    index = ann.Index(code)
+    for r in (0, 5, 60, 115, 128):
+        q = code[r] ^ np.uint64(r)
+        assert set(index.within(q, r)) == set(np.flatnonzero(np.bitwise_count(code ^ q).sum(axis=1) <= r))
+
+
+def test_nearest_share_of_rows(spark):
+    """What probing and the radius leave of vectors alike in all directions."""
+    x = np.array([r.embedding for r in docs(spark, "embeddings", "/root/testdata/sf0.1").collect()], float)
+    codes = ann.Codes(x, 10)
+    code = codes.of(x)
+    index = ann.Index(code)
+    probed, within = (np.mean([len(f(code[i], codes.radius)) for i in range(0, len(x), 50)]) / len(x) for f in (index.probed, index.within))
+    print("probed", probed, "within", within, codes.radius)
+    assert probed < 0.25 and within < 0.04
+
+
+def test_nearest_of_ids_that_repeat(spark):
+    """Each row is a query of its own; its candidates are all rows but itself."""
+    e = spark.createDataFrame([(100, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in ann.nearest(e).collect())
+    far, off, side = round(2**0.5, 6), 0.1, round((0.9**2 + 1) ** 0.5, 6)
+    assert got == sorted([(100, 1, 1, off), (100, 2, 2, side), (100, 3, 100, far), (100, 1, 2, off), (100, 2, 1, side), (100, 3, 100, far)])
 
 
 def test_quality_held_out(spark):
