@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import stats
@@ -76,17 +76,23 @@ def files_unchanged(now: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def step_checks(calls: DataFrame, tool: str, at_least: int) -> DataFrame:
-    """calls: file, pos, tool. Per file: number of calls of the tool, first place, whether there are enough."""
-    tools = calls.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", "tool"))).alias("calls"))
-    names = F.transform("calls", lambda c: c["tool"])
-    n = F.size(F.filter(names, lambda t: t == tool))
-    return tools.select("file", n.cast("long").alias("n"), F.array_position(names, tool).cast("long").alias("first"), (n >= at_least).alias("passed"))
-
-
-def tool_durations(calls: DataFrame) -> DataFrame:
-    """Per file and tool: calls, floor-index percentiles and the longest."""
-    d = calls.groupBy("file", "tool").agg(F.array_sort(F.collect_list("duration")).alias("d"))
-    return d.select("file", "tool", F.size("d").cast("long").alias("n"), stats.floor_index(F.col("d"), 0.5).alias("p50"), stats.floor_index(F.col("d"), 0.95).alias("p95"), F.array_max("d").alias("longest"))
+    """calls: file, pos, tool. Per file: number of calls of the tool, place of its first among the calls, whether there are enough."""
+    w = Window.partitionBy("file").orderBy("pos", "tool")
+    mine = F.col("tool") == tool
+    placed = calls.withColumn("place", F.row_number().over(w))
+    return placed.groupBy("file").agg(F.count_if(mine).alias("n"), F.coalesce(F.min(F.when(mine, F.col("place"))), F.lit(0)).cast("long").alias("first"), (F.count_if(mine) >= at_least).alias("passed"))
+
+
+def tool_durations(calls: DataFrame, most: int | None = None) -> DataFrame:
+    """Per file and tool: calls, floor-index percentiles and the longest; with is_error also errors. most: tools with most calls."""
+    w = Window.partitionBy("file", "tool")
+    x = calls.withColumn("i", F.row_number().over(w.orderBy("duration")) - 1).withColumn("all", F.count("*").over(w))
+    at = lambda p: F.max(F.when(F.col("i") == F.least(F.col("all") - 1, F.floor(F.col("all") * p)), F.col("duration")))
+    errors = [F.count_if("is_error").alias("errors")] if "is_error" in calls.columns else []
+    out = x.groupBy("file", "tool").agg(F.count("*").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("duration").alias("longest"), *errors)
+    if most is None:
+        return out
+    return out.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("n"), "tool"))).where(F.col("r") <= most).drop("r")
 
 
 def top_tools(counts: DataFrame, k: int) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import stats
 
+DAY = 86_400_000
+
 
 def markers(points: DataFrame, kinds: dict[str, Column]) -> DataFrame:
     """First time and number of sessions for each name of each kind; kinds: kind -> name column (null: none)."""
@@ -26,12 +28,22 @@ def trailing_median(points: DataFrame, value: str, window: int = 15) -> DataFram
 def impact(points: DataFrame, marks: DataFrame, window: int = 20, least: int = 5) -> DataFrame:
     """Medians of the window sessions before and after each marker (ties land after), and their differences.
 
-    marks has few rows; points are ranked on each side by time."""
-    side = F.when(F.col("at_ms") < F.col("first_seen_at"), "before").otherwise("after")
-    j = points.join(F.broadcast(marks)).withColumn("side", side)
-    near = F.when(F.col("side") == "before", -F.col("at_ms")).otherwise(F.col("at_ms"))
-    tie = F.when(F.col("side") == "before", -F.col("ord")).otherwise(F.col("ord"))
-    j = j.withColumn("r", F.row_number().over(Window.partitionBy("kind", "name", "side").orderBy(near, tie))).where(F.col("r") <= window)
+    Points and marks are put in one order of time, by days: a mark then needs the points of the days around it alone, as
+    many as hold window points on each side, so no mark meets all points."""
+    days = points.groupBy(F.floor(F.col("at_ms") / DAY).alias("day")).agg(F.count("*").alias("n"))
+    # per day of a mark the first and last day that its windows can reach: a row a day
+    upto = F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    days = days.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
+    m = marks.withColumn("day", F.floor(F.col("first_seen_at") / DAY)).select("kind", "name", "first_seen_at", "day")
+    at = m.select("day").distinct().join(F.broadcast(days.select(F.col("day").alias("d"), "upto", "before")))
+    reach = at.groupBy("day").agg(F.coalesce(F.max(F.when(F.col("d") < F.col("day"), F.col("upto"))), F.lit(0)).alias("past"), F.coalesce(F.max(F.when(F.col("d") <= F.col("day"), F.col("upto"))), F.lit(0)).alias("now")).withColumnRenamed("day", "mark_day")
+    near = reach.join(F.broadcast(days)).where((F.col("upto") > F.col("past") - window) & (F.col("before") < F.col("now") + window)).select("mark_day", "day")
+    j = points.withColumn("day", F.floor(F.col("at_ms") / DAY)).join(near, "day").join(m.withColumnRenamed("day", "mark_day"), "mark_day")
+    before = F.col("at_ms") < F.col("first_seen_at")
+    j = j.withColumn("side", F.when(before, "before").otherwise("after"))
+    close = F.when(before, -F.col("at_ms")).otherwise(F.col("at_ms"))
+    tie = F.when(before, -F.col("ord")).otherwise(F.col("ord"))
+    j = j.withColumn("r", F.row_number().over(Window.partitionBy("kind", "name", "side").orderBy(close, tie))).where(F.col("r") <= window)
     agg = j.groupBy("kind", "name").agg(*(x for s in ("before", "after") for x in (
         F.count_if(F.col("side") == s).alias(f"n_{s}"),
         F.coalesce(F.median(F.when(F.col("side") == s, F.col("cost"))), F.lit(0.0)).alias(f"cost_{s}"),
@@ -60,14 +72,28 @@ def change_scores(points: DataFrame, value: str, window: int = 25) -> DataFrame:
 
 
 def change_points(scores: DataFrame, window: int = 25, least: float = 3.0, top: int = 12) -> DataFrame:
-    """Greedy suppression: by falling z (ties to the earlier), places within a window of one that is taken are dropped."""
-    strong = scores.where(F.col("z") >= least).groupBy("series").agg(F.array_sort(F.collect_list(F.struct((-F.col("z")).alias("minus"), "i", "at_ms", "before", "after"))).alias("all"))
+    """Greedy suppression: by falling z (ties to the earlier), places within a window of one that is taken are dropped.
+
+    A place is dropped only by one within a window, so a series is cut at gaps of a window between strong places and each
+    piece is thinned by itself."""
+    w = Window.partitionBy("series").orderBy("i")
+    strong = scores.where(F.col("z") >= least)
+    piece = F.sum((F.coalesce(F.col("i") - F.lag("i").over(w), F.lit(window)) >= window).cast("int")).over(w)
+    pieces = strong.withColumn("piece", piece).groupBy("series", "piece").agg(F.array_sort(F.collect_list(F.struct((-F.col("z")).alias("minus"), "i", "at_ms", "before", "after"))).alias("all"))
     none = F.slice(F.col("all"), 1, 0)
     taken = F.aggregate("all", none, lambda acc, s: F.when(F.exists(acc, lambda t: F.abs(t["i"] - s["i"]) < window), acc).otherwise(F.concat(acc, F.array(s))))
-    rows = strong.select("series", F.inline(taken))
+    rows = pieces.select("series", F.inline(taken))
     return rows.select("series", "i", "at_ms", F.round(-F.col("minus"), 6).alias("z"), F.round(F.col("after") - F.col("before"), 6).alias("delta")).orderBy(F.desc("z"), "series", "i").limit(top)
 
 
+def timeline(spans: DataFrame, by: str) -> DataFrame:
+    """by, span, left, width: spans (a to b) of each group in per cent of its whole time, 0.4 wide at least."""
+    whole = spans.groupBy(by).agg(F.min("a").alias("lo"), F.max("b").alias("hi"))
+    j = spans.join(whole, by)
+    share = lambda c: F.when(F.col("hi") > F.col("lo"), 100.0 * c / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    return j.select(by, "span", F.round(share(F.col("a") - F.col("lo")), 4).alias("left"), F.round(F.greatest(F.lit(0.4), share(F.col("b") - F.col("a"))), 4).alias("width"))
+
+
 def stride(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
     """At most ``most`` rows of each key: those at floor(i * n / most)."""
     w = Window.partitionBy(key)

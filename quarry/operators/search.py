@@ -1,35 +1,101 @@
-"""Full-text search: postings, AND of words, phrases and prefixes, BM25 ranks."""
+"""Full-text search: stored postings of several fields, AND of words, phrases and prefixes, BM25 ranks, snippets.
+
+The index is a table of postings (term, doc, field, pos, len), where len is the document's number of terms: it is counted in
+the document's own row, so building the index shuffles nothing. Stored, it is clustered by a bucket of the term and sorted
+by the term in it, so a query reads the buckets of its terms; updates replace whole documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+BUCKETS = 64
+TERM = r"([\p{L}\p{N}]+)"
+
+
+def terms(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), 1)
+
+
+def postings(docs: DataFrame, id_col: str, *fields: str) -> DataFrame:
+    """(term, doc, field, pos, len) for every run of letters and digits of the fields, in lower case."""
+    lists = F.array(*(F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("terms")) for f in fields))
+    size = F.aggregate(lists, F.lit(0), lambda n, x: n + F.size(x["terms"]))
+    each = docs.select(F.col(id_col).alias("doc"), size.alias("len"), F.explode(lists).alias("f"))
+    return each.select(F.posexplode("f.terms").alias("pos", "term"), "doc", F.col("f.field").alias("field"), "len").select("term", "doc", "field", "pos", "len")
+
+
+def sizes(docs: DataFrame, id_col: str, *fields: str) -> DataFrame:
+    """docs and mean: number of documents with a term, and their mean number of terms."""
+    n = sum((F.size(terms(F.col(f))) for f in fields[1:]), F.size(terms(F.col(fields[0]))))
+    return docs.select(n.alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+
+
+def save(index: DataFrame, path: str) -> None:
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+    index.withColumn("bucket", bucket).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, doc, pos) for every run of letters and digits, in lower case."""
-    terms = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    return docs.select(F.col(id_col).alias("doc"), F.posexplode(terms).alias("pos", "term"))
+def replaced(index: DataFrame, docs: DataFrame, id_col: str, *fields: str) -> DataFrame:
+    """The index with the given documents in place of their former postings."""
+    rest = index.join(docs.select(F.col(id_col).alias("doc")).distinct(), "doc", "left_anti")
+    return rest.select("term", "doc", "field", "pos", "len").unionByName(postings(docs, id_col, *fields))
 
 
-def _parts(query: str) -> list[tuple[str, bool]]:
-    """Words of a query with whether they are prefixes; all are required."""
-    return [(w.rstrip("*").lower(), w.endswith("*")) for w in query.split() if w.rstrip("*")]
+def pending(files: DataFrame, indexed: DataFrame, most: int = 25) -> DataFrame:
+    """The newest files that the index lacks in this version, 1 to 200, with how many remain after them."""
+    todo = files.join(indexed, ["file", "mtime", "size", "version"], "left_anti")
+    most = max(1, min(200, most))
+    return todo.orderBy(F.desc("mtime"), "file").limit(most).join(F.broadcast(todo.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("remaining"))))
 
 
-def search(index: DataFrame, query: str, limit: int | None = 50) -> DataFrame:
-    """Documents with all words of the query, by BM25, best first; ties by id; limit: 1 to 200, None for all. A word with a * matches as a prefix."""
-    parts = _parts(query)
+def coverage(files: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Number of files, and of those that the index has."""
+    hit = files.join(indexed.select("file").distinct().withColumn("hit", F.lit(True)), "file", "left")
+    return hit.agg(F.count("*").alias("total"), F.count("hit").alias("indexed"))
+
+
+def parse(query: str) -> list[list[tuple[str, bool]]]:
+    """The parts of a query, all required: each a run of (term, prefix) next to each other; marks inside a word only part it."""
+    out = []
+    for word in query.split():
+        found = [t for t in "".join(c if c.isalnum() else " " for c in word.lower()).split()]
+        if found:
+            out.append([(t, word.endswith("*") and i + 1 == len(found)) for i, t in enumerate(found)])
+    return out
+
+
+def _fits(term: str, prefix: bool) -> Column:
+    return F.col("term").startswith(term) if prefix else F.col("term") == term
+
+
+def occurrences(index: DataFrame, parts: list[list[tuple[str, bool]]]) -> DataFrame:
+    """doc, len, part, tf: how often each document has each part. A posting counts for every place of a part that it fits."""
+    slots = [(i, j, w, p) for i, part in enumerate(parts) for j, (w, p) in enumerate(part)]
+    some = index.where(F.array_contains(F.array(*(_fits(w, p) for _, _, w, p in slots)), True))
+    places = F.filter(F.array(*(F.when(_fits(w, p), F.struct(F.lit(i).alias("part"), F.lit(j).alias("slot"))) for i, j, w, p in slots)), lambda x: x.isNotNull())
+    each = some.select("doc", "len", "field", "pos", F.explode(places).alias("x")).select("doc", "len", "field", "x.part", (F.col("pos") - F.col("x.slot")).alias("start"))
+    whole = each.groupBy("doc", "len", "part", "field", "start").agg(F.count("*").alias("n"))
+    need = F.element_at(F.array(*(F.lit(len(p)) for p in parts)), F.col("part") + 1)
+    return whole.where(F.col("n") == need).groupBy("doc", "len", "part").agg(F.count("*").alias("tf"))
+
+
+def search(index: DataFrame, stats: DataFrame, query: str, limit: int | None = 50) -> DataFrame:
+    """doc, score of the documents with all parts of the query, best BM25 first, ties by id; limit: 1 to 200, None for all.
+
+    stats: sizes(). Without a word in the query nothing is found."""
+    parts = parse(query)
     if not parts:
         return index.select("doc", F.lit(0.0).alias("score")).where(F.lit(False))
-    which = F.coalesce(*(F.when(F.col("term").startswith(w) if prefix else F.col("term") == w, F.lit(i)) for i, (w, prefix) in enumerate(parts)))
-    sizes = index.groupBy("doc").agg(F.count("*").alias("len"))
-    stats = sizes.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    tf = index.withColumn("part", which).where("part is not null").groupBy("doc", "part").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("part").agg(F.count("*").alias("df"))
-    hit = tf.join(F.broadcast(df), "part").join(sizes, "doc").join(F.broadcast(stats))
+    tf = occurrences(index, parts)
+    df = tf.groupBy("part").agg(F.count("*").alias("df"))  # a row for each part of the query
+    hit = tf.join(F.broadcast(df), "part").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     found = hit.groupBy("doc").agg(F.count("*").alias("parts"), F.sum(weight).alias("score")).where(F.col("parts") == len(parts))
@@ -39,13 +105,22 @@ def search(index: DataFrame, query: str, limit: int | None = 50) -> DataFrame:
 
 def phrase(index: DataFrame, words: list[str]) -> DataFrame:
     """Documents that have the words next to each other, and how often."""
-    one = index.where(F.col("term").isin(words))
-    place = F.explode(F.filter(F.array(*(F.when(F.col("term") == w, F.col("pos") - i) for i, w in enumerate(words))), lambda x: x.isNotNull()))
-    starts = one.select("doc", "pos", place.alias("start")).groupBy("doc", "start").agg(F.count("*").alias("n")).where(F.col("n") == len(words))
-    return starts.groupBy("doc").agg(F.count("*").alias("times"))
+    return occurrences(index, [[(w, False) for w in words]]).select("doc", F.col("tf").alias("times"))
+
+
+def snippet(text: Column, query: str, most: int = 14, before: int = 5) -> Column:
+    """The words around the first that fits the query, those that fit marked; null without one."""
+    slots = [x for part in parse(query) for x in part]
 
+    def fits(w: Column) -> Column:
+        bare = F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")
+        out = F.lit(False)
+        for t, p in slots:
+            out = out | (bare.startswith(t) if p else bare == t)
+        return out
 
-def snippet(text: F.Column, word: str, around: int = 60) -> F.Column:
-    """The text around the first match, marked."""
-    at = F.locate(word, F.lower(text))
-    return F.when(at > 0, F.concat(F.substring(text, F.greatest(F.lit(1), at - around), at - F.greatest(F.lit(1), at - around)), F.lit("«"), F.substring(text, at, F.lit(len(word))), F.lit("»"), F.substring(text, at + len(word), F.lit(around))))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    at = F.array_position(F.transform(words, fits), True)
+    start = F.greatest(F.lit(1), at - before).cast("int")
+    shown = F.transform(F.slice(words, start, most), lambda w: F.when(fits(w), F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w))
+    return F.when(at > 0, F.concat(F.when(start > 1, "… ").otherwise(""), F.array_join(shown, " ")))

@@ -82,7 +82,8 @@ def page_after(sessions: DataFrame, until: int, session_id: str, size: int) -> D
 def attention(sessions: DataFrame, now: int) -> DataFrame:
     """Sessions with errors, low quality, or stale for 12 hours, with their staleness."""
     stale = F.greatest(F.lit(0), F.lit(now) - F.col("until"))
-    return sessions.withColumn("stale_ms", stale).where((F.col("tool_errors") > 0) | (F.col("quality") < 70)).withColumn("is_stale", F.col("stale_ms") > 12 * 3_600_000)
+    out = sessions.withColumn("stale_ms", stale).withColumn("is_stale", F.col("stale_ms") > 12 * 3_600_000)
+    return out.where((F.col("tool_errors") > 0) | (F.col("quality") < 70) | F.col("is_stale"))
 
 
 def pending(files: DataFrame, cache: DataFrame) -> DataFrame:
@@ -96,3 +97,20 @@ def archive_merge(on_disk: DataFrame, cached: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("mtime"), "file"))
     gone = gone.withColumn("n", first).where("n = 1").drop("n")
     return on_disk.withColumn("archived", F.lit(False)).unionByName(gone.withColumn("archived", F.lit(True)))
+
+
+def ratios(sessions: DataFrame, model: str) -> DataFrame:
+    """Totals of a collection with its shares: errors of calls, priced sessions, a model's part of the cost (of sessions without any)."""
+    mine = F.col("model") == model
+    cost = stats.rate(F.sum(F.when(mine, F.col("cost"))), F.sum("cost"))
+    return sessions.agg(
+        F.count("*").alias("sessions"), F.count_distinct("project").alias("projects"), F.sum("tool_calls").alias("tool_calls"), F.sum("tool_errors").alias("tool_errors"), F.round(stats.rate(F.sum("tool_errors"), F.sum("tool_calls")), 6).alias("tool_error_share"), F.round(F.sum("cost"), 2).alias("cost"),
+        F.round(F.avg((F.col("cost") > 0).cast("double")), 6).alias("priced_share"), F.max("until").alias("last_event_at"), F.round(F.when(F.sum("cost") > 0, cost).otherwise(F.avg(mine.cast("double"))), 6).alias("first_model_share"),
+    )
+
+
+def rhythm(grid: DataFrame) -> DataFrame:
+    """The busiest hour and weekday of a heatmap (the first of several) and the weekend's share."""
+    by = lambda c: grid.groupBy(c).agg(F.sum("n").alias("n")).agg(F.max_by(c, F.struct("n", -F.col(c))).alias(c))
+    weekend = grid.agg(F.round(stats.rate(F.sum(F.when(F.col("weekday") >= 5, F.col("n"))), F.sum("n")), 6).alias("weekend_share"))
+    return by("hour").withColumnRenamed("hour", "peak_hour").join(F.broadcast(by("weekday").withColumnRenamed("weekday", "busiest_day"))).join(F.broadcast(weekend))

@@ -1,32 +1,19 @@
-"""All registered queries of the engine and the SQL that each is held against."""
+"""Queries on runs, sessions, insight, search and messages, with the SQL that each is held against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import stats, text
-from quarry.operators import evaluation, insights, search, sessions
+from quarry.operators import evaluation, insights, sessions
+from quarry.plans.registry import query
 from quarry.plans.views import RUN_CASE, SESS, millis, run_case, sess, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 NOW = "2024-01-30 12:00:00"
 NOW_MS = 1_706_616_000_000
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 _COUNTS = """count(*) AS total, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'error') AS errored,
  count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status NOT IN ('passed', 'failed', 'error', 'skipped')) AS stranded, round(count(*) FILTER (status = 'passed') / count(*), 6) AS pass_rate"""
 
@@ -304,7 +291,7 @@ def adjacent_echo_dedup(spark, sf):
     return insights.without_echo(table(spark, sf, "events"), "user_id", "event_id", ["event_type"]).select("event_id", "user_id", "event_type")
 
 
-_SAID = [(1, "Thanks, that works now"), (2, "no"), (3, "No, that is wrong"), (4, "make sure there are no regressions"), (5, "still failing on main"), (6, "perfect"), (7, "thanks, but that's wrong"), (8, "please add the login page"), (9, "please add that login page again"), (10, "actually, use another name")]
+_SAID = [(1, "Thanks, that works now"), (2, "no"), (3, "No, that is wrong"), (4, "check that there is no slowdown"), (5, "still failing on main"), (6, "perfect"), (7, "perfect, yet it is broken"), (8, "please add the login page"), (9, "please add that login page again"), (10, "actually, use another name")]
 _SAID_SQL = ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in _SAID)
 
 
@@ -324,16 +311,14 @@ def sentiment(spark, sf):
     return _said(spark, sf).select("conv_id", "turn", text.sentiment(F.col("text")).alias("sentiment"))
 
 
-@query(rf"""WITH m AS (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS t FROM ({_SAID_VIEW})), l AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY conv_id ORDER BY turn), []) AS b FROM m)
+@query(rf"""WITH m AS (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS t FROM ({_SAID_VIEW})), l AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY conv_id ORDER BY turn), []) AS b FROM m WHERE length(text) <= 600)
 SELECT conv_id, turn, regexp_matches(text, '(?i){text.REPHRASE_LEAD}') OR (least(len(t), len(b)) >= 3 AND len(list_intersect(t, b)) >= 0.6 * least(len(t), len(b))) AS rephrase FROM l""")
 def rephrase_overlap(spark, sf):
-    from pyspark.sql import Window
-
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return _said(spark, sf).withColumn("before", before).select("conv_id", "turn", text.is_rephrase(F.col("text"), F.col("before")).alias("rephrase"))
+    return _said(spark, sf).where("length(text) <= 600").withColumn("before", before).select("conv_id", "turn", text.is_rephrase(F.col("text"), F.col("before")).alias("rephrase"))
 
 
-@query("""SELECT l_orderkey AS file, count(*) AS calls, count(o_orderkey) AS paired, round(max(CASE WHEN o_orderkey IS NOT NULL THEN greatest(0, date_diff('day', o_orderdate, l_shipdate)) END), 0) AS longest
+@query("""SELECT l_orderkey AS file, count(*) AS calls, count(o_orderkey) AS paired, CAST(max(CASE WHEN o_orderkey IS NOT NULL THEN greatest(0, date_diff('day', o_orderdate, l_shipdate)) END) AS BIGINT) AS longest
 FROM lineitem l LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) o ON l_orderkey = o_orderkey GROUP BY l_orderkey""")
 def tool_pairing(spark, sf):
     starts = table(spark, sf, "orders").where("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderdate")
@@ -342,9 +327,6 @@ def tool_pairing(spark, sf):
     return j.groupBy(F.col("l_orderkey").alias("file")).agg(F.count("*").alias("calls"), F.count("o_orderkey").alias("paired"), F.max(F.when(F.col("o_orderkey").isNotNull(), took)).cast("long").alias("longest"))
 
 
-ORACLE["tool_pairing"] = ORACLE["tool_pairing"].replace("round(max(", "CAST(max(").replace("END), 0) AS longest", "END) AS BIGINT) AS longest")
-
-
 @query("SELECT count(DISTINCT o_custkey) AS orphans FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0)")
 def orphan_anti_join(spark, sf):
     parents = table(spark, sf, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("o_custkey"))
@@ -369,37 +351,7 @@ def archive_merge(spark, sf):
     return sessions.archive_merge(c.where("file % 2 = 0 and session_id % 3 = 0"), c)
 
 
-@query("""SELECT conv_id, left(arg_min(text, turn) FILTER (role = 'user'), 600) AS first_user, left(arg_max(text, turn) FILTER (role = 'assistant'), 400) AS last_assistant,
- left(string_agg(CASE WHEN role = 'user' THEN text END, chr(10) ORDER BY turn), 100000) AS user_text FROM conversations GROUP BY conv_id""")
-def judge_digest(spark, sf):
-    m = table(spark, sf, "conversations")
-    said = lambda role: F.when(F.col("role") == role, F.struct("turn", "text"))
-    users = F.transform(F.array_sort(F.collect_list(said("user"))), lambda x: x["text"])
-    g = m.groupBy("conv_id").agg(F.min(said("user")).alias("a"), F.max(said("assistant")).alias("b"), users.alias("u"))
-    return g.select("conv_id", F.substring("a.text", 1, 600).alias("first_user"), F.substring("b.text", 1, 400).alias("last_assistant"), F.when(F.size("u") > 0, F.substring(F.array_join("u", "\n"), 1, 100000)).alias("user_text"))
-
-
-_TERMS = r"t AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term, unnest(range(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')))) AS pos FROM documents)"
-
-
-@query(rf"WITH {_TERMS} SELECT doc FROM t WHERE term = 'the' OR starts_with(term, 'an') GROUP BY doc HAVING bool_or(term = 'the') AND bool_or(starts_with(term, 'an'))")
-def fts_and_search(spark, sf):
-    index = search.postings(table(spark, sf, "documents"), "doc_id", "text")
-    return search.search(index, "the an*", None).select("doc")
-
-
-@query(rf"WITH {_TERMS} SELECT doc FROM t WHERE starts_with(term, 'onou') GROUP BY doc")
-def fts_prefix(spark, sf):
-    return search.search(search.postings(table(spark, sf, "documents"), "doc_id", "text"), "onou*", None).select("doc")
-
-
-@query(rf"WITH {_TERMS} SELECT a.doc, count(*) AS times FROM t a JOIN t b ON a.doc = b.doc AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc")
-def fts_phrase(spark, sf):
-    return search.phrase(search.postings(table(spark, sf, "documents"), "doc_id", "text"), ["of", "the"])
-
-
 _SHOWN = ["/Users/alice/work and /home/bob", "key AK" + "IA" + "ABCDEFGHIJKLMNOP end", "ghp_" + "a" * 36, "nothing here"]
-_REDACT = "text"
 _REDACT = r"regexp_replace(t, '/(Users|home)/([^/\s]+)', '/\1/[redacted]', 'g')"
 for _kind, _shape in text.SECRETS:
     _REDACT = f"regexp_replace({_REDACT}, '{_shape}', '[REDACTED:{_kind}]', 'g')"
@@ -440,20 +392,16 @@ def keyset_page(spark, sf):
     return sessions.page_after(sess(spark, sf), 1_705_622_400_000, "5-2024-01-18", 160).select("session_id", "until")
 
 
-@query(f"WITH s AS ({SESS}) SELECT session_id, greatest(0, {NOW_MS} - until) AS stale_ms, greatest(0, {NOW_MS} - until) > 43200000 AS is_stale FROM s WHERE tool_errors > 0 OR 100 - 10 * n_events < 70")
+@query(f"WITH s AS ({SESS}) SELECT session_id, greatest(0, {NOW_MS} - until) AS stale_ms, greatest(0, {NOW_MS} - until) > 43200000 AS is_stale FROM s WHERE tool_errors > 0 OR 100 - 10 * n_events < 70 OR greatest(0, {NOW_MS} - until) > 43200000")
 def session_attention(spark, sf):
     return sessions.attention(sess(spark, sf).withColumn("quality", 100 - 10 * F.col("n_events")), NOW_MS).select("session_id", "stale_ms", "is_stale")
 
 
-@query(f"SELECT user_id AS key, session, count(*) AS n, min(event_id) AS first_id FROM (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT *, coalesce((epoch_us(ts) // 1000) - (epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) // 1000) > 21600000, true) AS fresh FROM events)) GROUP BY ALL")
+@query(f"SELECT user_id AS key, CAST(session AS BIGINT) AS session, count(*) AS n, min(event_id) AS first_id FROM (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT *, coalesce((epoch_us(ts) // 1000) - (epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) // 1000) > 21600000, true) AS fresh FROM events)) GROUP BY ALL")
 def extension_gap_sessions(spark, sf):
     """An extension: sessions by a gap of six hours."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id").orderBy("ts")
     fresh = F.coalesce(millis("ts") - F.lag(millis("ts")).over(w) > 21_600_000, F.lit(True))
     e = table(spark, sf, "events").withColumn("fresh", fresh.cast("int")).withColumn("session", F.sum("fresh").over(w))
     return e.groupBy(F.col("user_id").alias("key"), "session").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
-
-ORACLE["extension_gap_sessions"] = ORACLE["extension_gap_sessions"].replace("SELECT user_id AS key, session,", "SELECT user_id AS key, CAST(session AS BIGINT) AS session,")
