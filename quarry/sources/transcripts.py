@@ -111,7 +111,7 @@ def tool_calls(recs: DataFrame) -> DataFrame:
     ends = marks.withColumn("s", F.last("start", ignorenulls=True).over(w)).where("start is null and s is not null")
     first = ends.groupBy("file", F.col("s.line_no").alias("line_no"), F.col("s.pos").alias("pos")).agg(F.min_by("end_ms", F.struct("l", "p")).alias("end_ms"), F.count_if("is_error").alias("errors"), F.count("*").alias("results"))
     out = starts.join(first, ["file", "line_no", "pos"], "left")
-    return out.withColumn("duration_ms", F.greatest(F.lit(0), F.col("end_ms") - F.col("at_ms"))).fillna({"errors": 0, "results": 0})
+    return out.withColumn("duration_ms", F.when(F.col("end_ms") >= F.col("at_ms"), F.col("end_ms") - F.col("at_ms")).when(F.col("end_ms").isNotNull() & F.col("at_ms").isNotNull(), 0)).fillna({"errors": 0, "results": 0})
 
 
 def fold(lines: DataFrame) -> DataFrame:
