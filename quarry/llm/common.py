@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +20,10 @@ BROADCAST_ROWS = 1_000_000
 #: Rows from which a key's rows are not shuffled to one task.
 HOT = 10_000
 
+#: Bytes of rows that are sent to a Python worker at once, where the session has Spark's default.
+BATCH = "8m"
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _own_folder: list[str] = []
 
 
@@ -55,6 +60,12 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return store(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of a batch for Python workers: whole texts by the thousand take a lot of memory on both sides."""
+    if spark.conf.get(_BATCH_CONF, None) in (None, "67108864b"):
+        spark.conf.set(_BATCH_CONF, BATCH)
+
+
 def semi_join(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is in ids (distinct, stored). ids is broadcast only up to BROADCAST_ROWS rows."""
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -110,6 +121,13 @@ def groups(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]
         a = b
 
 
+def release() -> None:
+    """Give freed memory back to the machine: a worker lives on for other stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Every batch in parts of about BLOCK bytes of text, each with its text_buffer: what a task holds besides a batch stays bounded."""
     for batch in batches:
@@ -117,8 +135,10 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
         for a, b in groups(off):
             yield batch.slice(a, b - a), data[off[a] : off[b]], off[a : b + 1] - off[a]
         del batch, data, off
-        pa.default_memory_pool().release_unused()
+        release()
+
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 # Words: maximal runs of bytes other than 0x20 and 0x09-0x0D, with A-Z in lower case.
 _LOWER = np.arange(256, dtype=np.uint8)

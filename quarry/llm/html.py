@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import small_batches
+
 #: Element names and marks (fixed values).
 TO_END = {"script", "style"}
 UNREAD = {"title", "textarea", "select", "iframe", "noscript", "template", "svg", "canvas"}
@@ -431,6 +433,7 @@ def main_text(page: str | None, tree: Tree) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id_col, url_col, text, n_chars for every row of pages."""
+    small_batches(pages.sparkSession)
     tree = grow(LABELLED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import groups, remainder, store, text_buffer
+from quarry.llm.common import groups, remainder, small_batches, store, text_buffer
 
 HIDDEN, WINDOW, ROWS_EACH, ROWS_ALL, TRAIN_BYTES, MOST = 8, 48, 250, 4000, 1 << 16, 500
 PAD = 256
@@ -148,6 +148,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_each:
 
 def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_each: int = ROWS_EACH) -> DataFrame:
     """id_col, held_out (crc32 of the id modulo 4 is 2), lang_pred, score for every row of docs."""
+    small_batches(docs.sparkSession)
     langs, model = learn(docs, id_col, text_col, lang_col, rows_each)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import groups, mix, remainder, store, text_buffer, word_hashes
+from quarry.llm.common import groups, mix, remainder, small_batches, store, text_buffer, word_hashes
 
 ORDER = 5
 #: Most codes, and most words, that are sent to every task; the rest is joined.
@@ -271,6 +271,7 @@ def frequent(codes_: DataFrame, most: int) -> Column:
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -31,8 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import join_hot, mix, numbered, semi_join, shingle_sets, store, text_buffer
-from quarry.llm.common import groups as row_groups
+from quarry.llm.common import blocks, join_hot, mix, numbered, semi_join, shingle_sets, small_batches, store
 
 BANDS, ROWS, CELL = 44, 5, 512
 THRESHOLD = 75  # per cent
@@ -58,20 +57,15 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, off = text_buffer(batch.column("text"))
-        for a, b in row_groups(off):
-            n, k1, k2, sigs = [], [], [], []
-            for s in shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a]):
-                n.append(len(s))
-                key = np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                k1.append(int(key[0]))
-                k2.append(int(key[1]))
-                sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("uid").slice(a, b - a), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary())],
-                names=["uid", "n", "k1", "k2", "sig"],
-            )
+    for part, data, off in blocks(batches, "text"):
+        n, k1, k2, sigs = [], [], [], []
+        for s in shingle_sets(data, off):
+            n.append(len(s))
+            key = np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+            k1.append(int(key[0]))
+            k2.append(int(key[1]))
+            sigs.append(signature(s).tobytes() if len(s) else None)
+        yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary())], names=["uid", "n", "k1", "k2", "sig"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +79,8 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, off = text_buffer(batch.column("text"))
-        for a, b in row_groups(off):
-            sets = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a])
-            yield pa.RecordBatch.from_arrays([batch.column("uid").slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], names=["uid", "elements"])
+    for part, data, off in blocks(batches, "text"):
+        yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array([s.tobytes() for s in shingle_sets(data, off)], pa.binary())], names=["uid", "elements"])
 
 
 def _similar_sigs(least: int):
@@ -242,6 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _near_duplicates(rows: DataFrame, id_col: str, threshold: int) -> DataFrame:
     """near_duplicates of stored rows (uid, id, text): a uid that is computed anew may differ once executors are lost or join."""
+    small_batches(rows.sparkSession)
     least = _least(threshold)
     signed = store(rows.select("uid", "text").mapInArrow(_signed, "uid long, n long, k1 long, k2 long, sig binary"), "signatures")
     ids = rows.select("uid", "id")

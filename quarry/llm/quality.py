@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blocks, remainder
+from quarry.llm.common import blocks, remainder, small_batches
 
 CHUNK, LAGS, EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 256, 48, 6, 8, 4, 24, 16
 HOP = CHUNK // 2
@@ -211,6 +211,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """id_col, held_out (crc32 of the id modulo 5 is 0), score, predicted (score >= CUT) for every row of docs.
 
     keep: columns of docs to carry along besides."""
+    small_batches(docs.sparkSession)
     model = learn(docs, labels, id_col, text_col, train_rows)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
     carried = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep or [])]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blocks
+from quarry.llm.common import blocks, small_batches
 
 #: The base patterns (fixed values); kinds in the order in which ties are listed.
 BASE = {
@@ -314,6 +314,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """For every row of docs: id_col, n_assign, n_access, n_hex, base (spans), spans; keep: columns to carry along.
 
     mask: also return the text with every span replaced by it, as ``masked``."""
+    small_batches(docs.sparkSession)
     formats = docs.sparkSession.sparkContext.broadcast(learned())  # automata of a few states
     carried = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep or [])]
     rows = docs.select(F.col(id_col).alias("id"), *carried, F.col(text_col).cast("string").alias("__text"))

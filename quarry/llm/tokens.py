@@ -25,10 +25,23 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import small_batches
+
 END = "</w>"
 #: The pre-token pattern and the special strings of the vocabulary file (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
+#: Letters and numbers of Unicode versions newer than the library's, which are neither for it (fixed values).
+NEWER = (
+    "\\u0558\\u058b-\\u058c\\u088f\\u0c5c\\u0cdc\\u208f\\u209d-\\u209f\\ua7ce-\\ua7cf\\ua7d2\\ua7d4\\ua7dd\\ua7e2\\ua7f1\\uab6c-\\uab6d\\U000107bb-\\U000107bf\\U00010940-\\U00010959\\U00010ec5-\\U00010ec7\\U00010ed9-\\U00010eee\\U00011b0a"
+    "\\U00011db0-\\U00011ddb\\U00011de0-\\U00011de9\\U00011df1\\U0001246f\\U00012475-\\U0001247f\\U00012550-\\U00012686\\U00016ea0-\\U00016eb8\\U00016ebb-\\U00016ed3\\U00016ff2-\\U00016ff6\\U000187f8-\\U000187ff\\U00018cd6-\\U00018cda\\U00018d09-\\U00018d20"
+    "\\U00018d80-\\U00018df2\\U00018e00-\\U00019191\\U000191a0-\\U000191d2\\U0001b123-\\U0001b128\\U0001b168\\U0001d6a6\\U0001df1f-\\U0001df24\\U0001df2b-\\U0001df81\\U0001df90-\\U0001df96\\U0001dfcd-\\U0001dfff\\U0001e6c0-\\U0001e6de\\U0001e6e0-\\U0001e6e2"
+    "\\U0001e6e4-\\U0001e6e5\\U0001e6e7-\\U0001e6ed\\U0001e6f0-\\U0001e6f4\\U0001e6fe-\\U0001e6ff\\U0002b73a-\\U0002b73f\\U0002b81e\\U0002cea2-\\U0002cead\\U000323b0-\\U00033479\\U0003d000-\\U0003fc3f"
+)
+STRICT = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{NEWER}]]+|[\p{{N}}--[{NEWER}]]|(?:[^{SPACE}\p{{L}}\p{{N}}]|[{NEWER}])+"
+#: Capitals that the library knows and Python's tables don't (fixed values): single ones, then two scripts.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 #: Distinct pieces that a worker remembers; beyond it, the memory starts anew.
 REMEMBERED = 1_000_000
 #: Symbols of a pre-token from which merging goes by a heap.
@@ -108,14 +121,15 @@ class Counter(dict):
         self.single = single
         self.special = [x["content"] for x in model["added_tokens"]]
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.find = regex.compile(PRETOKEN).findall
+        self.find, self.find_strict = regex.compile(PRETOKEN).findall, regex.compile(STRICT).findall
+        self.newer, self.capital = regex.compile(f"[{NEWER}]").search, regex.compile("[" + "".join(map(chr, LOWER)) + "]").search
         self.symbols = byte_symbols()
 
     def __missing__(self, piece: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
         n = 0
-        for token in self.find(piece):
+        for token in (self.find if piece.isascii() or not self.newer(piece) else self.find_strict)(piece):
             text = token if token.isascii() and token.isprintable() else "".join(map(self.symbols.__getitem__, token.encode()))
             if text in self.single:
                 n += 1
@@ -132,6 +146,8 @@ class Counter(dict):
             text = unicodedata.normalize("NFC", text)
             # str.lower() looks at a final sigma's place in the word; the vocabulary's rule goes character by character
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+            if self.capital(text):
+                text = text.translate(LOWER)
         else:
             text = text.lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for split(), but not for the pattern
@@ -148,6 +164,7 @@ class Counter(dict):
 
 def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, n_tokens, over_limit (more than limit tokens) for every row of docs."""
+    small_batches(docs.sparkSession)
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = f.read()
     model = json.loads(vocabulary)["model"]
