@@ -15,22 +15,32 @@ from quarry.llm.common import read, store
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier accepts, rows and columns unchanged. A null text is judged as the empty one; rows that
+    repeat, or have no id, are judged by their texts; an empty table stays empty."""
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one of the smallest id. Texts without a word stay all, null ones too; of
+    rows that repeat one stays; an empty table stays empty."""
     return neardup.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item at 0.75 or more. Null and empty texts stay; rows that repeat share their fate;
+    an empty table, or benchmark, drops nothing."""
     return decontam.drop_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret in their texts replaced by a mask and n_chars brought up to date. Null and empty texts stay as
+    they are; an empty table stays empty."""
     return secrets.mask_secrets(docs)
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mixture takes, with domain, n_tokens and epoch. Null texts have no tokens, null languages and
+    sources are branches named unknown; rows that repeat are documents each; an empty table gives an empty mixture."""
     return mixing.mix(docs)
 
 
