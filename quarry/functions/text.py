@@ -36,6 +36,7 @@ def is_rephrase(text: Column, before: Column) -> Column:
 
 #: Order matters (fixed values: the shapes).
 SECRETS = (
+    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     ("openrouter-key", r"sk-or-v1-[a-f0-9]{64}"),
     ("openai-key", r"sk-[A-Za-z0-9_-]{20,}"),
@@ -45,17 +46,55 @@ SECRETS = (
     ("google-api-key", r"AIza[0-9A-Za-z_-]{35}"),
     ("npm-token", r"npm_[A-Za-z0-9]{36}"),
     ("huggingface-token", r"hf_[A-Za-z0-9]{34,}"),
+    ("bearer", r"(?<=Bearer\s)[A-Za-z0-9._~+/=-]{16,}"),
 )
 
 
-def redact(text: Column) -> Column:
-    """User names in home paths, then secrets by shape."""
+def redact_paths(text: Column) -> Column:
+    """User names in home paths, also where the path is written with dashes."""
     out = F.regexp_replace(text, r"/(Users|home)/([^/\s]+)", "/$1/[redacted]")
-    for kind, shape in SECRETS:
-        out = F.regexp_replace(out, shape, f"[REDACTED:{kind}]")
+    for folder in ("Users", "home"):
+        out = F.regexp_replace(out, rf"(-{folder}-)([^-\s/]+)(?=[-/\s]|$)", "$1[redacted]")
     return out
 
 
+def redact_secrets(text: Column) -> Column:
+    for kind, shape in SECRETS:
+        text = F.regexp_replace(text, shape, f"[REDACTED:{kind}]")
+    return text
+
+
+def redact(text: Column) -> Column:
+    """User names in home paths, then secrets by shape."""
+    return redact_secrets(redact_paths(text))
+
+
+def path_users(text: Column) -> Column:
+    """Distinct user names of home paths in a text; names under four characters are too common as words."""
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit(r"/(?:Users|home)/([^/\s]+)"), 1))
+    return F.filter(names, lambda n: (F.length(n) >= 4) & (n != "[redacted]"))
+
+
+def redact_users(text: Column, names: Column) -> Column:
+    """Mentions of the names by themselves; names: an array."""
+    quoted = lambda n: F.concat(F.lit(r"(?<![A-Za-z0-9_-])\Q"), n, F.lit(r"\E(?![A-Za-z0-9_-])"))
+    return F.aggregate(names, text, lambda t, n: F.regexp_replace(t, quoted(n), F.lit("[redacted]")))
+
+
+def compact_path(path: Column) -> Column:
+    """A path for people: its home folder as ~, user names left out."""
+    safe = redact_paths(path)
+    rest = F.regexp_extract(safe, r"^/(?:Users|home)/[^/]+/(.+)$", 1)
+    return F.when(rest != "", F.concat(F.lit("~/"), rest)).otherwise(safe)
+
+
+def redacted_with_report(text: Column) -> Column:
+    """(text, secrets, paths): secrets first, then paths, and whether each layer changed the text."""
+    safe = redact_secrets(text)
+    both = redact_paths(safe)
+    return F.struct(both.alias("text"), (safe != text).alias("secrets"), (both != safe).alias("paths"))
+
+
 def mcp_server(tool: Column) -> Column:
     """Second part of a tool name mcp__server__tool, else null."""
     return F.when(tool.startswith("mcp__"), F.split_part(tool, F.lit("__"), F.lit(2)))

@@ -172,3 +172,29 @@ def test_judge_sample_keeps_its_budget(spark):
     got = lists.judge_sample(d, 40).collect()
     assert len(got) == 40 and sum(r.why == "marker" for r in got) == 20 and len({r.session_id for r in got}) == 40
     assert lists.judge_sample(d, 10).count() == 10 and lists.judge_sample(d.limit(0), 10).count() == 0
+
+
+def test_weeks_follow_the_clock_of_the_zone(spark):
+    from datetime import datetime
+    from zoneinfo import ZoneInfo
+
+    from quarry.operators import collection
+
+    zone, rng = ZoneInfo("America/New_York"), random.Random(9)
+    ms = [1_709_200_000_000 + rng.randint(0, 20 * 86_400_000) for _ in range(300)]  # over the change of 2024-03-10
+    d = spark.createDataFrame([(m,) for m in ms], "at_ms long")
+    got = {r.at_ms: r.week for r in d.select("at_ms", collection.local_week(F.col("at_ms"), "America/New_York").alias("week")).collect()}
+    for m in ms:
+        t = datetime.fromtimestamp(m / 1000, zone).date()
+        assert got[m] == t.fromordinal(t.toordinal() - t.weekday())
+    weeks = collection.weekly_local(d, max(ms), 6, "America/New_York").collect()
+    assert len(weeks) == 6 and sum(r.sessions for r in weeks) == len(ms) and [r.week for r in weeks] == sorted(r.week for r in weeks) and weeks[0].sessions == 0
+
+
+def test_markers_and_figures_of_nothing(spark):
+    from quarry.operators import collection
+
+    none = spark.createDataFrame([], "at_ms long, skills array<string>, mcp_servers array<string>, model string, subagents int")
+    assert collection.markers(none).count() == 0
+    odd = spark.createDataFrame([(1, None, [], None, 0), (2, ["a", "a"], None, "m", 2)], none.schema)
+    assert sorted((r.kind, r.name, r.sessions) for r in collection.markers(odd).collect()) == [("model", "m", 1), ("skill", "a", 1), ("subagent", "subagent usage", 1)]
