@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import ann, decontam, html, langid, lm, mixing, neardup, quality, secrets, tokens
-from quarry.llm.common import read
+from quarry.llm.common import clear, read
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,3 +122,5 @@ r AS (SELECT doc_id AS node, doc_id AS top FROM documents UNION SELECT g.b, r.to
 m AS (SELECT node, min(top) AS component_id FROM r GROUP BY node)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN m ON m.node = s.doc_id""",
 }
+
+__all__ = ["ORACLE", "QUERIES", "clear"]
