@@ -69,7 +69,7 @@ def allocated(sessions: DataFrame) -> DataFrame:
     """Each user's cost split over its days by tool calls; without any, to its first day."""
     w = Window.partitionBy("user_id")
     share = F.when(F.sum("tool_calls").over(w) > 0, F.sum("cost").over(w) * F.col("tool_calls") / F.sum("tool_calls").over(w)).when(F.row_number().over(w.orderBy("day")) == 1, F.sum("cost").over(w)).otherwise(0.0)
-    return sessions.select("session_id", F.round(share, 6).alias("share"))
+    return sessions.select("session_id", share.alias("share"))
 
 
 def page_after(sessions: DataFrame, until: int, session_id: str, size: int) -> DataFrame:
