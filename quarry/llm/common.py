@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,15 +56,25 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop broadcast tables and shuffles of queries that are done: it does so when the driver collects garbage, which
+    a large driver seldom does, while the executors' memory fills with them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with a row number, stored: a number that is computed anew may differ once executors are lost or join."""
+    tidy(df.sparkSession)
     return store(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of a batch for Python workers: whole texts by the thousand take a lot of memory on both sides."""
+    """Before an operator sends whole texts to Python workers: bound the bytes of a batch, as texts by the thousand take a lot
+    of memory on both sides, and tidy up."""
     if spark.conf.get(_BATCH_CONF, None) in (None, "67108864b"):
         spark.conf.set(_BATCH_CONF, BATCH)
+    tidy(spark)
 
 
 def semi_join(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

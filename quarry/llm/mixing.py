@@ -27,10 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BROADCAST_ROWS, numbered, store
+from quarry.llm.common import BROADCAST_ROWS, numbered, store, tidy
 
 #: HEX digits of the key are looked at in each of DEPTH steps.
-SEED, FRACTION, MAX_EPOCHS, HEX, DEPTH = 7, 0.8, 2, 2, 3
+SEED, FRACTION, MAX_EPOCHS, HEX, DEPTH = 7, 0.8, 2, 2, 2
 RANGES = 200
 LEVELS = ("domain", "lang", "source")
 #: Target weights; a name that is not listed has the weight under "".
@@ -114,6 +114,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain
         name(F.col("source")).alias("source"),
         n_words(F.col(text_col)).alias("n_tokens"),
     )
+    tidy(docs.sparkSession)
     rows = store(rows, "mix-rows")
     # the leaves are many times fewer than the rows; their number is checked before they are sent to tasks
     tokens = store(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "mix-tokens")

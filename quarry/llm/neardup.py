@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blocks, join_hot, mix, numbered, semi_join, shingle_sets, small_batches, store
+from quarry.llm.common import blocks, join_hot, mix, numbered, semi_join, shingle_sets, small_batches, store, tidy
 
 BANDS, ROWS, CELL = 44, 5, 512
 THRESHOLD = 75  # per cent
@@ -262,6 +262,7 @@ def _near_duplicates(rows: DataFrame, id_col: str, threshold: int) -> DataFrame:
     sure = likely.join(of(sets, "a", "elements", "set_a"), "a").join(of(sets, "b", "elements", "set_b"), "b").mapInArrow(_confirmed(threshold), "a long, b long")
     sure = store(sure, "links")
     first = components(sure)
+    tidy(rows.sparkSession)
 
     # buckets that still hold several components
     in_comp = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
