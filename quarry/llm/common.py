@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import clear, shared_dir, store  # noqa: F401
+
 #: Bytes of text that the vectorised code looks at in one go; a longer single text goes alone.
 BLOCK = 1 << 20
 #: Most rows that are sent to every task; joins with more rows are shuffled.
@@ -25,37 +25,11 @@ HOT = 10_000
 BATCH = "8m"
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-_own_folder: list[str] = []
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``. Only where it is unset (tests) a local one is made."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="quarry-"))
-    return f"file://{_own_folder[0]}"
-
-
-def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}"
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: it is computed once, and lost executors cost no lineage."""
-    spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def tidy(spark: SparkSession) -> None:
     """Let Spark drop broadcast tables and shuffles of queries that are done: it does so when the driver collects garbage, which
     a large driver seldom does, while the executors' memory fills with them."""
@@ -96,12 +70,6 @@ def join_hot(big: DataFrame, small: DataFrame, keys: list[str], rows: str) -> Da
     return big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.where(F.col(rows) < HOT).drop(rows), keys).unionByName(big.join(some, keys))
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete all tables that this application has stored; results that still read them can't be used any more."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id's text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

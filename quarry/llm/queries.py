@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ann, decontam, html, langid, lm, mixing, neardup, quality, secrets, tokens
+from quarry.llm import ann, convrepair, convsql, decontam, html, langid, lm, mixing, neardup, quality, secrets, tokens, toxicity
 from quarry.llm.common import clear, read
 
 
@@ -51,9 +51,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(read(spark, sf_dir, "documents"))
 
 
+def op12_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.repair(convrepair.damaged(read(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixture, op2_benchmark_leaks, op3_token_counts, op4_nearest_neighbours, op5_quality_scores, op6_lm_scores, op7_main_text, op8_language_ids, op9_near_duplicates, op10_secret_scan)
+    for f in (op1_mixture, op2_benchmark_leaks, op3_token_counts, op4_nearest_neighbours, op5_quality_scores, op6_lm_scores, op7_main_text, op8_language_ids, op9_near_duplicates, op10_secret_scan, op12_toxicity_scores, op13_conversation_repair)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -78,6 +86,7 @@ def _filled(name: str, nodes: str, parent: str, child: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op13_conversation_repair": convsql.SQL,
     "op1_mixture": rf"""
 WITH d AS (SELECT doc_id, coalesce(CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 'unknown'
     ELSE 'domain' || CAST(CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INTEGER) % 4 AS VARCHAR) END, 'unknown') AS domain,
