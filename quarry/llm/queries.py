@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ann, convrepair, convsql, decontam, html, langid, lm, mixing, neardup, quality, secrets, tokens, toxicity
+from quarry.llm import ann, convrepair, convsql, decontam, hardneg, html, langid, lm, mixing, neardup, quality, secrets, tokens, toxicity
 from quarry.llm.common import clear, read
 
 
@@ -51,6 +51,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mined(read(spark, sf_dir, "embeddings"))
+
+
 def op12_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -61,7 +65,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixture, op2_benchmark_leaks, op3_token_counts, op4_nearest_neighbours, op5_quality_scores, op6_lm_scores, op7_main_text, op8_language_ids, op9_near_duplicates, op10_secret_scan, op12_toxicity_scores, op13_conversation_repair)
+    for f in (op1_mixture, op2_benchmark_leaks, op3_token_counts, op4_nearest_neighbours, op5_quality_scores, op6_lm_scores, op7_main_text, op8_language_ids, op9_near_duplicates, op10_secret_scan, op11_hard_negatives, op12_toxicity_scores, op13_conversation_repair)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -86,6 +90,7 @@ def _filled(name: str, nodes: str, parent: str, child: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op11_hard_negatives": hardneg.SQL,
     "op13_conversation_repair": convsql.SQL,
     "op1_mixture": rf"""
 WITH d AS (SELECT doc_id, coalesce(CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 'unknown'

@@ -15,7 +15,7 @@ number of words gives its probability.
 
 Labels are learned from at most ``train_rows`` labelled rows with texts of at most ``train_bytes`` bytes, chosen by a
 hash: a documented bound of the fit alone. Every row is scored over its whole text. A worker keeps the scores of at most
-KNOWN words.
+KNOWN readings of words.
 
 Nulls and odd cases: a null text is empty; a text without a letter gets the score of no words. Labels that are null, and
 labels of ids without a document, are not learned from; an id with several labels or rows is learned from each. Without
@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import blocks, remainder, small_batches
 
-ORDER, DECAY, LANDMARKS, LONGEST = 3, 0.75, 64, 16
-TRAIN_ROWS, TRAIN_BYTES = 6000, 1 << 16
-KNOWN = 200_000
+ORDER, DECAY, LANDMARKS, LONGEST = 3, 0.75, 48, 16
+TRAIN_ROWS, TRAIN_BYTES = 4000, 1 << 15
+KNOWN = 800_000
 #: Words whose kernel values are worked out in one go.
 WORDS = 20_000
 CUT = 0.5
@@ -157,27 +157,40 @@ class Model:
 
     def __init__(self, landmarks: list[str], weights: np.ndarray, bias: np.ndarray, logistic: np.ndarray) -> None:
         self.landmarks, self.weights, self.bias, self.logistic = landmarks, weights, bias, logistic
-        self.known: dict[str, tuple[float, float]] = {}
-
-    def word_scores(self, words: list[str]) -> dict[str, tuple[float, float]]:
-        """Of each word both machines' best scores of its readings."""
-        read = [readings(w) for w in words]
-        distinct = {r: i for i, r in enumerate(dict.fromkeys(r for rs in read for r in rs))}
-        f = (kernel(list(distinct), self.landmarks).astype(np.float64) @ self.weights + self.bias).tolist()
-        found = ([f[distinct[r]] for r in rs] for rs in read)
-        return {w: tuple(x[0]) if len(x) == 1 else tuple(map(max, *x)) for w, x in zip(words, found, strict=True)}
+        # of a reading, as one number to save memory: the loose machine's score, the strict one's as imaginary part
+        self.known: dict[str, complex] = {}
+
+    def score_readings(self, words: list[str]) -> dict[str, complex]:
+        out: dict[str, complex] = {}
+        for a in range(0, len(words), WORDS):
+            some = words[a : a + WORDS]
+            f = kernel(some, self.landmarks).astype(np.float64) @ self.weights + self.bias
+            out |= zip(some, (f[:, 0] + 1j * f[:, 1]).tolist(), strict=True)
+        return out
+
+    def bag_scores(self, bags: list[Counter[str]]) -> list[np.ndarray]:
+        """Of each bag's words both machines' scores (n, 2), the best of each word's readings."""
+        known = self.known
+        read = {w: None if w.isalpha() and len(w) <= LONGEST else readings(w) for b in bags for w in b if w not in known}
+        new = self.score_readings(list(dict.fromkeys(r for w, rs in read.items() for r in (rs or [w]) if r not in known)))
+
+        def value(w: str) -> complex:
+            if w in known:
+                return known[w]
+            if (rs := read[w]) is None:
+                return new[w]
+            found = [new[r] if r in new else known[r] for r in rs]
+            return found[0] if len(found) == 1 else complex(max(x.real for x in found), max(x.imag for x in found))
+
+        out = [np.array([value(w) for w in b], np.complex128).view(np.float64).reshape(-1, 2) for b in bags]
+        if len(known) + len(new) > KNOWN:
+            known.clear()
+        if len(new) <= KNOWN:
+            known |= new
+        return out
 
     def text_features(self, bags: list[Counter[str]]) -> np.ndarray:
-        fresh = list(dict.fromkeys(w for b in bags for w in b if w not in self.known))
-        new: dict[str, tuple[float, float]] = {}
-        for a in range(0, len(fresh), WORDS):
-            new |= self.word_scores(fresh[a : a + WORDS])
-        out = [features(np.array([new[w] if w in new else self.known[w] for w in b]).reshape(-1, 2), np.array(list(b.values()), np.int64)) for b in bags]
-        if len(self.known) + len(new) > KNOWN:
-            self.known = {}
-        if len(new) <= KNOWN:
-            self.known |= new
-        return np.array(out).reshape(-1, FEATURES)
+        return np.array([features(s, np.array(list(b.values()), np.int64)) for s, b in zip(self.bag_scores(bags), bags, strict=True)]).reshape(-1, FEATURES)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         z = self.text_features([bag(t) for t in texts]) @ self.logistic[1:] + self.logistic[0]
@@ -251,10 +264,10 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 4, seed: int = 12)
     near = kernel(first := chosen[: LANDMARKS * 8], first)
     free = np.ones(len(first), bool)
     for i in range(len(first)):
-        if free[i] and len(marks) < LANDMARKS * 5 // 8:
+        if free[i] and len(marks) < LANDMARKS * 3 // 4:
             marks.append(first[i])
             free &= near[i] < 0.6
-    marks += [plain[i] for i in rng.permutation(len(plain)) if plain[i] not in marks][: LANDMARKS - len(marks)]
+    marks += [plain[i] for i in rng.permutation(len(plain)) if plain[i] not in marks and len(plain[i]) <= LONGEST // 2][: LANDMARKS - len(marks)]
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     white = vectors / np.sqrt(np.maximum(values, 1e-3))
     words = sorted(in_toxic.keys() | in_clean.keys())
@@ -298,17 +311,18 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 4, seed: int = 12)
     weight = np.r_[np.full(len(alone), 50.0), np.full(len(forms), 2.0), np.full(len(hard), 2.0), np.full(len(negative) + len(less), 0.2)]
     both = np.c_[loose, machine(x, y, weight)]
     model = Model(marks, white @ both[:-1], both[-1], np.zeros(1 + FEATURES))
-    x = [model.text_features(bags[a : a + 200]) for a in range(0, len(bags), 200)]
-    # toxic texts once more with a single such word left and no other that is above the margin
+    told = phi @ both
+    model.known = dict(zip(words, (told[:, 0] + 1j * told[:, 1]).tolist(), strict=True))
+    x = [model.text_features(bags)]
+    # toxic texts once more with a single such word left and no other that is above a margin
     thin = []
     for i in toxic:
-        own_alone = [w for w in bags[i] if any(r in alone for r in readings(w))]
-        if own_alone:
-            left = own_alone[int(rng.integers(len(own_alone)))]
-            scored = model.word_scores(list(bags[i]))
-            if scored[left][1] > 0:
-                thin.append(Counter({w: n for w, n in bags[i].items() if w == left or max(scored[w]) <= 0}))
-    x += [model.text_features(thin[a : a + 200]) for a in range(0, len(thin), 200)]
+        scored = dict(zip(bags[i], model.bag_scores([bags[i]])[0].tolist(), strict=True))
+        sole = [w for w in bags[i] if scored[w][1] > 0 and any(r in alone for r in readings(w))]
+        if sole:
+            left = sole[int(rng.integers(len(sole)))]
+            thin.append(Counter({w: n for w, n in bags[i].items() if w == left or max(scored[w]) <= 0}))
+    x.append(model.text_features(thin))
     model.logistic = logistic_fit(np.concatenate(x), np.r_[labels, np.ones(len(thin))].astype(float), np.r_[np.ones(len(labels)), np.full(len(thin), THIN)])
     model.known = {}
     return model
