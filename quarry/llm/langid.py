@@ -137,7 +137,9 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_each:
     counts = store(counts, "languages")
     rows_each = max(1, min(rows_each, ROWS_ALL // max(1, counts.count())))
     few = known.join(F.broadcast(counts), "lang").where((order / F.lit(2.0**64) + 0.5 <= F.lit(4.0 * rows_each) / F.col("rows")) | (order == F.col("least")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "id", "text"))
+    # rows that repeat have one hash: they count once, so what is ranked stays bounded
+    few = few.withColumn("order", order).dropDuplicates(["lang", "id", "order"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "id", "text"))
     ids = few.select("id", "lang", "text", rank.alias("rank")).where(F.col("rank") <= rows_each).drop("rank").orderBy("lang", "id", "text").toArrow()
     langs = sorted(set(ids.column("lang").to_pylist()))
     if len(langs) < 2:

@@ -1,14 +1,20 @@
 """Secrets in texts: fixed base patterns, and formats learned by grammar inference.
 
-For every labelled credential format a probabilistic prefix tree is built from its strings and statistically compatible
-states are merged (state merging by Hoeffding bounds on the frequencies of leaving a state by each symbol and of ending in
-it), which gives one probabilistic automaton a format, with the head that all its strings share and the lengths they have.
-Candidates start with a run of credential characters or after a mark (= / . + - _) in it, and end with the run or before a
-mark. A candidate's score under a format is the log-likelihood ratio of its characters: under the format (head, automaton,
-length) against ordinary strings. A string without a format's head has likelihood 0 under it, so looking for the heads
-scores all candidates; no shortest or longest candidate is set. Of the candidates above the cut between labelled
-credentials and labelled ordinary strings, the best that don't overlap are added as spans of kind ``format``. A candidate
-inside a base span adds nothing; base spans always stay.
+For every labelled credential format, and for all of them together, a probabilistic prefix tree is built from the strings
+as they are, character by character, and statistically compatible states are merged (Hoeffding bounds on the frequencies of
+leaving a state by each symbol and of ending in it). The automata so learn the order of a format: what its head and its
+marks are stays a chain of states, what is random becomes a loop, whose probability of ending tells lengths, without any
+table of them. A character that a state has not seen has the state's share of unseen ones; reading goes on in the most usual
+next state, so a head that is a little off costs some bits and no more. Together the formats tell what credentials have in
+common; they find formats of the same grammar that nobody listed.
+
+A candidate starts with a run of credential characters or behind a mark (= / . + - _) in it, and ends with the run or
+before a mark. Its score under an automaton is the log-likelihood ratio of its characters against ordinary strings (a chain
+over kinds of characters, each with its own frequencies). Every candidate of a run is scored under every automaton at once
+by dynamic programming over its characters: of all ways into one state the best is kept, and the spans are those that
+do not overlap and together lie highest above the cut between labelled credentials and labelled ordinary strings. A run in
+which no letter meets a digit and no capital follows a small letter holds no candidate above the cut. Spans of kind
+``format`` within a base span add nothing; base spans always stay.
 
 Nulls and odd cases: a null or empty text has no spans, counts 0 and the hash of the empty string; ids may be null or
 repeat; extra columns are ignored; an empty table gives an empty result. Offsets are code points, the end exclusive. The
@@ -19,7 +25,6 @@ from __future__ import annotations
 
 import functools
 import math
-import os
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -55,9 +60,9 @@ FORMATS: dict[str, list[str | tuple[str, int, int]]] = {
     "chat bot token": ["xoxb-", (DIGIT, 10, 13), "-", (DIGIT, 10, 13), "-", (ALNUM, 24, 24)],
     "map service key": ["AIza", (ALNUM + "_-", 35, 35)],
     "payment key": ["sk_live_", (ALNUM, 24, 34)],
-    "model service key": ["sk-", (ALNUM, 48, 48)],
+    "model service key": ["sk-", (ALNUM, 20, 64)],
     "package index token": ["npm_", (ALNUM, 36, 36)],
-    "web token": ["eyJ", (ALNUM, 17, 40), ".eyJ", (ALNUM, 30, 90), ".", (ALNUM + "_-", 43, 43)],
+    "web token": ["eyJ", (ALNUM, 17, 60), ".eyJ", (ALNUM, 30, 500), ".", (ALNUM + "_-", 43, 342)],
     "mail service key": ["SG.", (ALNUM + "_-", 22, 22), ".", (ALNUM + "_-", 43, 43)],
 }
 EACH = 40
@@ -69,29 +74,25 @@ def labelled(seed: int = 10) -> list[tuple[str, str | None]]:
     piece = lambda p: p if isinstance(p, str) else "".join(rng.choices(p[0], k=rng.randint(p[1], p[2])))
     out: list[tuple[str, str | None]] = [("".join(map(piece, parts)), name) for name, parts in FORMATS.items() for _ in range(EACH)]
     word = lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(1, 5)))
+    number = lambda: str(rng.randint(0, 10 ** rng.randint(1, 12)))
     heads = [p[0].rstrip("_.-") for p in FORMATS.values() if isinstance(p[0], str)]
-    for _ in range(EACH * len(FORMATS) // 6):
+    for _ in range(EACH * len(FORMATS) // 4):
         out += [(sep.join(word() for _ in range(rng.randint(3, 7))), None) for sep in ("", "-", "_", "/")]
+        out += [(sep.join(number() for _ in range(rng.randint(1, 4))), None) for sep in (".", "-", "/")]
         out.append((".".join(word().capitalize() for _ in range(4)) + str(rng.randint(1, 2030)), None))
+        out.append(("".join(word().capitalize() for _ in range(rng.randint(2, 4))), None))
+        out.append((rng.choice("_-").join([word().upper(), *(word().upper() for _ in range(rng.randint(0, 3)))]), None))
+        out.append((word() + rng.choice("_-") + number() + rng.choice(["", word()]), None))
         out.append((rng.choice(heads) + rng.choice("-_.") + rng.choice("-_").join(word() for _ in range(rng.randint(1, 8))), None))
     return out
 
 
-def kinds_of(s: str) -> list[str]:
-    """Marks as they are; letters and digits by kind."""
-    return ["0" if c in DIGIT else "A" if c in UPPER else "a" if c in LOWER else c for c in s]
-
-
-#: Bits that a character of each kind takes besides its kind.
-_WITHIN = {"A": math.log2(26), "a": math.log2(26), "0": math.log2(10)}
-
-
 class Automaton:
     """A probabilistic automaton by merging compatible states of a prefix tree.
 
     ``alpha`` is the confidence parameter of the Hoeffding test that two states leave and end alike."""
 
-    def __init__(self, strings: list[list[str]], alpha: float = 0.05) -> None:
+    def __init__(self, strings: list[str], alpha: float = 0.05) -> None:
         self.go: list[dict[str, int]] = [{}]
         self.n: list[dict[str, int]] = [{}]
         self.end: list[int] = [0]
@@ -157,116 +158,155 @@ class Automaton:
                     self.go[r][c] = self.go[q][c]
 
 
+def kind(c: str) -> str:
+    """Kind of a character: a digit, capital or small letter; marks are kinds of their own."""
+    return "0" if "0" <= c <= "9" else "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else c
+
+
+SIZE = {"A": 26, "a": 26, "0": 10}
+
+
+class Ordinary:
+    """Ordinary strings: a chain over kinds, and the frequencies of characters of a kind."""
+
+    def __init__(self, strings: list[str]) -> None:
+        pairs = Counter(p for s in strings for p in zip([""] + [kind(c) for c in s], [kind(c) for c in s], strict=False))
+        before = Counter(a for s in strings for a in ["", *map(kind, s[:-1])])
+        chars = Counter("".join(strings))
+        kinds = Counter(map(kind, "".join(strings)))
+        alphabet = ["A", "a", "0", *"+/_.=-"]
+        self.bits = {(a, c): math.log2((pairs[a, kind(c)] + 0.5) / (before[a] + 0.5 * len(alphabet))) + math.log2((chars[c] + 1) / (kinds[kind(c)] + SIZE.get(kind(c), 1))) for a in ["", *alphabet] for c in ALNUM + "+/_.=-"}
+
+
 class Format:
-    """One learned format: the head of all its strings, the automaton of what follows, and their lengths.
-
-    ``step`` maps a state and a kind to (next state, log2 of its probability for one character); a kind that a state lacks
-    stays in it and costs more than any character can gain. ``fall`` is what each character beyond known lengths costs."""
-
-    def __init__(self, strings: list[str], ordinary: dict[str, float], other: float) -> None:
-        self.head = os.path.commonprefix(strings)
-        rest = [s[len(self.head) :] for s in strings]
-        auto = Automaton([kinds_of(s) for s in rest])
-        gain = -min([*ordinary.values(), other])
-        self.missing, self.fall = -gain - 1, gain + 1
-        self.step: dict[int, dict[str, tuple[int, float]]] = {}
-        self.ends: dict[int, float] = {}
+    """An automaton with, for each state: character -> (next state, bits), what any other costs and leads to, and bits of ending."""
+
+    def __init__(self, strings: list[str]) -> None:
+        auto = Automaton(strings)
+        place = {q: i for i, q in enumerate(auto.red)}
+        self.step: list[dict[str, tuple[int, float]]] = []
+        self.other: list[tuple[int, float]] = []
+        self.end: list[float] = []
         for q in auto.red:
-            total = auto.total(q)
-            self.step[q] = {c: (auto.go[q][c], math.log2(n / (total + 1)) - _WITHIN.get(c, 0.0)) for c, n in auto.n[q].items()}
-            self.ends[q] = math.log2((auto.end[q] + 0.01) / (total + 1))
-        self.ordinary, self.other = ordinary, other
-        self.start = -sum(ordinary.get(c, other) for c in self.head)
-        lengths = Counter(map(len, rest))
-        self.longest = max(lengths)
-        # log2 of the share of each length; between known ones, by the distance to the nearest
-        share = {n: math.log2(k / (len(rest) + 1)) for n, k in lengths.items()}
-        least = math.log2(0.5 / (len(rest) + 1))
-        near = lambda i: min(abs(i - n) for n in lengths)
-        self.length = [share.get(i, least - self.fall * max(0, near(i) - 2)) for i in range(self.longest + 1)]
-
-    def above(self, text: str, start: int, ends: set[int], stop: int, cut: float) -> Iterator[tuple[int, int, float]]:
-        """(start, end, score) of the candidates text[start:end] that are above the cut; the head is there already.
-
-        Beyond the longest length a candidate loses more by its length than it can gain, so the first that is below the cut
-        there is the last to look at."""
-        at, score, i = 0, self.start, start + len(self.head)
-        known = len(self.length)
-        for n in range(stop - i + 1):
-            size = self.length[n] if n < known else self.length[-1] - self.fall * (n - known + 1)
-            if i + n in ends:
-                whole = score + size + self.ends[at]
-                if whole >= cut:
-                    yield start, i + n, whole
-            if i + n == stop or (n >= self.longest and score + size < cut):
-                return
-            c = text[i + n]
-            to = self.step[at].get("0" if "0" <= c <= "9" else "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else c)
-            if to is None:
-                score += self.missing
-            else:
-                at = to[0]
-                score += to[1]
-            score -= self.ordinary.get(c, self.other)
+            total, types = auto.total(q), len(auto.n[q]) + (auto.end[q] > 0)
+            known = {c: (place[auto.go[q][c]], math.log2(n / (total + types))) for c, n in auto.n[q].items()}
+            self.step.append(known)
+            usual = max(auto.n[q], key=lambda c: (auto.n[q][c], c), default=None)
+            self.other.append((place[q] if usual is None else place[auto.go[q][usual]], math.log2(types / (total + types) / 64)))
+            self.end.append(math.log2((auto.end[q] + 0.1) / (total + types)))
 
 
 class Formats:
-    """The learned formats, the frequencies of characters in ordinary strings, and the cut between both."""
+    """The learned automata, the ordinary strings, and the cut between both."""
 
     def __init__(self, table: list[tuple[str, str | None]]) -> None:
-        counts = Counter("".join(s for s, y in table if y is None))
-        total = sum(counts.values()) + len(ALNUM)
-        ordinary = {c: math.log2((n + 1) / total) for c, n in counts.items()}
-        self.formats = [Format([s for s, y in table if y == name], ordinary, math.log2(1 / total)) for name in dict.fromkeys(y for _, y in table if y)]
-        heads = "|".join(sorted({re.escape(f.head) for f in self.formats}, key=len, reverse=True))
-        # a start is that of a run, or stands behind a mark
-        self.starts = re.compile(f"(?<![A-Za-z0-9])(?={heads})")
-        self.tail = re.compile(f"[{RUN}]*")
-        self.cut = -math.inf
-        least = min(self.ratio(s) for s, y in table if y)
-        most = max(self.ratio(s) for s, y in table if y is None)
-        self.cut = (least + max(most, 0.0)) / 2
+        self.ordinary = Ordinary([s for s, y in table if y is None])
+        names = list(dict.fromkeys(y for _, y in table if y))
+        each = [[s for s, y in table if y == name] for name in names]
+        parts = [*each, [s for some in each for s in some]]
+        # all states of all automata in one row
+        self.step: list[dict[str, tuple[int, float]]] = []
+        self.other: list[tuple[int, float]] = []
+        self.end: list[float] = []
+        self.start: list[int] = []
+        for f in map(Format, parts):
+            at = len(self.step)
+            self.start.append(at)
+            self.step += [{c: (at + q, b) for c, (q, b) in x.items()} for x in f.step]
+            self.other += [(at + q, b) for q, b in f.other]
+            self.end += f.end
+        # between the ordinary string that looks most like one and the credentials, but for a hundredth of them
+        known = sorted(self.ratio(s) for s, y in table if y)
+        self.cut = (known[len(known) // 100] + max(0.0, max(self.ratio(s) for s, y in table if y is None))) / 2
 
     def ratio(self, s: str) -> float:
-        """The best log-likelihood ratio of the whole string under a format; minus infinity without any format's head."""
-        return max((x[2] for f in self.formats if s.startswith(f.head) for x in f.above(s, 0, {len(s)}, len(s), -math.inf)), default=-math.inf)
+        """The best log-likelihood ratio of a whole string."""
+        best = -math.inf
+        for q in self.start:
+            score, before = 0.0, ""
+            for c in s:
+                q, bits = self.step[q].get(c) or self.other[q]
+                score += bits - self.ordinary.bits[before, c]
+                before = kind(c)
+            best = max(best, score + self.end[q])
+        return best
 
     def is_secret(self, candidate: str) -> bool:
         return self.ratio(candidate) >= self.cut
 
+    def chosen(self, text: str, a: int, b: int) -> tuple[list[tuple[int, int]], float]:
+        """The candidates in the run text[a:b] that don't overlap and together lie highest above the cut, and by how much.
+
+        value[i]: the best sum for what ends at or before i; active: of each state the best way into it, as (value before its
+        start plus its score, start, score)."""
+        while b > a and text[b - 1] in ".=-":
+            b -= 1
+        value, begun = [0.0] * (b - a + 1), [-1] * (b - a + 1)
+        active: dict[int, tuple[float, int, float]] = {}
+        begins, before = True, ""
+        for i in range(b - a):
+            c = text[a + i]
+            if begins:
+                for q in self.start:
+                    if q not in active or active[q][0] < value[i]:
+                        active[q] = (value[i], i, 0.0)
+            now: dict[int, tuple[float, int, float]] = {}
+            usual, first = self.ordinary.bits[before, c], self.ordinary.bits["", c]
+            for q, (whole, at, score) in active.items():
+                to, bits = self.step[q].get(c) or self.other[q]
+                gain = bits - (first if at == i else usual)
+                if to not in now or now[to][0] < whole + gain:
+                    now[to] = (whole + gain, at, score + gain)
+            active = now
+            before = kind(c)
+            begins = before == c and c not in "0Aa"
+            value[i + 1] = value[i]
+            if i + 1 == b - a or (MARK.match(text, a + i + 1) and c not in ".=-"):
+                for q, (whole, at, score) in active.items():
+                    more = whole + self.end[q] - self.cut
+                    if score + self.end[q] >= self.cut and more > value[i + 1]:
+                        value[i + 1], begun[i + 1] = more, at
+        out, i = [], b - a
+        while i > 0:
+            if begun[i] >= 0:
+                out.append((a + begun[i], a + i))
+                i = begun[i]
+            else:
+                i -= 1
+        return out[::-1], value[-1]
+
+    def in_run(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
+        """The spans in the run text[a:b]."""
+        # parts of one credential that touch, or have one of its inner marks between them, are one span
+        joined: list[tuple[int, int]] = []
+        for x, y in self.chosen(text, a, b)[0]:
+            if joined and text[joined[-1][1] : x] in ("", ".", "-", "_"):
+                joined[-1] = (joined[-1][0], y)
+            else:
+                joined.append((x, y))
+        return joined
+
     def secrets(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of the credentials in a text, in order."""
         out: list[tuple[int, int]] = []
-        found: list[tuple[int, int, float]] = []
-        stop = 0
-
-        def settle() -> None:
-            # the best that don't overlap, within a run
-            taken: list[tuple[int, int]] = []
-            for a, b, _ in sorted(found, key=lambda x: (-x[2], x)):
-                i = bisect_right(taken, (a, b))
-                if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
-                    taken.insert(i, (a, b))
-            out.extend(taken)
-            found.clear()
-
-        ends: set[int] = set()
-        for m in self.starts.finditer(text):
-            a = m.start()
-            if a >= stop:
-                settle()
-                stop = self.tail.match(text, a).end()
-                last = stop
-                while last > a and text[last - 1] in ".=-":
-                    last -= 1
-                ends = {last, *(x.start() for x in MARK.finditer(text, a, stop) if text[x.start() - 1] not in ".=-")}
-            for f in self.formats:
-                if text.startswith(f.head, a):
-                    found.extend(f.above(text, a, ends, stop, self.cut))
-        settle()
+        done = 0
+        while m := SWITCH.search(text, done):
+            a, b = m.start(), TAIL.match(text, m.end()).end()
+            while a > done and RUN_CHAR.match(text, a - 1):
+                a -= 1
+            if b - a >= LEAST:
+                out += self.in_run(text, a, b)
+            done = b
         return out
 
 
+#: A letter beside a digit, or a capital behind a small letter.
+SWITCH = re.compile(r"[0-9][A-Za-z]|[A-Za-z][0-9]|[a-z][A-Z]")
+RUN_CHAR, TAIL = re.compile(f"[{RUN}]"), re.compile(f"[{RUN}]*")
+#: Fewer characters can't reach the cut.
+LEAST = 4
+
+
 @functools.lru_cache(maxsize=1)
 def learned() -> Formats:
     return Formats(labelled())
