@@ -99,12 +99,17 @@ def override_by_id(spark, sf):
     return lists.precedence([a, b], "id", "place")
 
 
-@query(f"""WITH {_SCORES}, m AS (SELECT 'model' AS kind, model AS name, min(at_ms) AS first_seen_at FROM p GROUP BY model UNION ALL SELECT 'project', project, min(at_ms) FROM p GROUP BY project)
-SELECT series, i, kind, name, abs(first_seen_at - at_ms) AS gap, row_number() OVER (PARTITION BY series, i ORDER BY abs(first_seen_at - at_ms), first_seen_at, kind, name) AS r FROM (SELECT series, i, z.at_ms, kind, name, first_seen_at FROM z, m WHERE z > 1.5 AND abs(first_seen_at - z.at_ms) <= 7 * 86400000) QUALIFY r <= 3""")
+#: z from which a place is looked at beside the markers; the smallest tables have weak ones alone. Days are markers, too: the
+#: models are all seen before a series has places.
+_NEAR = 0.5
+
+
+@query(f"""WITH {_SCORES}, m AS (SELECT 'model' AS kind, model AS name, min(at_ms) AS first_seen_at FROM p GROUP BY model UNION ALL SELECT 'day', CAST(day AS VARCHAR), min(at_ms) FROM p GROUP BY day)
+SELECT series, i, kind, name, abs(first_seen_at - at_ms) AS gap, row_number() OVER (PARTITION BY series, i ORDER BY abs(first_seen_at - at_ms), first_seen_at, kind, name) AS r FROM (SELECT series, i, z.at_ms, kind, name, first_seen_at FROM z, m WHERE z > {_NEAR} AND abs(first_seen_at - z.at_ms) <= 7 * 86400000) QUALIFY r <= 3""")
 def change_points_near_markers(spark, sf):
     p = _points(spark, sf)
-    z = insights.change_scores(p, "tool_calls").where("z > 1.5")
-    marks = insights.markers(p, {"model": F.col("model"), "project": F.col("project")})
+    z = insights.change_scores(p, "tool_calls").where(F.col("z") > _NEAR)
+    marks = insights.markers(p, {"model": F.col("model"), "day": F.col("day").cast("string")})
     return lists.near_markers(z.select("series", "i", "at_ms"), marks).select("series", "i", "kind", "name", "gap", F.col("r").cast("long").alias("r"))
 
 
