@@ -10,7 +10,7 @@ from quarry.plans.catalogue import NOW_MS
 from quarry.plans.registry import query
 from quarry.plans.transcripts import lines
 from quarry.plans.views import SESS, sess, table
-from quarry.sources import rollouts, transcripts
+from quarry.sources import fold, rollouts, transcripts
 
 
 @query("SELECT s_suppkey AS source, CASE WHEN s_suppkey % 4 = 0 THEN 'absent' WHEN s_suppkey % 4 = 1 THEN 'empty' ELSE 'present' END AS status, CASE WHEN s_suppkey % 4 > 1 THEN n ELSE 0 END AS files, CASE WHEN s_suppkey % 4 > 1 THEN m END AS last_at FROM supplier JOIN (SELECT l_suppkey, count(*) AS n, max(l_orderkey) AS m FROM lineitem GROUP BY l_suppkey) ON l_suppkey = s_suppkey")
@@ -48,7 +48,7 @@ def merged_tool_rollups(spark, sf):
 SELECT (SELECT count(*) FROM f) AS sessions, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN role = 'assistant' THEN turn * 10 ELSE 0 END) AS BIGINT) AS output_tokens, count(*) FILTER (called) AS tool_calls, count(*) FILTER (called AND (conv_id + turn) % 5 = 0) AS tool_errors,
  count(*) FILTER (role = 'assistant') AS text_blocks, count(*) FILTER (role = 'system') AS hook_errors, count(*) FILTER (turn = 1 AND conv_id % 9 = 0) AS malformed, count(DISTINCT conv_id) FILTER (side) AS subagent_sessions, count(*) FILTER (called AND conv_id % 5 = 3) AS subagents, count(*) FILTER (called AND conv_id % 5 = 0) AS reads, count(*) FILTER (called AND conv_id % 5 = 1) AS writes FROM c""")
 def collection_totals(spark, sf):
-    s = transcripts.fold(lines(spark, sf)).withColumn("project", F.lit("p"))
+    s = fold.fold(lines(spark, sf)).withColumn("project", F.lit("p"))
     return collection.totals(s).select("sessions", "input_tokens", "output_tokens", "tool_calls", "tool_errors", "text_blocks", "hook_errors", "malformed", "subagent_sessions", "subagents", "reads", "writes")
 
 

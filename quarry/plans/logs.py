@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.operators import evaluation
@@ -9,7 +11,8 @@ from quarry.plans.catalogue import NOW_MS
 from quarry.plans.registry import query
 from quarry.plans.views import RUN_CASE, millis, run_case, table
 from quarry.sources import sinks
-from quarry.streaming import events
+from quarry.sources.shared import application_dir
+from quarry.streaming import events, watch
 
 _LOG = """SELECT event_id AS id, CAST(user_id AS VARCHAR) AS run_id, CASE WHEN event_type = 'purchase' THEN 'run_finished' ELSE event_type END AS type, epoch_us(ts) // 1000 AS at_ms, CASE WHEN event_id % 10 = 0 THEN '{broken' ELSE props END AS payload FROM events"""
 
@@ -59,6 +62,24 @@ def latest_rows(spark, sf):
     return sinks.latest(table(spark, sf, "events").select("user_id", "event_type", "event_id"), ["user_id"], "event_id")
 
 
+_GAP = 86_400_000
+
+
+@query(f"""WITH e AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS run_id, epoch_us(ts) // 1000 AS ms, event_id, event_type = 'signup' AS fin FROM events),
+n AS (SELECT *, lead(ms) OVER (PARTITION BY run_id ORDER BY ms, event_id) AS after_ms, (SELECT max(ms) FROM e) AS top, bool_or(fin) OVER (PARTITION BY run_id ORDER BY ms, event_id) AS ended FROM e),
+g AS (SELECT run_id, min(ms) AS last_ms FROM n WHERE NOT ended AND coalesce(after_ms, top) - ms > {_GAP} GROUP BY run_id)
+SELECT run_id, 'run_aborted' AS type, last_ms + {_GAP} AS at_ms FROM g""")
+def aborts_of_silent_runs(spark, sf):
+    """The log as a stream of files: a run that is silent for a day gets its abort, once."""
+    log = table(spark, sf, "events")
+    rows = log.select(F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("run_id"), F.when(F.col("event_type") == "signup", "run_finished").otherwise(F.col("event_type")).alias("type"), millis("ts").alias("at_ms"), F.lit("{}").alias("payload"))
+    path = f"{application_dir(spark)}/log-{uuid.uuid4().hex}"
+    # the files that are there come as one batch, whatever the order in which they were written
+    rows.write.json(f"{path}/log")
+    watch.run(events.read_stream(spark, f"{path}/log", 1_000_000), f"{path}/aborts", f"{path}/offsets", _GAP)
+    return spark.read.schema(watch.ABORTS).parquet(f"{path}/aborts")
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'new' ELSE p_brand END AS p_brand FROM part UNION ALL SELECT -1, 'new'")
 def upserted_rows(spark, sf):
     old = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand")

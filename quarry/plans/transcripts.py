@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import evaluation
 from quarry.plans.registry import query
 from quarry.plans.views import table
-from quarry.sources import transcripts
+from quarry.sources import fold, transcripts
+from quarry.sources.lines import numbered_lines
+from quarry.sources.shared import application_dir
+from quarry.streaming import collect
 
 START = 1_704_067_200_000
 TOOLS = ["Read", "Edit", "mcp__srv__go", "Task", "Skill"]
@@ -81,11 +86,73 @@ SELECT file, 's' || CAST(conv_id AS VARCHAR) || CASE WHEN side THEN '/agent-a' |
  concat_ws('; ', CASE WHEN model IS NULL THEN 'model missing from trace' END, CASE WHEN replies = 0 THEN 'token usage missing from trace' END, 'cost missing from trace', CASE WHEN duration_source = 'missing' THEN 'duration missing from trace' END, CASE WHEN turns_source = 'inferred' THEN 'turn count inferred from user messages' END,
   'no final result event found', CASE WHEN malformed > 0 THEN '1/' || CAST(lines AS VARCHAR) || ' malformed line(s) skipped' END, CASE WHEN systems > 0 THEN '1 hook error(s) reported' END, CASE WHEN side THEN 'source: subagent' END) AS warnings FROM f""")
 def session_fold(spark, sf):
-    s = transcripts.fold(lines(spark, sf))
+    s = fold.fold(lines(spark, sf))
     return s.select("file", "session_id", "lines", "malformed", "started_at", "last_event_at", "input_tokens", "output_tokens", "tool_calls", "tool_errors", F.when(F.col("turns_source") != "missing", F.col("turns")).alias("turns"), "turns_source", "duration_ms", "duration_source", "positive", "negative", "rephrases", "models", "model", "orphans",
                     "error_tail", "passed_tail", "rework_files", "subagents", "quality", F.array_join("warnings", "; ").alias("warnings"))
 
 
+def _files(spark, sf) -> str:
+    """The transcripts as files of JSON lines, one a folder, in the shared folder."""
+    path = f"{application_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    name = F.regexp_extract("file", r"/(c\d+)\.jsonl$", 1)
+    ordered = lines(spark, sf).select(name.alias("name"), "line_no", "raw").repartition(F.col("name")).sortWithinPartitions("name", "line_no")
+    ordered.select("name", "raw").write.partitionBy("name").text(path)
+    return path
+
+
+def _folder_name() -> Column:
+    return F.regexp_extract("file", r"name=([^/]+)/", 1)
+
+
+@query("""SELECT 'c' || CAST(conv_id AS VARCHAR) AS name, count(*) + count(*) FILTER (role = 'assistant' AND (conv_id + turn) % 3 <> 0) + count(*) FILTER (conv_id % 9 IN (0, 1) AND turn = 1) AS lines,
+ count(*) FILTER (role = 'system') AS systems FROM conversations GROUP BY conv_id""")
+def lines_of_files(spark, sf):
+    """Files that are read in blocks: numbers go from 0 to the last without a gap, whichever task read a line."""
+    read = numbered_lines(spark, _files(spark, sf), "*.txt").withColumn("name", _folder_name())
+    g = read.groupBy("name").agg(F.count("*").alias("n"), F.max("line_no").alias("last"), F.count_distinct("line_no").alias("d"), F.count_if(F.col("raw").contains('"turnCount":3')).alias("systems"))
+    return g.select("name", F.when((F.col("last") == F.col("n") - 1) & (F.col("d") == F.col("n")), F.col("n")).alias("lines"), "systems")
+
+
+@query(f"""WITH {_C} SELECT 'c' || CAST(conv_id AS VARCHAR) AS name, 's' || CAST(conv_id AS VARCHAR) || CASE WHEN any_value(side) THEN '/agent-a' || CAST(conv_id AS VARCHAR) ELSE '' END AS session_id, count(*) FILTER (called) AS tool_calls, count(*) FILTER (called AND n % 5 = 0) AS tool_errors,
+ CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS input_tokens, min(ms) AS started_at FROM c GROUP BY conv_id""")
+def sessions_of_files(spark, sf):
+    """The fold of files that are read."""
+    s = fold.fold(numbered_lines(spark, _files(spark, sf), "*.txt"))
+    return s.select(_folder_name().alias("name"), "session_id", "tool_calls", "tool_errors", "input_tokens", "started_at")
+
+
+@query(f"""WITH {_C} SELECT 'c' || CAST(conv_id AS VARCHAR) AS name, count(*) FILTER (called) AS tool_calls, CAST(bool_or(conv_id % 9 = 0 AND turn = 1) AS BIGINT) AS malformed, CAST(0 AS BIGINT) AS attempts FROM c GROUP BY conv_id""")
+def collected_sessions(spark, sf):
+    """The same files, collected by micro-batches into a stored cache with its ledger of failures."""
+    cache = f"{application_dir(spark)}/cache-{uuid.uuid4().hex}"
+    files = _files(spark, sf)
+    collect.run(spark, files, cache, f"{cache}-offsets", "*.txt", most=100)
+    s = collect.sessions(spark, cache)
+    known = collect.failures(spark, cache)
+    return s.join(known, "file", "left").select(_folder_name().alias("name"), "tool_calls", "malformed", F.coalesce("attempts", F.lit(0)).cast("long").alias("attempts"))
+
+
+_EVENT = f"""e AS (SELECT *, 'u' || CAST(user_id AS VARCHAR) AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line FROM events)"""
+
+
+@query(f"""WITH {_EVENT}, q AS (SELECT file, event_id, row_number() OVER (PARTITION BY file ORDER BY line) AS k FROM e WHERE event_type = 'click')
+SELECT file, count(*) FILTER (event_type IN ('click', 'view')) AS queue_operations, count(*) FILTER (event_type = 'click') AS queue_enqueue, count(*) FILTER (event_type = 'view') AS queue_dequeue,
+ coalesce((SELECT string_agg('c' || CAST(q.event_id AS VARCHAR), ' ' ORDER BY k) FROM q WHERE q.file = e.file AND k <= 3), '') AS preview,
+ concat_ws(' ', CASE WHEN count(*) FILTER (event_type = 'error' AND event_id % 2 = 0) > 0 THEN 'auto:' || CAST(count(*) FILTER (event_type = 'error' AND event_id % 2 = 0) AS VARCHAR) END, CASE WHEN count(*) FILTER (event_type = 'error' AND event_id % 2 = 1) > 0 THEN 'plan:' || CAST(count(*) FILTER (event_type = 'error' AND event_id % 2 = 1) AS VARCHAR) END) AS modes,
+ 't' || CAST(max(event_id) FILTER (event_type = 'purchase') AS VARCHAR) AS title, 'b' || CAST(arg_max(event_id, line) % 4 AS VARCHAR) AS branch FROM e GROUP BY file""")
+def session_extras(spark, sf):
+    """Queue operations, modes, previews, titles and branches of sessions, each event a line."""
+    e = table(spark, sf, "events")
+    i = F.col("event_id").cast("string")
+    kind = F.when(F.col("event_type").isin("click", "view"), "queue-operation").when(F.col("event_type") == "error", "user").when(F.col("event_type") == "purchase", "custom-title").otherwise("last-prompt")
+    of = lambda name, value: F.when(F.col("event_type") == name, value)
+    raw = F.to_json(F.struct(kind.alias("type"), F.when(F.col("event_type") == "click", "enqueue").when(F.col("event_type") == "view", "dequeue").alias("operation"), of("click", F.concat(F.lit("c"), i)).alias("content"),
+                             of("error", F.when(F.col("event_id") % 2 == 0, "auto").otherwise("plan")).alias("permissionMode"), of("purchase", F.concat(F.lit("t"), i)).alias("customTitle"), of("signup", i).alias("lastPrompt"), F.concat(F.lit("b"), (F.col("event_id") % 4).cast("string")).alias("gitBranch")))
+    s = fold.fold(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), F.col("event_id").alias("line_no"), raw.alias("raw")))
+    modes = F.array_join(F.transform(F.map_entries("permission_modes"), lambda m: F.concat_ws(":", m["key"], m["value"].cast("string"))), " ")
+    return s.select("file", "queue_operations", "queue_enqueue", "queue_dequeue", F.array_join("queue_preview", " ").alias("preview"), modes.alias("modes"), "title", "branch")
+
+
 @query(f"""WITH {_C} SELECT file, tool, count(*) AS calls, count(*) FILTER (n % 5 = 0) AS errors, CAST(min(500 * (1 + conv_id % 3)) AS BIGINT) AS shortest, CAST(max(500 * (1 + conv_id % 3)) AS BIGINT) AS longest FROM c WHERE called GROUP BY file, tool""")
 def tool_calls_paired(spark, sf):
     calls = transcripts.tool_calls(transcripts.records(lines(spark, sf)))

@@ -1,8 +1,8 @@
-"""Agent transcripts: lists of session files, their JSON lines, and the fold of a file's records to one session.
+"""Agent transcripts: lists of session files, the records of their lines, and what is told by a file's records.
 
 A file is one session. Its lines are records: user and assistant messages with blocks (text, tool_use, tool_result,
 thinking), system lines, attachments, queue operations, snapshots, results, titles. Everything goes by file through
-aggregates and windows over lines, so sessions are folded side by side and a long one needs no task's memory for its text.
+aggregates and windows over lines; ``lines`` reads files, ``fold`` makes the sessions.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import messages, stats, text
+from quarry.functions import messages, stats
 
 #: Tool name parts of reading, names of writing (fixed values).
 READ_LIKE = ("read", "grep", "glob", "webfetch", "websearch")
@@ -30,14 +30,6 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*.jsonl", depth:
     return out if depth is None else out.where(F.col("depth") <= depth)
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], pattern: str = "*.jsonl") -> DataFrame:
-    """file, line_no (from 0, in the order of the file), raw. A last line without its end is kept, carriage returns too.
-
-    A file is read by one task for its lines to be numbered; files are spread over tasks."""
-    whole = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n", -1)).alias("line_no", "raw"))
-
-
 def newest(files: DataFrame, sessions: DataFrame, limit: int = 200) -> DataFrame:
     """Sessions of the newest files, until limit are there or 5 * limit files were looked at; sessions: file, ... (parsed ones only)."""
     order = Window.orderBy(F.desc("mtime_ms"), "file")
@@ -114,53 +106,6 @@ def tool_calls(recs: DataFrame) -> DataFrame:
     return out.withColumn("duration_ms", F.when(F.col("end_ms") >= F.col("at_ms"), F.col("end_ms") - F.col("at_ms")).when(F.col("end_ms").isNotNull() & F.col("at_ms").isNotNull(), 0)).fillna({"errors": 0, "results": 0})
 
 
-def fold(lines: DataFrame) -> DataFrame:
-    """One row for each file: identity, times, tokens, tools, signals, provenances, quality and warnings."""
-    recs = records(lines)
-    string = F.trim(message_text())
-    human = (F.col("type") == "user") & ~F.coalesce(F.col("sidechain"), F.lit(False)) & (string != "") & ~string.startswith("<") & ~string.startswith("Caveat:")
-    usage = lambda name: F.coalesce(messages.numeric_or_null(F.try_variant_get("v", f"$.message.usage.{name}", "string")), F.lit(0.0)).cast("long")
-    spoke = (F.col("type") == "assistant") & F.col("blocks").isNotNull()
-    has_usage = spoke & (_get("message.usage.input_tokens").isNotNull() | _get("message.usage.output_tokens").isNotNull())
-    kinds = lambda name: F.size(F.filter("blocks", lambda b: F.try_variant_get(b, "$.type", "string") == name))
-    rows = recs.withColumns({
-        "human": F.coalesce(human, F.lit(False)), "text": string, "input": F.when(spoke, usage("input_tokens")).otherwise(0), "output": F.when(spoke, usage("output_tokens")).otherwise(0),
-        "cache_read": F.when(spoke, usage("cache_read_input_tokens")).otherwise(0), "measured": F.coalesce(has_usage, F.lit(False)),
-        "result": F.coalesce(F.col("type") == "result", F.lit(False)), "declared": F.when(F.col("type") == "system", _get("turnCount", "long")), "took": F.when(F.col("type") == "system", F.coalesce(_get("totalDurationMs", "long"), _get("durationMs", "long"))),
-        "hooks": F.when(F.col("type") == "system", F.coalesce(_get("hookErrors", "long"), F.lit(0))).otherwise(0), "texts": F.when(spoke, kinds("text")).otherwise(0), "thoughts": F.when(spoke, kinds("thinking")).otherwise(0),
-    })
-    base = rows.groupBy("file").agg(
-        F.count("*").alias("lines"), F.count_if("malformed").alias("malformed"), F.min("at_ms").alias("started_at"), F.max("at_ms").alias("last_event_at"), F.count("at_ms").alias("stamps"),
-        F.max_by("session_id", F.when(F.col("session_id") != "", F.col("line_no"))).alias("session_id"), F.sum("input").alias("input_tokens"), F.sum("output").alias("output_tokens"), F.sum("cache_read").alias("cache_tokens"),
-        F.bool_or("measured").alias("has_tokens"), F.count_if("human").alias("prompts"), F.bool_or("result").alias("has_result"), F.max_by("declared", F.when(F.col("declared").isNotNull(), F.col("line_no"))).alias("declared"), F.max("took").alias("took"),
-        F.sum("hooks").alias("hook_errors"), F.sum("texts").alias("text_blocks"), F.sum("thoughts").alias("thinking_blocks"), F.count_if(F.col("type") == "attachment").alias("attachments"), F.count_if(F.col("type") == "file-history-snapshot").alias("snapshots"),
-        F.count_if(F.coalesce(F.col("sidechain"), F.lit(False))).alias("side"), F.count_if(~F.coalesce(F.col("sidechain"), F.lit(True))).alias("root"), F.count_distinct("agent").alias("agents"), F.min("agent").alias("agent"),
-        F.max_by("text", F.when(spoke & (string != ""), F.col("line_no"))).alias("last_said"),
-        # a session whose user starts as a judge is no session of a user
-        F.coalesce(F.bool_or((F.col("type") == "user") & ~F.coalesce(F.col("sidechain"), F.lit(False)) & string.startswith(messages.JUDGE_STUB)), F.lit(False)).alias("stub"),
-    )
-    # signals of short human turns; a rewording is told from the short turn before
-    short = rows.where("human and length(text) <= 600").select("file", "line_no", "text")
-    short = short.withColumn("before", F.lag("text").over(Window.partitionBy("file").orderBy("line_no")))
-    mood = text.sentiment(F.col("text"))
-    signals = short.groupBy("file").agg(F.count_if(mood == "positive").alias("positive"), F.count_if(mood == "negative").alias("negative"), F.count_if(text.is_rephrase(F.col("text"), F.col("before"))).alias("rephrases"))
-    calls = tool_calls(recs)
-    name = F.lower("tool")
-    writes = calls.where(name.rlike("^(?:" + "|".join(WRITE_NAMES) + ")") & F.col("target").isNotNull()).groupBy("file", "target").count().where("count >= 2").groupBy("file").agg(F.count("*").alias("rework_files"))
-    tools = calls.groupBy("file").agg(
-        F.count("*").alias("tool_calls"), F.sum("errors").alias("tool_errors"), F.count_if(name.rlike("|".join(READ_LIKE))).alias("reads"), F.count_if(name.contains("write") | name.contains("edit")).alias("writes"),
-        F.count_if(F.col("tool").isin("Task", "Agent")).alias("subagents"), F.array_sort(F.collect_set(text.mcp_server(F.col("tool")))).alias("mcp_servers"), F.array_sort(F.collect_set(F.when(F.col("tool") == "Skill", F.col("argument")))).alias("skills"),
-    )
-    models = model_usage(recs, calls)
-    best = models.groupBy("file").agg(F.max_by("model", F.struct("volume", "calls", (-F.col("first_line")).alias("early"))).alias("model"), F.count("*").alias("models"))
-    parents = recs.select("file", F.col("parent").alias("uuid")).where("uuid <> ''").distinct().join(recs.select("file", "uuid").distinct(), ["file", "uuid"], "left_anti").groupBy("file").agg(F.count("*").alias("orphans"))
-    out = base
-    for part in (signals, tools, writes, best, parents):
-        out = out.join(part, "file", "left")
-    out = out.where("not stub").fillna(0, ["positive", "negative", "rephrases", "tool_calls", "tool_errors", "reads", "writes", "subagents", "rework_files", "orphans", "models"])
-    return _with_ladders(out)
-
-
 def model_usage(recs: DataFrame, calls: DataFrame) -> DataFrame:
     """file, model, tokens, volume, calls, errors, first_line: what each model of a session did. Results count for the caller."""
     number = lambda name: F.coalesce(messages.numeric_or_null(F.try_variant_get("v", f"$.message.usage.{name}", "string")), F.lit(0.0)).cast("long")
@@ -174,7 +119,7 @@ def model_usage(recs: DataFrame, calls: DataFrame) -> DataFrame:
     return out.withColumn("volume", F.col("input_tokens") + F.col("output_tokens") + F.col("cache_tokens")).where("volume > 0 or calls > 0 or errors > 0")
 
 
-def _with_ladders(s: DataFrame) -> DataFrame:
+def with_ladders(s: DataFrame) -> DataFrame:
     """Turns and duration by the first source that a session has, provenances, quality, warnings, and the session's name."""
     span = F.col("last_event_at") - F.col("started_at")
     turns_from = F.when(F.col("declared").isNotNull(), "userMessages").when(F.col("prompts") > 0, "userMessages")
@@ -186,7 +131,7 @@ def _with_ladders(s: DataFrame) -> DataFrame:
         "duration_source": source(F.when(F.col("took").isNotNull(), "measured").when((F.col("stamps") >= 2) & (span > 0), "inferred").otherwise("missing")),
         "model_source": source(F.when(F.col("model").isNotNull(), "measured").otherwise("missing")), "tokens_source": source(F.when(F.col("has_tokens"), "measured").otherwise("missing")), "cost_source": source(F.lit("missing")),
         "tool_error_rate": stats.rate(F.col("tool_errors"), F.col("tool_calls")),
-        "error_tail": messages.is_apology(F.coalesce("last_said", F.lit(""))), "passed_tail": messages.tests_passed(F.coalesce("last_said", F.lit(""))),
+        "error_tail": F.col("sorry"), "passed_tail": F.col("passed"),
         "is_subagent": (F.col("root") == 0) & (F.col("side") > 0) & (F.col("agents") == 1),
     })
     base = F.coalesce("session_id", F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.jsonl$", ""))

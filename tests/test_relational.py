@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import grading, messages, pricing, stats, text
 from quarry.operators import evaluation, insights, lists, search, sessions
-from quarry.sources import sinks, transcripts
+from quarry.sources import fold, sinks, transcripts
+from quarry.sources.lines import numbered_lines
 from quarry.streaming import events
 
 
@@ -60,9 +61,9 @@ def test_transcript_files(spark, tmp_path):
     files = transcripts.list_files(spark, str(root), depth=2)
     assert [(r.project, r.size) for r in files.collect()] == [("p", len("\n".join(lines)))]
     assert transcripts.list_files(spark, str(root)).count() == 2
-    raw = transcripts.read_lines(spark, str(root / "p" / "one.jsonl"))
+    raw = numbered_lines(spark, str(root / "p" / "one.jsonl"))
     assert [r.raw for r in raw.orderBy("line_no").collect()] == lines
-    s = transcripts.fold(raw).collect()
+    s = fold.fold(raw).collect()
     assert len(s) == 1
     s = s[0]
     assert (s.session_id, s.lines, s.malformed, s.prompts, s.turns, s.input_tokens, s.output_tokens) == ("s", 5, 2, 1, 1, 5, 7)
@@ -70,9 +71,9 @@ def test_transcript_files(spark, tmp_path):
     assert s.warnings[-1] == "2/5 malformed line(s) skipped"
     call = transcripts.tool_calls(transcripts.records(raw)).first()
     assert (call.tool, call.duration_ms, call.errors, call.target) == ("Edit", 2500, 1, "/home/u/a")
-    assert transcripts.fold(raw.limit(0)).count() == 0
+    assert fold.fold(raw.limit(0)).count() == 0
     broken = spark.createDataFrame([("f", 0, "{x"), ("f", 1, "no")], "file string, line_no int, raw string")
-    b = transcripts.fold(broken).first()
+    b = fold.fold(broken).first()
     assert {b.model_source, b.tokens_source, b.cost_source, b.duration_source, b.turns_source} == {"malformed"}
     one, two = (transcripts.fingerprint(transcripts.list_files(spark, str(root)).orderBy(o)).first().fingerprint for o in (F.asc("size"), F.desc("size")))
     assert one == two
@@ -80,7 +81,7 @@ def test_transcript_files(spark, tmp_path):
 
 def test_judge_stub_is_no_session(spark):
     raw = spark.createDataFrame([("f", 0, json.dumps({"type": "user", "message": {"content": messages.JUDGE_STUB + " went well"}})), ("g", 0, json.dumps({"type": "user", "message": {"content": "hello"}}))], "file string, line_no int, raw string")
-    assert [r.file for r in transcripts.fold(raw).collect()] == ["g"]
+    assert [r.file for r in fold.fold(raw).collect()] == ["g"]
 
 
 def test_results_belong_to_the_start_before_them(spark):
@@ -198,3 +199,88 @@ def test_markers_and_figures_of_nothing(spark):
     assert collection.markers(none).count() == 0
     odd = spark.createDataFrame([(1, None, [], None, 0), (2, ["a", "a"], None, "m", 2)], none.schema)
     assert sorted((r.kind, r.name, r.sessions) for r in collection.markers(odd).collect()) == [("model", "m", 1), ("skill", "a", 1), ("subagent", "subagent usage", 1)]
+
+
+def test_numbers_of_lines_in_many_blocks(spark, tmp_path):
+    """A file that is cut into many blocks is numbered as a plain reader does it, without a last newline and with returns."""
+    import random
+
+    rng = random.Random(3)
+    want = {}
+    for name, end in (("a.jsonl", ""), ("b.jsonl", "\n"), ("c.jsonl", "\r\n"), ("empty.jsonl", "")):
+        body = [] if name == "empty.jsonl" else ["é" * rng.randint(0, 40) + str(i) + rng.choice(["", "\r", " "]) for i in range(3000)]
+        (tmp_path / name).write_bytes(("\n".join(body) + end).encode())
+        kept = ("\n".join(body) + end).split("\n")
+        if kept[-1] == "":
+            kept.pop()
+        want |= {(name, i): x for i, x in enumerate(kept)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r.file.rsplit("/", 1)[1], r.line_no): r.raw for r in got} == want and len(got) == len(want)
+
+
+def test_fold_scans_and_deals_out_once(spark):
+    rows = [("f", i, json.dumps({"type": "user", "uuid": str(i), "message": {"content": "hi"}})) for i in range(9)]
+    df = spark.createDataFrame(rows, "file string, line_no int, raw string")
+    plan = fold.fold(df)._jdf.queryExecution().sparkPlan().toString()
+    executed = fold.fold(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and executed.count("Exchange") == 1
+
+
+def test_positions_in_a_group_that_spans_ranges(spark):
+    from quarry.operators.positions import positions
+
+    df = spark.range(5000).selectExpr("id % 3 as g", "(id * 7919) % 5000 as v", "cast(null as int) as extra").union(spark.createDataFrame([(None, 1, None)] * 3, "g long, v long, extra int"))
+    got = positions(df, ["g"], ["v"]).collect()
+    for g in (0, 1, 2, None):
+        own = sorted(r.pos for r in got if r.g == g)
+        assert own == list(range(len(own)))
+        assert [r.v for r in sorted((r for r in got if r.g == g), key=lambda r: r.pos)] == sorted(r.v for r in got if r.g == g)
+    assert sorted(r.pos for r in positions(df, [], ["v"]).collect()) == list(range(5003))
+    assert positions(df.limit(0), ["g"], ["v"]).count() == 0
+
+
+def test_a_silent_run_is_aborted_once(spark, tmp_path):
+    """Runs that end, fall silent between batches or within one, and come back; the stream is stopped and goes on."""
+    from quarry.streaming import watch
+
+    minute, log = 60_000, tmp_path / "log"
+    log.mkdir()
+
+    def add(n, rows):
+        (log / f"{n}.json").write_text("\n".join(json.dumps({"id": i, "run_id": r, "type": t, "at_ms": 1_700_000_000_000 + m * minute, "payload": "{}"}) for i, r, t, m in rows))
+        os.utime(log / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+        watch.run(events.read_stream(spark, str(log), 1), str(tmp_path / "aborts"), str(tmp_path / "offsets"))
+
+    add(1, [(1, "quiet", "start", 0), (2, "beats", "heartbeat", 0), (3, "ends", "start", 0), (4, "ends", "run_finished", 1), (5, "clock", "start", 2)])
+    add(2, [(6, "beats", "heartbeat", 9), (7, "clock", "heartbeat", 10), (8, "beats", "heartbeat", 18), (9, "clock", "heartbeat", 19)])
+    add(3, [(10, "quiet", "late", 26), (11, "beats", "heartbeat", 27), (12, "within", "start", 28), (13, "clock", "heartbeat", 29), (14, "within", "more", 39), (15, "clock", "heartbeat", 39)])
+    add(4, [(16, "clock", "run_finished", 45), (17, "quiet", "later", 80), (18, "other", "start", 100)])
+    got = sorted((r.run_id, (r.at_ms - 1_700_000_000_000) // minute) for r in spark.read.schema(watch.ABORTS).parquet(str(tmp_path / "aborts")).collect())
+    assert got == [("beats", 37), ("quiet", 10), ("within", 38)]
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    from quarry.streaming import collect
+
+    root, cache, offsets = tmp_path / "in", str(tmp_path / "cache"), str(tmp_path / "offsets")
+    root.mkdir()
+    say = lambda text: json.dumps({"type": "user", "sessionId": "s", "message": {"content": text}}) + "\n"
+    (root / "a.jsonl").write_text(say("one"))
+    (root / "b.jsonl").write_text("{broken\n{broken\n")
+    (root / "none.jsonl").write_text("")
+    collect.run(spark, str(root), cache, offsets)
+    see = lambda: (sorted((r.file.rsplit("/", 1)[1], r.prompts, r.malformed) for r in collect.sessions(spark, cache).collect()), sorted((r.file.rsplit("/", 1)[1], r.attempts) for r in collect.failures(spark, cache).collect()))
+    assert see() == ([("a.jsonl", 1, 0), ("b.jsonl", 0, 2)], [("b.jsonl", 1)])
+    # the batch was killed after its write: its number is done again, in full
+    files = spark.read.format("binaryFile").load(str(root)).select("path", "modificationTime", "length")
+    collect.batch(files, 0, cache)
+    assert see() == ([("a.jsonl", 1, 0), ("b.jsonl", 0, 2)], [("b.jsonl", 1)])
+    collect.run(spark, str(root), cache, offsets)
+    (root / "c.jsonl").write_text(say("one") + say("two"))
+    collect.run(spark, str(root), cache, offsets)
+    assert see()[0] == [("a.jsonl", 1, 0), ("b.jsonl", 0, 2), ("c.jsonl", 2, 0)]
