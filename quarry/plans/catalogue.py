@@ -352,18 +352,6 @@ def archive_merge(spark, sf):
     return sessions.archive_merge(c.where("file % 2 = 0 and session_id % 3 = 0"), c)
 
 
-_SHOWN = [
-    ("/Users/alice/work and /home/bob", "/Users/[redacted]/work and /home/[redacted]"), ("key AK" + "IA" + "ABCDEFGHIJKLMNOP end", "key [REDACTED:aws-key] end"), ("ghp_" + "a" * 36, "[REDACTED:github-token]"), ("nothing here", "nothing here"),
-    ("at -Users-alice-work or /tmp/-home-bob", "at -Users-[redacted]-work or /tmp/-home-[redacted]"), ("Authorization: Bearer abcdefgh12345678.x", "Authorization: Bearer [REDACTED:bearer]"), ("sk-or-v1-" + "0f" * 32, "[REDACTED:openrouter-key]"), ("sk-" + "Ab1_" * 6, "[REDACTED:openai-key]"),
-    ("-----BEGIN RSA PRIVATE KEY-----\nx\n-----END RSA PRIVATE KEY-----!", "[REDACTED:private-key]!"), ("hf_" + "a" * 33 + " npm_" + "b" * 36, "hf_" + "a" * 33 + " [REDACTED:npm-token]"), ("", ""),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{want}')" for i, (_, want) in enumerate(_SHOWN)) + ") v(id, shown)")
-def redaction_rules(spark, sf):
-    return spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_SHOWN)], "id int, said string").select("id", text.redact(F.col("said")).alias("shown"))
-
-
 # the shapes that documents hold, written out for the other engine
 _HOMES = r"regexp_replace(regexp_replace(regexp_replace(t, '/(Users|home)/([^/\s]+)', '/\1/[redacted]', 'g'), '(-Users-)([^-\s/]+)([-/\s]|$)', '\1[redacted]\3', 'g'), '(-home-)([^-\s/]+)([-/\s]|$)', '\1[redacted]\3', 'g')"
 _KEYS = r"regexp_replace(regexp_replace(regexp_replace({0}, 'eyJ[\w-]+[.][\w-]+[.][\w-]+', '[REDACTED:jwt]', 'g'), 'sk-[\w-]{{20,}}', '[REDACTED:openai-key]', 'g'), 'AKIA[0-9A-Z]{{16}}', '[REDACTED:aws-key]', 'g')".format(_HOMES)
@@ -375,24 +363,6 @@ def redact_paths_secrets(spark, sf):
     return d.select("doc_id", F.md5("safe").alias("digest"), (F.col("safe") != F.col("text")).alias("changed"))
 
 
-_NAMED = [("/home/carol/x by carol and carol-ann", ["carol"], "/home/[redacted]/x by [redacted] and carol-ann"), ("/Users/bob/x bob", [], "/Users/[redacted]/x bob"), ("/home/a.b+c/ a.b+c axb+c", ["a.b+c"], "/home/[redacted]/ [redacted] axb+c")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{'|'.join(n)}', '{want}')" for i, (_, n, want) in enumerate(_NAMED)) + ") v(id, names, shown)")
-def redact_named_users(spark, sf):
-    d = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(_NAMED)], "id int, said string").withColumn("n", text.path_users(F.col("said")))
-    return d.select("id", F.array_join("n", "|").alias("names"), text.redact_users(text.redact_paths(F.col("said")), F.col("n")).alias("shown"))
-
-
-_LAYERS = [("/home/dora/x", "~/x", False, True), ("AK" + "IA" + "A" * 16, "AK" + "IA" + "A" * 16, True, False), ("plain/path", "plain/path", False, False)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{short}', {str(a).lower()}, {str(b).lower()})" for i, (_, short, a, b) in enumerate(_LAYERS)) + ") v(id, short, secrets, paths)")
-def redaction_layers(spark, sf):
-    d = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(_LAYERS)], "id int, said string").withColumn("r", text.redacted_with_report(F.col("said")))
-    return d.select("id", text.compact_path(F.col("said")).alias("short"), "r.secrets", "r.paths")
-
-
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.none') IS NULL AS absent FROM events")
 def json_field_mapping(spark, sf):
     v = F.try_parse_json("props")
@@ -433,4 +403,3 @@ def extension_gap_sessions(spark, sf):
     fresh = F.coalesce(millis("ts") - F.lag(millis("ts")).over(w) > 21_600_000, F.lit(True))
     e = table(spark, sf, "events").withColumn("fresh", fresh.cast("int")).withColumn("session", F.sum("fresh").over(w))
     return e.groupBy(F.col("user_id").alias("key"), "session").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
-

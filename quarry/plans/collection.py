@@ -145,18 +145,6 @@ def rollout_calls(spark, sf):
     return rollouts.calls(rollouts.records(rollout_lines(spark, sf))).withColumn("duration_ms", F.col("duration_ms").cast("int"))
 
 
-_ASKED = [
-    ("# Context from my IDE setup\nopen file\n## My request for Codex: add a test", "add a test"), ("# AGENTS.md instructions for x", None), ("You are a worker", "You are a worker"), ("You are the coordinator of a team of agents and must plan, split, hand out, watch, join and check all of the work of the workers here", None), ("  plain ask ", "plain ask"), ("", None),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, (_, t) in enumerate(_ASKED) if t) + ") v(i, text)")
-def rollout_prompts(spark, sf):
-    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_ASKED)], "i int, said string")
-    raw = d.select(F.lit("f").alias("file"), F.col("i").alias("line_no"), F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("user_message").alias("type"), F.col("said").alias("message")).alias("payload"))).alias("raw"))
-    return rollouts.prompts(rollouts.records(raw)).select(F.col("line_no").alias("i"), "text")
-
-
 @query("""WITH f AS (SELECT o_orderkey AS file, o_custkey AS size FROM orders WHERE o_orderkey % 5 <> 0) SELECT o_orderkey AS file, CASE WHEN o_orderkey % 5 = 0 THEN 'old' WHEN o_orderkey % 4 = 1 AND o_orderkey % 2 = 1 THEN 'new' WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'kept' END AS session FROM orders WHERE o_orderkey % 5 <> 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 4 = 1 OR o_orderkey % 2 = 0) OR o_orderkey % 5 = 0 AND o_orderkey % 2 = 0""")
 def merged_parse_cache(spark, sf):
     k = F.col("file")

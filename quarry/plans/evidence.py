@@ -54,15 +54,6 @@ def final_statuses(spark, sf):
     return table(spark, sf, "orders").select(k.alias("case_id"), grading.final_status(k % 7 == 0, k % 5 == 0, k % 3 == 0, c % 4 == 0, c % 11 == 0, c % 2 == 1).alias("status"))
 
 
-_RUBRIC = [('{"passed": true, "score": 0.1}', "passed"), ('{"score": 0.8}', "passed"), ('{"score": 0.6}', "failed"), ('verdict: {"passed": false, "score": 1} bye', "failed"), ("no idea", "error"), ('{"score": 7}', "error")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{y}')" for i, (_, y) in enumerate(_RUBRIC)) + ") v(i, verdict)")
-def rubric_answers(spark, sf):
-    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_RUBRIC)], "i int, answer string")
-    return d.select("i", grading.rubric(F.col("answer")).alias("verdict"))
-
-
 # --- trust: parts as cases, their graders and results
 
 _KINDS = ["exit_code", "regex_match", "step", "rubric_llm", "files_unchanged", "manual", "file_exists"]
@@ -170,11 +161,6 @@ def _priced(spark):
     return pricing.rates(spark.createDataFrame([(n,) for n in _NAMES], "model string"), _catalogue(spark), _FAMILIES)
 
 
-@query(f"WITH {_RATES} SELECT model, confidence, source_model, CAST(ri AS DOUBLE) AS rate_input, CAST(ro AS DOUBLE) AS rate_output FROM r")
-def model_rates(spark, sf):
-    return _priced(spark).select("model", "confidence", "source_model", "rate_input", "rate_output")
-
-
 @query(f"WITH {_RATES}, u AS ({_USAGE}), c AS (SELECT u.*, {_COST} AS cost FROM u JOIN r USING (model)) SELECT session, round(CASE WHEN NOT bool_or(cost IS NULL) THEN sum(cost) END, 9) AS cost FROM c GROUP BY session")
 def mixed_model_cost(spark, sf):
     return pricing.mixed_cost(pricing.estimate(_usage(spark, sf), _priced(spark))).select("session", F.round("cost", 9).alias("cost"))
@@ -215,9 +201,3 @@ def refreshed_costs(spark, sf):
     source = F.when(k == 0, "measured").when(k == 1, "inferred").when(k == 2, "missing").otherwise("malformed")
     cost, new = pricing.refreshed(F.col("o_totalprice"), source, F.when(F.col("o_custkey") % 3 != 0, 2.5))
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("session"), F.round(cost, 2).alias("cost"), new.alias("source"))
-
-
-@query("SELECT * FROM (VALUES ('vend/alpha-large', 'output', 25.0::DOUBLE, 26.0::DOUBLE), ('vend/beta-mini', 'input', 1.0::DOUBLE, NULL), ('vend/beta-mini', 'output', 5.0::DOUBLE, NULL), ('vend/beta-mini', 'cache_read', 0.1::DOUBLE, NULL), ('vend/beta-mini', 'cache_write', 1.25::DOUBLE, NULL)) v(source_model, kind, local, remote)")
-def catalogue_drift(spark, sf):
-    remote = _catalogue(spark).where("source_model = 'vend/alpha-large'").withColumn("output", F.lit(26.0))
-    return pricing.drift(_catalogue(spark), remote)

@@ -97,17 +97,6 @@ def run_report(spark, sf):
     return r.select("run_id", F.col("place").cast("long").alias("place"), F.when(F.col("line").startswith("Passed "), F.regexp_replace("line", ", [^,]*$", "")).otherwise(F.col("line")).alias("line"))
 
 
-_BAD = [("a", "p", 1, None, None), ("", "p", 1, None, None), ("b c", None, 0, "hard", 0.5), ("d", "p", 2, "wild", 2.0), ("e", "p", 1, "easy", 1.0)]
-_PROBLEMS = ["", "id missing; id has marks", "id has marks; prompt missing; no grader", "unknown difficulty; pass_threshold beyond 0 to 1", ""]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{p}')" for (i, *_), p in zip(_BAD, _PROBLEMS, strict=True)) + ") v(id, problem)")
-def case_problems(spark, sf):
-    d = spark.createDataFrame([(i, p, n, x, t) for i, p, n, x, t in _BAD], "id string, prompt string, n int, difficulty string, pass_threshold double")
-    d = d.withColumn("graders", F.array_repeat(F.lit("g"), F.col("n"))).withColumn("_corrupt_record", F.lit(None).cast("string"))
-    return sinks.problems(d).select("id", F.array_join("problems", "; ").alias("problem"))
-
-
 _TEL = """t AS (SELECT l_orderkey AS run_id, l_linenumber AS case_id, l_quantity AS duration, l_extendedprice AS tokens, l_tax AS cached, l_discount AS fresh, l_returnflag AS flag FROM lineitem)"""
 
 

@@ -132,71 +132,3 @@ def cursor_round_trip(spark, sf):
     key = F.concat(F.lit("at"), F.col("turn").cast("string"))
     c = messages.from_cursor(messages.cursor(F.col("turn"), key))
     return table(spark, sf, "conversations").select("conv_id", "turn", c["key"].alias("key"), c["at"].alias("ms"))
-
-
-_OUTPUTS = [
-    ("Exit code: 0\nerror: none", False), ("Exit code: 2\nfine", True), ('{"output": "error: x", "metadata": {"exit_code": 0}}', False), ('{"output": "x", "metadata": {"exit_code": 3}}', True), ("Traceback (most recent call last):", True),
-    ("command exited with code 1", True), ("exit code 0", False), ("Fatal: no", True), ("terror: not one", False), ("bash: x: command not found", True), ("all good", False), ("", False),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(y).lower()})" for i, (_, y) in enumerate(_OUTPUTS)) + ") v(i, is_error)")
-def tool_error_sniffing(spark, sf):
-    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_OUTPUTS)], "i int, output string")
-    return d.select("i", messages.is_tool_error(F.col("output")).alias("is_error"))
-
-
-_SAYINGS = [
-    ("see /home/ann/a.py, and (/tmp/x.log).", "/home/ann/a.py|/tmp/x.log"), ("at ./src/main.rs: and ../up/b", "../up/b|./src/main.rs"), ("none here", ""), ("/Users/bob/*.py /home/c/", ""), ("", ""),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{y}')" for i, (_, y) in enumerate(_SAYINGS)) + ") v(i, paths)")
-def file_paths(spark, sf):
-    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_SAYINGS)], "i int, said string")
-    return d.select("i", F.array_join(messages.file_paths(F.col("said")), "|").alias("paths"))
-
-
-_TIMES = [("2024-01-02T03:04:05.678Z", None, 1704164645678), ("2024-01-02T03:04:05+02:00", None, 1704157445000), (None, 1704164645.0, 1704164645000), (None, 1704164645678.0, 1704164645678), ("2019-01-01T00:00:00Z", None, None), ("soon", None, None), (None, 5.0, None), (None, None, None)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {y if y is not None else 'CAST(NULL AS BIGINT)'})" for i, (*_, y) in enumerate(_TIMES)) + ") v(i, ms)")
-def parsed_timestamps(spark, sf):
-    d = spark.createDataFrame([(i, w, n) for i, (w, n, _) in enumerate(_TIMES)], "i int, written string, number double")
-    return d.select("i", messages.timestamp_ms(F.col("written"), F.col("number")).alias("ms"))
-
-
-_VALUES = [(None, None, None), ("", 0.0, False), ("12.5", 12.5, True), ("true", 1.0, True), ("no", None, False), ("x", None, None), ("0", 0.0, False), (" 7 ", 7.0, True)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if n is None else f'CAST({n} AS DOUBLE)'}, {'NULL' if b is None else str(b).lower()})" for i, (_, n, b) in enumerate(_VALUES)) + ") v(i, number, truth)")
-def coercions(spark, sf):
-    d = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(_VALUES)], "i int, value string")
-    return d.select("i", messages.numeric_or_null(F.col("value")).alias("number"), messages.boolean_or_null(F.col("value")).alias("truth"))
-
-
-_ANSWERS = [('so {not json} but {"score": 0.5, "passed": true} end', 0.5), ('{"score": 2}', None), ("nothing", None), ('a {"x": {"y": 1}, "score": 1}', 1.0), ('{"score": 0} }', None), ("", None)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'CAST(NULL AS DOUBLE)' if y is None else f'CAST({y} AS DOUBLE)'})" for i, (_, y) in enumerate(_ANSWERS)) + ") v(i, score)")
-def judge_answers(spark, sf):
-    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_ANSWERS)], "i int, said string")
-    return d.select("i", messages.judge_score(F.col("said")).alias("score"))
-
-
-_TESTS = [("# pass 3\n# fail 1", 3, 1), ("12 passed, 2 failed", 12, 2), ("pass the salt", 0, 0), ("7 passing tests", 7, 0), ("", 0, 0), ("test a pass 9\n  # pass 4  ", 4, 0)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST({p} AS BIGINT), CAST({f} AS BIGINT))" for i, (_, p, f) in enumerate(_TESTS)) + ") v(i, passed, failed)")
-def test_counts(spark, sf):
-    d = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(_TESTS)], "i int, output string")
-    return d.select("i", messages.test_count(F.col("output")).alias("passed"), messages.test_count(F.col("output"), "fail").alias("failed"))
-
-
-_MODELS = [("vend/alpha-large-4-5-20240101", "alpha", "Alpha Large 4.5"), ("beta_mini", "beta", "Beta Mini"), ("gamma", "other", "Gamma")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}', '{n}')" for i, (_, f, n) in enumerate(_MODELS)) + ") v(i, family, label)")
-def model_names(spark, sf):
-    d = spark.createDataFrame([(i, m) for i, (m, *_) in enumerate(_MODELS)], "i int, model string")
-    return d.select("i", messages.model_family(F.col("model"), [("alpha", "alpha"), ("beta", "beta")]).alias("family"), messages.model_label(F.col("model")).alias("label"))
