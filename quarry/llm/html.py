@@ -4,7 +4,7 @@ The page is cut into flat blocks of text at block-level tags; what is no text to
 is left out. A block has its number of words and its link density (share of characters in links), those of the blocks
 before and after it, whether it stands in an element made for running text (paragraphs, headings, quotations, cells), and
 whether it lies inside an article or inside what a page marks as furniture (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments). A CART decision tree (Gini impurity), trained here on the small labelled table LABELLED,
+adverts, forms, reader comments; a name marks it only if all its words do, and a form only if it holds less than half). A CART decision tree (Gini impurity), trained here on the small labelled table LABELLED,
 keeps or drops each block; in pages without any mark the words and link densities decide.
 
 Nulls and odd cases: a null or empty page, or one without main text, gives the empty text and n_chars 0. Unclosed and
@@ -32,16 +32,19 @@ from quarry.llm.common import small_batches
 TO_END = {"script", "style"}
 UNREAD = {"title", "textarea", "select", "iframe", "noscript", "template", "svg", "canvas"}
 IN_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template", "html", "head"}
-FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+FURNITURE = {"nav", "header", "footer", "aside", "menu", "dialog"}
+FORMS = {"form", "fieldset"}
 ARTICLE = {"article", "main"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "button", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "math", "mi", "mn", "mo", "mrow", "msup", "msub", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
-TEXTUAL = HEADING | {"p", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption", "caption", "address", "summary"}
+TEXTUAL = HEADING | {"p", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption", "caption", "address", "summary"}
 #: Parts of class names, ids and roles: of furniture, of furniture whatever else is said, of articles, of layout.
 SOFT = set("banner promo promos notice popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget widgets footer header masthead share sharing social related recommended copyright legal toolbar pagination pager tags complementary contentinfo".split())
 HARD = set("ad ads advert adverts advertisement advertising sponsor sponsored sponsors cookie cookies consent gdpr newsletter subscribe subscription signup login comment comments reply replies disqus respond".split())
 GOOD = set("article articles content entry post story main text body".split())
+#: Words that say nothing by themselves: a name is furniture only if it has no others beside furniture's.
+PLAIN = set("list box block area section form wrapper wrap container inner outer item items slot unit link links bar top bottom left right main primary secondary site page global local header head foot title mobile desktop sticky fixed small large new wp id".split())
 LAYOUT = {"has", "with", "no", "without", "is", "js", "tag", "category", "cat", "lang", "layout", "page", "theme"}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
@@ -56,6 +59,7 @@ class Block(NamedTuple):
     textual: bool
     article: bool
     furniture: bool
+    form: bool = False
 
 
 def marks(attributes: str) -> tuple[bool, bool, bool]:
@@ -66,8 +70,10 @@ def marks(attributes: str) -> tuple[bool, bool, bool]:
             parts = [p for p in re.split(r"[_\W]+", name) if p]
             if not parts or parts[0] in LAYOUT:
                 continue
-            is_hard = bool(HARD.intersection(parts))
-            is_soft = bool(SOFT.intersection(parts))
+            # a word beside others is no sign: side-by-side, newsletter-history and cookie-recipe are names of text
+            only = all(p in HARD or p in SOFT or p in PLAIN or p[-1].isdigit() for p in parts)
+            is_hard = only and bool(HARD.intersection(parts))
+            is_soft = only and bool(SOFT.intersection(parts))
             hard |= is_hard
             soft |= is_soft
             good |= not is_hard and not is_soft and bool(GOOD.intersection(parts))
@@ -81,48 +87,56 @@ class Page:
         self.page = page
         self.found: list[Block] = []
         self.parts: list[tuple[str, bool]] = []
-        # open elements: (name, hard, soft, article, soft marks counted outside an article, textual)
-        self.open: list[tuple[str, bool, bool, bool, int, bool]] = []
+        # open elements: (name, hard, article, soft marks and forms counted outside an article, textual)
+        self.open: list[tuple[str, bool, bool, tuple[int, int], bool]] = []
         self.names: Counter[str] = Counter()
-        self.hard = self.soft = self.good = self.textual = 0
+        self.hard = self.soft = self.good = self.textual = self.forms = 0
         self.in_link = self.in_head = False
         self.lacks: set[str] = set()  # what the rest of the page has none of
         self.pattern: dict[str, re.Pattern[str]] = {}
         self.read()
+        # a form that holds most of a page's words is how the page is made, no form to fill in
+        if 2 * sum(b.words for b in self.found if b.form) > sum(b.words for b in self.found):
+            self.found = [b._replace(furniture=False) if b.form else b for b in self.found]
 
     def close_block(self) -> None:
         if self.parts:
             text = " ".join("".join(p for p, _ in self.parts).split())
             if text:
                 linked = sum(len("".join(p.split())) for p, link in self.parts if link)
-                self.found.append(Block(text, len(text.split()), linked / max(1, len("".join(text.split()))), self.textual > 0, self.good > 0, self.hard + self.soft > 0))
+                self.found.append(Block(text, len(text.split()), linked / max(1, len("".join(text.split()))), self.textual > 0, self.good > 0, self.hard + self.soft + self.forms > 0, self.forms > 0 and not self.hard + self.soft))
             self.parts.clear()
 
     def push(self, name: str, attributes: str) -> None:
+        if name in ARTICLE:
+            # a menu that nobody closed ends where an article begins
+            for open_menu in ("nav", "menu"):
+                self.end(open_menu)
         soft, hard, good = marks(attributes)
         inside = self.good > 0
         if name in FURNITURE and not (name == "header" and inside):
             hard = True
-        # an article outweighs mere parts of class names, its own and those around it
+        # an article outweighs mere parts of class names, its own and those around it, and a form around it
         article = (name in ARTICLE or good) and not hard
-        if article:
+        if article or (inside and not hard):
             soft = False
-        held = self.soft
+        held = self.soft, self.forms
         if name in ARTICLE and not hard:
-            self.soft = 0
+            self.soft = self.forms = 0
         textual = name in TEXTUAL
-        self.open.append((name, hard, soft, article, held, textual))
+        self.open.append((name, hard, article, held, textual))
         self.names[name] += 1
         self.hard += hard
         self.soft += soft
+        self.forms += name in FORMS
         self.good += article
         self.textual += textual
 
     def pop(self) -> None:
-        name, hard, _, article, held, textual = self.open.pop()
+        name, hard, article, held, textual = self.open.pop()
         self.names[name] -= 1
         self.hard -= hard
-        self.soft = held
+        self.soft, self.forms = held
         self.good -= article
         self.textual -= textual
 
@@ -351,6 +365,10 @@ LABELLED: list[tuple[Row, int]] = [
     ((8, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0), 0),
     ((9, 0.3, 60, 0.0, 3, 1.0, 0, 0, 0), 0),
     ((5, 0.0, 2, 1.0, 2, 1.0, 1, 0, 0), 0),
+    # bare text, a sentence under a heading
+    ((30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0), 1),
+    ((9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0), 1),
+    ((20, 0.0, 4, 0.0, 40, 0.0, 0, 0, 0), 1),
     # and their prose: long blocks, and short ones in elements for text
     ((40, 0.0, 8, 0.0, 50, 0.0, 0, 0, 0), 1),
     ((70, 0.1, 30, 0.0, 20, 0.0, 0, 0, 0), 1),

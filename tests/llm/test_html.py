@@ -65,6 +65,16 @@ def test_page_with_all_kinds_of_furniture():
         (f"<p>{LONG}</p><!-- never closed <p>{LONG}</p>", LONG),
         (f"<p>{LONG}</p><script>never closed <p>{LONG}</p>", LONG),
         (f"<p>a b &nbsp; c &#x41; &#65; {LONG}</p>", f"a b c A A {LONG}"),
+        (f"<form id='aspnetForm'><article><p>{LONG}</p></article></form>", LONG),
+        (f"<form id='aspnetForm'><div><h1>Hm</h1><p>{LONG}</p><p>{LONG}</p></div></form>", f"Hm {LONG} {LONG}"),
+        (f"<article><div class='side-by-side'><p>{LONG}</p></div></article>", LONG),
+        (f"<article id='newsletter-history'><p>{LONG}</p></article>", LONG),
+        (f"<article><section id='reply-to-critics'><p>{LONG}</p></section></article>", LONG),
+        (f"<nav><a href=x>Home</a><article><p>{LONG}</p></article>", LONG),
+        (f"<p class='cookie-recipe'>{LONG}</p>", LONG),
+        (f"<p>{LONG}</p><ul><li>Six eggs</li><li>Some milk and flour</li></ul><p>{LONG}</p>", f"{LONG} Six eggs Some milk and flour {LONG}"),
+        (LONG, LONG),
+        (f"<div class='cookie-notice'><p>{LONG}</p></div><p>{LONG} Yes.</p>", f"{LONG} Yes."),
         ("", ""),
         (None, ""),
         ("   ", ""),
