@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.positions import positions
+
 STALE_MS = 12 * 3_600_000
 MISSING = ("missing", "malformed")
 
@@ -126,8 +128,7 @@ def judge_sample(points: DataFrame, budget: int, window: int = 20) -> DataFrame:
     n = rest.count()
     if left <= 0 or not n:
         return first.withColumn("why", F.lit("marker")).drop("priority")
-    w = Window.orderBy("at_ms", "tie")
-    some = rest.withColumn("i", F.row_number().over(w) - 1)
+    some = positions(rest, [], ["at_ms", "tie"], "i")
     place = F.ceil(F.col("i") * left / n)
     even = some.where((F.lit(n) <= left) | ((F.floor(place * n / left) == F.col("i")) & (place < left))).drop("i")
     return first.drop("priority").withColumn("why", F.lit("marker")).unionByName(even.withColumn("why", F.lit("stride")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import grading, messages, pricing, text
@@ -177,3 +177,28 @@ def touched_files(spark, sf):
     raw = _cat('{"edits": [{"file": "/home/u', F.col("conv_id"), '/a.py", "more": [["see /tmp/t', F.col("turn"), '."]]}], "n": 3, "flag": true}')
     leaves = jsonwalk.leaves(table(spark, sf, "conversations").select("conv_id", "turn", F.try_parse_json(raw).alias("v")), "v")
     return leaves.select("conv_id", F.explode(messages.file_paths(F.col("text"))).alias("path")).groupBy("conv_id", "path").agg(F.count("*").alias("times"))
+
+
+@query("""SELECT c_custkey, '/home/[redacted]/' || CAST(c_custkey AS VARCHAR) AS plain, 'key [REDACTED:aws-key]' AS deep, '/Users/[redacted]/m' AS name, '{"p":"/home/[redacted]/v"}' AS loose, c_custkey % 4 = 0 AS gone FROM customer""")
+def redacted_bundle(spark, sf):
+    """Texts in structs, arrays, maps and JSON values, all redacted."""
+    k = F.col("c_custkey")
+    key = _cat("key AKIA", F.upper(F.substring(F.md5(_s(k)), 1, 16)))
+    some = table(spark, sf, "customer").select("c_custkey", _cat("/home/u", k, "/", k).alias("plain"), F.struct(F.array(F.struct(key.alias("said"), k.alias("n"))).alias("turns")).alias("deep"), F.create_map(_cat("/Users/u", k, "/m"), F.lit(1)).alias("names"),
+                                               F.parse_json(_cat('{"p": "/home/u', k, '/v"}')).alias("loose"), F.when(k % 4 != 0, F.struct(key.alias("x"))).alias("empty"))
+    r = sinks.redacted_rows(some)
+    return r.select("c_custkey", "plain", F.col("deep.turns")[0]["said"].alias("deep"), F.col("names")[0]["key"].alias("name"), F.to_json("loose").alias("loose"), F.col("empty").isNull().alias("gone"))
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT '/r/' || CAST(user_id AS VARCHAR) AS file, k * 2 AS line_no, k % 3 = 2 AND k < n AND (k + 1) % 2 = 0 AS is_error, CASE WHEN k % 3 = 2 AND k < n THEN CAST(1000 AS BIGINT) END AS duration_ms FROM e WHERE k % 3 <> 0""")
+def rollout_calls_of_one_id(spark, sf):
+    """Each event is a call or an output of the same id: an output belongs to the last call before it, and only to that."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf, "events").withColumn("k", F.row_number().over(w))
+    # two calls, then one output, over and over
+    kind = F.when(F.col("k") % 3 == 0, "function_call_output").otherwise("function_call")
+    at = F.lit(1_704_067_200) + F.col("k")
+    raw = F.to_json(F.struct(at.alias("timestamp"), F.lit("response_item").alias("type"), F.struct(kind.alias("type"), F.lit("c").alias("call_id"), F.when(F.col("k") % 3 != 0, "f").alias("name"), F.when(F.col("k") % 3 == 0, _cat("Exit code: ", (F.col("k") % 2 == 0).cast("int"))).alias("output")).alias("payload")))
+    calls = rollouts.calls(rollouts.records(e.select(_cat("/r/", F.col("user_id")).alias("file"), (F.col("k") * 2).alias("line_no"), raw.alias("raw"))))
+    return calls.select("file", F.col("line_no").cast("long").alias("line_no"), "is_error", F.col("duration_ms").cast("long").alias("duration_ms"))

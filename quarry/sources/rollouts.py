@@ -24,11 +24,16 @@ def records(lines: DataFrame) -> DataFrame:
 
 
 def calls(recs: DataFrame) -> DataFrame:
-    """file, line_no, tool, model, is_error, duration_ms of function calls; the first output after a call counts."""
+    """file, line_no, tool, model, is_error, duration_ms of function calls.
+
+    An output belongs to the last call of its id before it, and the first output of a call counts: a call is over with it, and
+    a later call of the same id takes the earlier one's place."""
     starts = recs.where("kind in ('function_call', 'custom_tool_call', 'local_shell_call')").select("file", "call_id", "line_no", F.coalesce(_get("payload.name"), F.lit("shell")).alias("tool"), "model", "at_ms")
-    ends = recs.where("kind in ('function_call_output', 'custom_tool_call_output')").select("file", "call_id", F.col("line_no").alias("end_line"), F.col("at_ms").alias("end_ms"), messages.is_tool_error(F.coalesce(_get("payload.output"), F.lit(""))).alias("is_error"))
-    both = starts.join(ends, ["file", "call_id"], "left").where("end_line is null or end_line > line_no")
-    first = both.groupBy("file", "line_no").agg(F.min_by(F.struct("end_ms", "is_error"), F.coalesce("end_line", F.lit(1 << 40))).alias("e"))
+    ends = recs.where("kind in ('function_call_output', 'custom_tool_call_output')").select("file", "call_id", "line_no", F.col("at_ms").alias("end_ms"), messages.is_tool_error(F.coalesce(_get("payload.output"), F.lit(""))).alias("is_error"))
+    marks = starts.select("file", "call_id", "line_no", F.col("line_no").alias("start")).unionByName(ends, allowMissingColumns=True).where("call_id is not null")
+    w = Window.partitionBy("file", "call_id").orderBy("line_no")
+    told = marks.withColumn("end_line", F.col("line_no")).withColumn("of", F.last("start", ignorenulls=True).over(w)).where("start is null and of is not null")
+    first = told.drop("line_no").groupBy("file", F.col("of").alias("line_no")).agg(F.min_by(F.struct("end_ms", "is_error"), F.col("end_line")).alias("e"))
     out = starts.join(first, ["file", "line_no"], "left")
     took = F.when(F.col("e.end_ms").isNotNull() & F.col("at_ms").isNotNull(), F.greatest(F.lit(0), F.col("e.end_ms") - F.col("at_ms")))
     return out.select("file", "line_no", "tool", "model", F.coalesce("e.is_error", F.lit(False)).alias("is_error"), took.alias("duration_ms"))

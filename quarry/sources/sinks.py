@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import messages, text
 
@@ -27,11 +28,30 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def write_json(df: DataFrame, path: str, by: str, redacted: bool = False) -> None:
-    """A folder for each value of by with its rows as JSON lines; redacted: all texts by the rules for paths and secrets."""
-    if redacted:
-        df = df.select(*(text.redact(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "string" and f.name != by else F.col(f.name) for f in df.schema.fields))
-    df.write.mode("overwrite").partitionBy(by).json(path)
+def redacted(value: Column, kind: T.DataType) -> Column:
+    """A value of any shape with every text in it redacted, names of a map too."""
+    if isinstance(kind, T.StringType):
+        return text.redact(value)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(redacted(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: redacted(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        # names that become alike would clash, so a map is a list of its pairs
+        return F.transform(F.map_entries(value), lambda e: F.struct(redacted(e["key"], kind.keyType).alias("key"), redacted(e["value"], kind.valueType).alias("value")))
+    if isinstance(kind, T.VariantType):
+        return F.try_parse_json(text.redact(F.to_json(value)))
+    return value
+
+
+def redacted_rows(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """df with every text in it redacted by the rules for paths and secrets, however deep it lies; keep: columns left as they are."""
+    return df.select(*(F.col(f.name) if f.name in keep else redacted(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields))
+
+
+def write_json(df: DataFrame, path: str, by: str, safe: bool = False) -> None:
+    """A folder for each value of by with its rows as JSON lines; safe: all texts are redacted."""
+    (redacted_rows(df, (by,)) if safe else df).write.mode("overwrite").partitionBy(by).json(path)
 
 
 def report_rows(cases: DataFrame) -> DataFrame:

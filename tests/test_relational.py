@@ -117,7 +117,7 @@ def test_sinks(spark, tmp_path):
     d = spark.createDataFrame([(1, 'a "q", b\n', [1, 2]), (2, None, [])], "id int, t string, l array<int>")
     sinks.write_csv(d.coalesce(1), str(tmp_path / "csv"))
     assert next((tmp_path / "csv").glob("part*")).read_text().startswith('"id","t","l"\n"1","a ""q"", b\n","[1,2]"')
-    sinks.write_json(spark.createDataFrame([(1, "at /home/bob/x"), (2, "y")], "run_id int, t string"), str(tmp_path / "json"), "run_id", redacted=True)
+    sinks.write_json(spark.createDataFrame([(1, "at /home/bob/x"), (2, "y")], "run_id int, t string"), str(tmp_path / "json"), "run_id", safe=True)
     assert json.loads(next((tmp_path / "json" / "run_id=1").glob("part*")).read_text())["t"] == "at /home/[redacted]/x"
     cases = spark.createDataFrame([(1, "c|1", 0, "passed", 1.5), (1, "c2", 0, "failed", 0.25)], "run_id int, case_id string, sample int, status string, cost double")
     sinks.write_reports(cases, str(tmp_path / "md"))
