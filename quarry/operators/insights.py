@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import stats
+from quarry.operators.positions import positions
 
 DAY = 86_400_000
+#: Points from which a series is cut into pieces.
+LARGE = 1_000_000
 
 
 def markers(points: DataFrame, kinds: dict[str, Column]) -> DataFrame:
@@ -18,11 +21,28 @@ def markers(points: DataFrame, kinds: dict[str, Column]) -> DataFrame:
     return reduce(DataFrame.union, one).groupBy("kind", "name").agg(F.min("at_ms").alias("first_seen_at"), F.count_distinct("session_id").alias("sessions"))
 
 
+def spread(points: DataFrame, halo: int, keep: list[str]) -> DataFrame:
+    """series, at_ms, session_id, the columns keep, i (place in the series, from 0), n (its points), piece, own.
+
+    A series of more than LARGE points is cut into pieces of that many by place, so that no task holds a series; a piece also
+    has copies of the halo points before and behind it (own false), for windows that reach over its ends."""
+    some = points.select("series", "at_ms", "session_id", *keep)
+    sizes = some.groupBy("series").agg(F.count("*").alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    if most <= LARGE:
+        w = Window.partitionBy("series").orderBy("at_ms", "session_id")
+        return some.withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("series")), "piece": F.lit(0), "own": F.lit(True)})
+    at = positions(some, ["series"], ["at_ms", "session_id"], "i").join(sizes, "series")
+    home, place = F.floor(F.col("i") / LARGE), F.col("i") % LARGE
+    copies = F.array_compact(F.array(home, F.when(place >= LARGE - halo, home + 1), F.when((place < halo) & (home > 0), home - 1)))
+    return at.withColumn("piece", F.explode(copies)).withColumn("own", F.col("piece") == home)
+
+
 def trailing_median(points: DataFrame, value: str, window: int = 15) -> DataFrame:
     """Median of the last window points of each series, by time."""
-    w = Window.partitionBy("series").orderBy("at_ms", "session_id").rowsBetween(-(window - 1), 0)
-    values = F.collect_list(value).over(w)
-    return points.select("series", "session_id", "at_ms", F.round(stats.array_median(values), 6).alias("median"), F.size(values).cast("long").alias("n"))
+    values = F.collect_list(value).over(Window.partitionBy("series", "piece").orderBy("i").rowsBetween(-(window - 1), 0))
+    told = spread(points, window, [value]).withColumn("values", values).where("own")
+    return told.select("series", "session_id", "at_ms", F.round(stats.array_median(F.col("values")), 6).alias("median"), F.size("values").cast("long").alias("n"))
 
 
 def impact(points: DataFrame, marks: DataFrame, window: int = 20, least: int = 5) -> DataFrame:
@@ -62,10 +82,10 @@ def trend(points: DataFrame, value: str) -> DataFrame:
 
 def change_scores(points: DataFrame, value: str, window: int = 25) -> DataFrame:
     """z of the difference of means of window points before and from each place; series of two windows or more."""
-    w = Window.partitionBy("series").orderBy("at_ms", "session_id")
+    w = Window.partitionBy("series", "piece").orderBy("i")
     a, b = w.rowsBetween(-window, -1), w.rowsBetween(0, window - 1)
-    n = F.count("*").over(Window.partitionBy("series"))
-    s = points.select("series", "at_ms", F.col(value).alias("v"), (F.row_number().over(w) - 1).alias("i"), n.alias("n"), F.avg(value).over(a).alias("ma"), F.avg(value).over(b).alias("mb"), F.coalesce(F.var_samp(value).over(a), F.lit(0.0)).alias("va"), F.coalesce(F.var_samp(value).over(b), F.lit(0.0)).alias("vb"))
+    means = {"ma": F.avg(value).over(a), "mb": F.avg(value).over(b), "va": F.coalesce(F.var_samp(value).over(a), F.lit(0.0)), "vb": F.coalesce(F.var_samp(value).over(b), F.lit(0.0))}
+    s = spread(points, window, [value]).withColumns(means).where("own")
     se = F.sqrt(F.col("va") / window + F.col("vb") / window)
     z = F.when(se > 1e-9, F.abs(F.col("mb") - F.col("ma")) / se).otherwise(0.0)
     return s.where((F.col("n") >= 2 * window) & (F.col("i") >= window) & (F.col("i") <= F.col("n") - window)).select("series", F.col("i").cast("long").alias("i"), "at_ms", F.col("ma").alias("before"), F.col("mb").alias("after"), z.alias("z"))

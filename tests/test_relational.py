@@ -284,3 +284,14 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     (root / "c.jsonl").write_text(say("one") + say("two"))
     collect.run(spark, str(root), cache, offsets)
     assert see()[0] == [("a.jsonl", 1, 0), ("b.jsonl", 0, 2), ("c.jsonl", 2, 0)]
+
+
+def test_windows_over_a_series_that_is_cut(spark, monkeypatch):
+    """Pieces with halos give what one window gives."""
+    from quarry.operators import insights
+
+    df = spark.range(700).selectExpr("'a' as series", "(id * 37) % 701 as at_ms", "concat('s', id) as session_id", "cast((id * 7919) % 101 as double) as v").union(spark.range(60).selectExpr("'b'", "id", "concat('t', id)", "cast(id % 7 as double)"))
+    see = lambda: (sorted(map(tuple, insights.trailing_median(df, "v").collect())), sorted((r.series, r.i, round(r.z, 9)) for r in insights.change_scores(df, "v").collect()))
+    whole = see()
+    monkeypatch.setattr(insights, "LARGE", 40)
+    assert see() == whole and len(whole[0]) == 760 and len(whole[1]) > 600
