@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ("catalogue", "transcripts", "search", "evidence", "lists", "logs", "collection", "rules")
+MODULES = ("catalogue", "transcripts", "search", "evidence", "lists", "logs", "collection", "rules", "selections")
 
 
 def query(sql: str | None = None):
