@@ -110,3 +110,14 @@ def transcript_text(blocks: DataFrame) -> DataFrame:
     line = line.when(told, F.concat(F.lit("TOOL_RESULT("), "tool_use_id", F.lit("): "), F.substring(F.coalesce("content", F.lit("")), 1, RESULT_CHARS)))
     listed = F.array_sort(F.collect_list(F.struct("seq", line.alias("line"))))
     return blocks.where(line.isNotNull()).groupBy("run_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("text"))
+
+
+def scanned(sessions: DataFrame, limit: int) -> DataFrame:
+    """For each source its totals over all sessions, how many of them a list of at most limit shows, and whether that cuts any off."""
+    g = sessions.groupBy("source").agg(F.count("*").alias("sessions"), F.sum("tool_calls").alias("tool_calls"), F.max("last_event_at").alias("last_event_at"))
+    return g.withColumns({"shown": F.least(F.col("sessions"), F.lit(limit).cast("long")), "truncated": F.col("sessions") > limit})
+
+
+def runs_of_status(runs: DataFrame, status: str, most: int = 100) -> DataFrame:
+    """The latest runs (run_id, created_at, status) of a status."""
+    return ranked(runs.where(F.col("status") == status), F.desc("created_at"), F.col("run_id"), most=most)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions import messages
 from quarry.operators import insights, selection
 from quarry.plans.registry import query
-from quarry.plans.views import SESS, sess, table
+from quarry.plans.views import SESS, millis, sess, table
+from quarry.sources import fold
+from quarry.streaming import events
 
 #: How names are ordered, for the other engine: letters, then accents, then small letters first.
 _PEOPLE = "lower(strip_accents({0})), lower({0}), {0} DESC"
@@ -104,3 +107,37 @@ def transcripts_as_text(spark, sf):
     kind = F.when(F.col("role") == "user", "tool_result").when(turn % 4 == 1, "text").otherwise("tool_use")
     b = c.select(F.col("conv_id").alias("run_id"), turn.alias("seq"), "role", kind.alias("type"), "text", F.concat(F.lit("t"), turn.cast("string")).alias("name"), F.col("text").alias("input"), F.concat(F.lit("c"), turn.cast("string")).alias("tool_use_id"), F.concat("text", "text", "text").alias("content"))
     return selection.transcript_text(b).select("run_id", F.md5("text").alias("digest"))
+
+
+@query(f"""WITH s AS ({SESS}) SELECT source, count(*) AS sessions, CAST(sum(tool_calls) AS BIGINT) AS tool_calls, max(last_event_at) AS last_event_at, least(count(*), 90) AS shown, count(*) > 90 AS truncated FROM s GROUP BY source""")
+def scan_of_all_sources(spark, sf):
+    return selection.scanned(sess(spark, sf), 90)
+
+
+@query("""WITH r AS (SELECT o_custkey % 300 AS run_id, max(o_orderdate) AS created_at, CASE WHEN o_custkey % 300 % 3 = 0 THEN 'running' ELSE 'completed' END AS status FROM orders GROUP BY ALL)
+SELECT run_id, row_number() OVER (ORDER BY created_at DESC, run_id) AS rank FROM r WHERE status = 'running' QUALIFY rank <= 20""")
+def latest_running_runs(spark, sf):
+    k = F.col("o_custkey") % 300
+    r = table(spark, sf, "orders").groupBy(k.alias("run_id")).agg(F.max("o_orderdate").alias("created_at")).withColumn("status", F.when(F.col("run_id") % 3 == 0, "running").otherwise("completed"))
+    return selection.runs_of_status(r, "running", 20).select("run_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH r AS (SELECT user_id, epoch_us(min(ts)) // 1000 AS a, CASE WHEN user_id % 3 <> 0 THEN epoch_us(max(ts)) // 1000 END AS z FROM events GROUP BY user_id), n AS (SELECT (SELECT epoch_us(max(ts)) // 1000 FROM events) AS now)
+SELECT user_id AS run_id, (least(coalesce(z, now), now) - a) // 3600000 AS beats, a + (least(coalesce(z, now), now) - a) // 3600000 * 3600000 AS last_ms FROM r, n WHERE least(coalesce(z, now), now) - a >= 3600000""")
+def heartbeats_of_runs(spark, sf):
+    e = table(spark, sf, "events")
+    now = e.select(F.max(millis("ts"))).first()[0]
+    runs = e.groupBy(F.col("user_id").alias("run_id")).agg(F.min(millis("ts")).alias("started_ms"), F.max(millis("ts")).alias("last")).withColumn("ended_ms", F.when(F.col("run_id") % 3 != 0, F.col("last")))
+    return events.heartbeats(runs, now, 3_600_000).groupBy("run_id").agg(F.count("*").alias("beats"), F.max("at_ms").alias("last_ms"))
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'user') AS users FROM conversations GROUP BY conv_id)
+SELECT conv_id, n AS lines, CASE WHEN conv_id % 5 = 1 THEN n ELSE 0 END AS malformed, CASE WHEN conv_id % 5 = 1 THEN 'malformed' WHEN users > 0 THEN 'inferred' ELSE 'missing' END AS turns_source, CASE WHEN conv_id % 5 = 1 THEN 'malformed' ELSE 'missing' END AS cost_source FROM c WHERE conv_id % 5 <> 0 OR users = 0""")
+def odd_session_files(spark, sf):
+    """Files of a judge's own sessions are no sessions; where all lines are broken every source says so."""
+    c = table(spark, sf, "conversations")
+    k = F.col("conv_id")
+    said = F.when((k % 5 == 0) & (F.col("role") == "user"), F.concat(F.lit(messages.JUDGE_STUB), "text")).otherwise(F.col("text"))
+    raw = F.to_json(F.struct(F.when(F.col("role") == "user", "user").otherwise("system").alias("type"), F.struct(said.alias("content")).alias("message")))
+    s = fold.fold(c.select(k.cast("string").alias("file"), F.col("turn").alias("line_no"), F.when(k % 5 == 1, F.concat(F.lit("{"), raw)).otherwise(raw).alias("raw")))
+    return s.select(F.col("file").cast("long").alias("conv_id"), "lines", "malformed", "turns_source", "cost_source")

@@ -66,6 +66,15 @@ def stream_until_end(events: DataFrame) -> DataFrame:
     return flat.groupBy("run_id").applyInPandasWithState(step, SCHEMA, "last long, ended boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def heartbeats(runs: DataFrame, now_ms: int, every_ms: int = 60_000) -> DataFrame:
+    """run_id, type, at_ms: the heartbeats of runs (run_id, started_ms, ended_ms, null: still running) up to now, one each every_ms.
+
+    They prove that a run lives while nothing else happens; a run that is over has none."""
+    until = F.least(F.coalesce("ended_ms", F.lit(now_ms)), F.lit(now_ms))
+    first = F.col("started_ms") + every_ms
+    return runs.where(first <= until).select("run_id", F.lit("heartbeat").alias("type"), F.explode(F.sequence(first, until, F.lit(every_ms).cast("long"))).alias("at_ms"))
+
+
 def silent(runs: DataFrame, events: DataFrame, now_ms: int, after_ms: int = SILENT_MS) -> DataFrame:
     """runs (run_id, status, started_ms) that are running and had no event, heartbeats included, for a time: they count as aborted."""
     last = events.groupBy("run_id").agg(F.max("at_ms").alias("last_ms"))
