@@ -38,3 +38,11 @@ def test_durations_with_errors_hold_no_table_of_groups(spark):
     best = {f: sorted((k for k in want if k[0] == f), key=lambda k: (-want[k][0], k[1] is not None, k[1] or ""))[:2] for f in range(6)}
     assert got == {k: want[k] for ks in best.values() for k in ks}
     assert "HashAggregate" not in executed(df)
+
+
+def test_durations_of_one_sort(spark):
+    rows, want = durations(random.Random(12), False)
+    df = evaluation.tool_durations(spark.createDataFrame([r[:3] for r in rows], "file int, tool string, duration double"))
+    plan = executed(df)
+    assert {(r.file, r.tool): (r.n, r.p50, r.p95, r.longest) for r in df.collect()} == want
+    assert "HashAggregate" not in plan and plan.count("Sort [") == plan.count("Exchange") == 1
