@@ -108,19 +108,40 @@ def phrase(index: DataFrame, words: list[str]) -> DataFrame:
     return occurrences(index, [[(w, False) for w in words]]).select("doc", F.col("tf").alias("times"))
 
 
+#: Words are parted by these characters; what else is neither letter nor digit does not count in a word.
+_SPACE, _MARK = r"[\x20\x09-\x0D]", r"[^\p{L}\p{N}\x20\x09-\x0D]*+"
+
+
+def _first(slots: list[tuple[str, bool]]) -> str:
+    """The pattern of a word that fits, with the space before it, in a text in lower case."""
+    each = ("".join(_MARK + c for c in t) + ("" if p else _MARK + rf"(?:{_SPACE}|\z)") for t, p in slots)
+    return rf"(?:\A|{_SPACE})(?:{'|'.join(each)})"
+
+
+def fits(text: Column, query: str) -> Column:
+    """Whether any word of the text fits the query: one search that ends with the first."""
+    slots = [x for part in parse(query) for x in part]
+    return F.lower(text).rlike(_first(slots)) if slots else F.lit(False)
+
+
 def snippet(text: Column, query: str, most: int = 14, before: int = 5) -> Column:
-    """The words around the first that fits the query, those that fit marked; null without one."""
+    """The words around the first that fits the query, those that fit marked; null without one.
+
+    The first is found by one search in the text, and only the words around it are looked at one by one."""
     slots = [x for part in parse(query) for x in part]
+    if not slots:
+        return F.lit(None).cast("string")
 
-    def fits(w: Column) -> Column:
+    def marked(w: Column) -> Column:
         bare = F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")
         out = F.lit(False)
         for t, p in slots:
             out = out | (bare.startswith(t) if p else bare == t)
-        return out
-
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    at = F.array_position(F.transform(words, fits), True)
-    start = F.greatest(F.lit(1), at - before).cast("int")
-    shown = F.transform(F.slice(words, start, most), lambda w: F.when(fits(w), F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w))
-    return F.when(at > 0, F.concat(F.when(start > 1, "… ").otherwise(""), F.array_join(shown, " ")))
+        return F.when(out, F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w)
+
+    parted = F.split(F.lower(text), _first(slots), 2)
+    at = F.size(F.filter(F.split(F.get(parted, F.lit(0)), _SPACE + "+"), lambda w: w != "")) + 1
+    start = F.greatest(F.lit(1), at - before)
+    words = F.split(F.ltrim(text, F.lit(" \t\n\x0b\f\r")), F.lit(_SPACE + "+"), start + most)  # the last piece is the rest
+    shown = F.transform(F.filter(F.slice(words, start, most), lambda w: w != ""), marked)
+    return F.when(F.size(parted) == 2, F.concat(F.when(start > 1, "… ").otherwise(""), F.array_join(shown, " ")))

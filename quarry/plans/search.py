@@ -64,8 +64,8 @@ def fts_replaced_documents(spark, sf):
 h AS (SELECT *, list_transform(w, lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g') = 'the' OR starts_with(regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g'), 'and')) AS hit FROM w), a AS (SELECT *, list_position(hit, true) AS f FROM h)
 SELECT doc_id, CASE WHEN f - 5 > 1 THEN '… ' ELSE '' END || array_to_string([CASE WHEN hit[i] THEN '«' || w[i] || '»' ELSE w[i] END FOR i IN range(greatest(1, f - 5), least(len(w), greatest(1, f - 5) + 13) + 1)], ' ') AS snippet FROM a WHERE f > 0""")
 def fts_snippets(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", search.snippet(F.col("text"), "the and*").alias("snippet"))
-    return d.where("snippet is not null")
+    found = table(spark, sf, "documents").where(search.fits(F.col("text"), "the and*"))
+    return found.select("doc_id", search.snippet(F.col("text"), "the and*").alias("snippet"))
 
 
 _FILES = "SELECT o_orderkey AS file, (epoch_us(o_orderdate) // 1000) AS mtime, CAST(o_totalprice AS BIGINT) AS size, 18 AS version FROM orders"

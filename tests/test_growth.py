@@ -46,3 +46,30 @@ def test_durations_of_one_sort(spark):
     plan = executed(df)
     assert {(r.file, r.tool): (r.n, r.p50, r.p95, r.longest) for r in df.collect()} == want
     assert "HashAggregate" not in plan and plan.count("Sort [") == plan.count("Exchange") == 1
+
+
+def test_snippet_by_a_loop_over_words(spark):
+    rng = random.Random(13)
+    pieces = ["the", "The", "t-h.e", "«the»", "thé", "then", "and", "AND", "Androids", "--and--", "İ", "the ", "\u0085the", "😀the", "-", "…", "band", "x", "ΣΑΣ", "1"]
+    texts = ["".join(rng.choice(pieces if rng.random() < 0.2 else ["w", "-", "é"]) + rng.choice([" ", "  ", "\n", "\t\x0b", "\r\n"]) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    texts += ["", " ", "the", " the", "the ", "\nthe\n", *("a " * n + "and" + " b" * 20 for n in range(12))]
+
+    def loop(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+        bare = ["".join(c for c in w.lower() if unicodedata.category(c)[0] in "LN") for w in words]
+        hit = [b == "the" or b.startswith("and") for b in bare]
+        if True not in hit:
+            return None
+        start = max(0, hit.index(True) - 5)
+        return ("… " if start else "") + " ".join(f"«{w}»" if h else w for w, h in zip(words[start : start + 14], hit[start : start + 14], strict=True))
+
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "i int, text string")
+    got = df.select("i", search.snippet(F.col("text"), "the and*").alias("s"), search.fits(F.col("text"), "the and*").alias("f")).collect()
+    want = [*map(loop, texts), None]
+    assert {r.i: r.s for r in got} == dict(enumerate(want)) and all(bool(r.f) == (r.s is not None) for r in got)
+    assert df.select(search.snippet(F.col("text"), "-").alias("s")).where("s is not null").count() == 0
+
+
+def test_snippets_are_made_once(spark):
+    plan = QUERIES["fts_snippets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform" not in plan.split("Filter")[1]
