@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import messages
 
 FIELDS = ("input", "cached", "output")
+CALLS, OUTPUTS = ("function_call", "custom_tool_call", "local_shell_call"), ("function_call_output", "custom_tool_call_output")
 _NAMES = {"input": "input_tokens", "cached": "cached_input_tokens", "output": "output_tokens"}
 
 
@@ -16,10 +17,13 @@ def _get(path: str, kind: str = "string") -> Column:
 
 
 def records(lines: DataFrame) -> DataFrame:
-    """lines (file, line_no, raw) -> v, at_ms, type, kind (of the payload), call_id and the model in force."""
+    """lines (file, line_no, raw) -> v, at_ms, type, kind (of the payload), call_id, name, is_error (of outputs) and the model in force.
+
+    What a query does not use of these is not read; the fields are taken before rows are dealt out, so v stays behind unless it is used."""
     v = lines.where(F.col("raw").rlike(r"\S")).withColumn("v", messages.strict_json(F.col("raw")))
     at = messages.timestamp_ms(_get("timestamp"), _get("timestamp", "double"))
-    out = v.select("file", "line_no", "v", at.alias("at_ms"), _get("type").alias("type"), _get("payload.type").alias("kind"), _get("payload.call_id").alias("call_id"), messages.model_or_null(_get("payload.model")).alias("said_model"))
+    out = v.select("file", "line_no", "v", at.alias("at_ms"), _get("type").alias("type"), _get("payload.type").alias("kind"), _get("payload.call_id").alias("call_id"), _get("payload.name").alias("name"), messages.model_or_null(_get("payload.model")).alias("said_model"))
+    out = out.withColumn("is_error", F.when(F.col("kind").isin(*OUTPUTS), messages.is_tool_error(F.coalesce(_get("payload.output"), F.lit("")))))
     return out.withColumn("model", F.last("said_model", ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no"))).drop("said_model")
 
 
@@ -28,15 +32,14 @@ def calls(recs: DataFrame) -> DataFrame:
 
     An output belongs to the last call of its id before it, and the first output of a call counts: a call is over with it, and
     a later call of the same id takes the earlier one's place."""
-    starts = recs.where("kind in ('function_call', 'custom_tool_call', 'local_shell_call')").select("file", "call_id", "line_no", F.coalesce(_get("payload.name"), F.lit("shell")).alias("tool"), "model", "at_ms")
-    ends = recs.where("kind in ('function_call_output', 'custom_tool_call_output')").select("file", "call_id", "line_no", F.col("at_ms").alias("end_ms"), messages.is_tool_error(F.coalesce(_get("payload.output"), F.lit(""))).alias("is_error"))
-    marks = starts.select("file", "call_id", "line_no", F.col("line_no").alias("start")).unionByName(ends, allowMissingColumns=True).where("call_id is not null")
-    w = Window.partitionBy("file", "call_id").orderBy("line_no")
-    told = marks.withColumn("end_line", F.col("line_no")).withColumn("of", F.last("start", ignorenulls=True).over(w)).where("start is null and of is not null")
-    first = told.drop("line_no").groupBy("file", F.col("of").alias("line_no")).agg(F.min_by(F.struct("end_ms", "is_error"), F.col("end_line")).alias("e"))
-    out = starts.join(first, ["file", "line_no"], "left")
+    start = F.col("kind").isin(*CALLS)
+    marks = recs.where(start | F.col("kind").isin(*OUTPUTS)).select("file", "line_no", "call_id", "name", "model", "at_ms", "is_error", start.alias("start"))
+    # the next record of the id, if it is an output, is the call's first: seen from the end of the file, the last record so far
+    after = Window.partitionBy("file", "call_id").orderBy(F.desc("line_no")).rangeBetween(Window.unboundedPreceding, -1)
+    told = marks.withColumn("e", F.last(F.struct("start", F.col("at_ms").alias("end_ms"), "is_error")).over(after)).where("start")
+    told = told.withColumn("e", F.when(F.col("call_id").isNotNull() & ~F.col("e.start"), F.col("e")))
     took = F.when(F.col("e.end_ms").isNotNull() & F.col("at_ms").isNotNull(), F.greatest(F.lit(0), F.col("e.end_ms") - F.col("at_ms")))
-    return out.select("file", "line_no", "tool", "model", F.coalesce("e.is_error", F.lit(False)).alias("is_error"), took.alias("duration_ms"))
+    return told.select("file", "line_no", F.coalesce("name", F.lit("shell")).alias("tool"), "model", F.coalesce("e.is_error", F.lit(False)).alias("is_error"), took.alias("duration_ms"))
 
 
 def usage(recs: DataFrame) -> DataFrame:

@@ -73,3 +73,30 @@ def test_snippet_by_a_loop_over_words(spark):
 def test_snippets_are_made_once(spark):
     plan = QUERIES["fts_snippets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "transform" not in plan.split("Filter")[1]
+
+
+def test_calls_are_read_and_dealt_out_once(spark):
+    kinds = ["function_call", "function_call_output", "local_shell_call", "custom_tool_call_output", "message"]
+    rng = random.Random(14)
+    rows, at = [], 1_704_067_200
+    for f in "abc":
+        for i in range(200):
+            p = {"type": rng.choice(kinds), "call_id": rng.choice(["x", "y", None]), "output": rng.choice(["Exit code: 1", "Exit code: 0", None])}
+            rows.append((f, i, json.dumps({"timestamp": rng.choice([at + i, at + i, None]), "type": "response_item", "payload": p})))
+    want = {}
+    for f in "abc":
+        open_ = {}
+        for _, i, raw in (r for r in rows if r[0] == f):
+            r = json.loads(raw)
+            p, t, c = r["payload"], r["timestamp"], r["payload"]["call_id"]
+            if p["type"] in ("function_call", "local_shell_call"):
+                want[f, i] = (False, None)
+                if c:
+                    open_[c] = (i, t)
+            elif p["type"] != "message" and c in open_:
+                start, t0 = open_.pop(c)
+                want[f, start] = (p["output"] == "Exit code: 1", None if t is None or t0 is None else (t - t0) * 1000)
+    df = rollouts.calls(rollouts.records(spark.createDataFrame(rows, "file string, line_no int, raw string")))
+    plan = executed(df)
+    assert {(r.file, r.line_no): (r.is_error, r.duration_ms) for r in df.collect()} == want
+    assert plan.count("Scan ExistingRDD") == 1 and plan.count("Exchange") == 1 and "variant" not in plan.split("Exchange")[0]
