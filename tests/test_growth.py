@@ -1,5 +1,6 @@
 """Plans and results of steps that must not grow faster than their input."""
 
+import gzip
 import json
 import random
 import re
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import evaluation, search
 from quarry.plans import registry
-from quarry.sources import rollouts
+from quarry.sources import lines, rollouts
 
 QUERIES, _ = registry.load()
 
@@ -100,3 +101,25 @@ def test_calls_are_read_and_dealt_out_once(spark):
     plan = executed(df)
     assert {(r.file, r.line_no): (r.is_error, r.duration_ms) for r in df.collect()} == want
     assert plan.count("Scan ExistingRDD") == 1 and plan.count("Exchange") == 1 and "variant" not in plan.split("Exchange")[0]
+
+
+def test_small_files_are_not_stored_and_large_ones_read_alike(spark, tmp_path, monkeypatch):
+    bodies = {"a": b"", "b": b"\n", "c": b"x", "d": b"x\n\ny\r\n", "e": b"\xef\xbb\xbffirst\nsecond", "f": b"\n\n", "g": "é ü\x85z\n".encode() * 50, "h": b" \r\r\n", "i": b"\xef\xbb\xbf"}
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.jsonl").write_bytes(body)
+    (tmp_path / "j.jsonl.gz").write_bytes(gzip.compress(b"packed\nlines\n"))
+    (tmp_path / "other.txt").write_text("x")
+    see = lambda: sorted((r.file.rsplit("/", 1)[1], r.line_no, r.raw) for r in lines.numbered_lines(spark, str(tmp_path), "*.jsonl").collect())
+    want = []
+    for name, body in bodies.items():
+        kept = body.decode("utf-8-sig").split("\n")
+        want += [(f"{name}.jsonl", i, x) for i, x in enumerate(kept[:-1] if kept[-1] == "" else kept)]
+    monkeypatch.setattr(lines, "SMALL", 100)
+    assert see() == want
+    monkeypatch.setattr(lines, "SMALL", -1)
+    assert see() == want
+    monkeypatch.setattr(lines, "SMALL", 1 << 20)
+    monkeypatch.setattr(lines, "store", None)
+    assert see() == want
+    monkeypatch.undo()
+    assert [r.raw for r in lines.numbered_lines(spark, str(tmp_path), "*.gz").orderBy("line_no").collect()] == ["packed", "lines"]
