@@ -95,7 +95,9 @@ def _files(spark, sf) -> str:
     """The transcripts as files of JSON lines, one a folder, in the shared folder."""
     path = f"{application_dir(spark)}/sessions-{uuid.uuid4().hex}"
     name = F.regexp_extract("file", r"/(c\d+)\.jsonl$", 1)
-    ordered = lines(spark, sf).select(name.alias("name"), "line_no", "raw").repartition(F.col("name")).sortWithinPartitions("name", "line_no")
+    # small files cost by their number, not their bytes, by which Spark would put them into a few tasks
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    ordered = lines(spark, sf).select(name.alias("name"), "line_no", "raw").repartition(tasks, F.col("name")).sortWithinPartitions("name", "line_no")
     ordered.select("name", "raw").write.partitionBy("name").text(path)
     return path
 

@@ -123,3 +123,17 @@ def test_small_files_are_not_stored_and_large_ones_read_alike(spark, tmp_path, m
     assert see() == want
     monkeypatch.undo()
     assert [r.raw for r in lines.numbered_lines(spark, str(tmp_path), "*.gz").orderBy("line_no").collect()] == ["packed", "lines"]
+
+
+def test_folders_are_written_and_listed_by_a_few_tasks(spark, tmp_path):
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, group = spark.conf.get(name), "folders"
+    for i in range(200):
+        (tmp_path / str(i)).mkdir()
+        (tmp_path / str(i) / "a.jsonl").write_text("x\n")
+    spark.sparkContext.setJobGroup(group, group)
+    found = lines.numbered_lines(spark, str(tmp_path)).count()
+    status = spark.sparkContext.statusTracker()
+    tasks = max(status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds if status.getStageInfo(s))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == 200 and tasks <= 4 * spark.sparkContext.defaultParallelism and spark.conf.get(name) == before
