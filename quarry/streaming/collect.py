@@ -1,8 +1,8 @@
 """Incremental collection: new session files are folded in micro-batches into a stored cache, each batch exactly once.
 
-A batch writes its sessions and its failures under its own number, in place of what an earlier try of the same batch left;
-readers take the latest row of a file, and sum failures up. So a batch that was killed at any time and runs again
-changes nothing."""
+A batch writes its sessions under its own number, in place of what an earlier try of the same batch left; readers take the
+latest row of a file, and sum failures up. So a batch that was killed at any time and runs again changes nothing. A trigger
+takes up many batches, which are folded in one job: a backlog costs by its files, not by its batches."""
 
 from __future__ import annotations
 
@@ -11,44 +11,51 @@ from pyspark.sql import functions as F
 
 from quarry.operators import lists
 from quarry.sources.fold import fold
-from quarry.sources.lines import numbered_lines
+from quarry.sources.lines import listing, numbered_lines
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
-_KNOWN = "file string, mtime_ms long, size long"
+_KNOWN = "file string, mtime_ms long, size long, batch long"
+#: Most files of a trigger; its batches are numbered from its own number times this on.
+AT_ONCE = 50_000
 
 
-def batch(files: DataFrame, number: int, cache: str) -> None:
-    """Fold files (path, modificationTime, length) as the batch of this number; as many files as a batch may have."""
+def batch(files: DataFrame, number: int, cache: str, most: int = 1000) -> None:
+    """Fold files (path, modificationTime, length) of the trigger of this number, as batches of most files each."""
     spark = files.sparkSession
     listed = files.select(F.col("path").alias("file"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size")).collect()  # bounded by maxFilesPerTrigger
     if not listed:
         return
-    there = spark.createDataFrame(listed, _KNOWN)
+    there = spark.createDataFrame([(*r, number * AT_ONCE + i // most) for i, r in enumerate(sorted(listed))], _KNOWN)
     same = F.regexp_replace("file", "^file:/*", "/")
     s = fold(numbered_lines(spark, [r.file for r in listed], "*")).withColumn("path", same).withColumnRenamed("file", "read_as")
-    # a file without a session is known, too
-    out = there.withColumn("path", same).join(s, "path", "left").drop("path", "read_as")
-    out.write.mode("overwrite").parquet(f"{cache}/sessions/batch={number}")
-    broken = out.where("lines is not null and malformed = lines").select("file", F.lit(False).alias("permanent"))
-    broken.write.mode("overwrite").parquet(f"{cache}/failures/batch={number}")
+    # a file without a session is known, too; the files of a try are those of the next, so each of its batches is replaced
+    out = there.withColumn("path", same).join(s, "path", "left").drop("path", "read_as").repartition(F.col("batch"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{cache}/sessions")
 
 
 def run(spark: SparkSession, root: str, cache: str, offsets: str, pattern: str = "*.jsonl", most: int = 1000) -> None:
     """Collect what is new below root, most files a batch; goes on where the last run of these offsets was stopped."""
-    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", most).load(root)
+    together = most * max(1, AT_ONCE // most)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", together).load(root)
     named = files.select("path", "modificationTime", "length")
-    named.writeStream.foreachBatch(lambda df, i: batch(df, i, cache)).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+    with listing(spark):
+        named.writeStream.foreachBatch(lambda df, i: batch(df, i, cache, most)).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+
+
+def _rows(spark: SparkSession, cache: str) -> DataFrame:
+    with listing(spark):
+        return spark.read.parquet(f"{cache}/sessions")
 
 
 def sessions(spark: SparkSession, cache: str) -> DataFrame:
     """The latest row of each file that has a session."""
-    rows = spark.read.parquet(f"{cache}/sessions")
+    rows = _rows(spark, cache)
     fields = [c for c in rows.columns if c != "file"]
     latest = rows.groupBy("file").agg(F.max_by(F.struct(*fields), F.struct("mtime_ms", "batch")).alias("s"))
     return latest.select("file", "s.*").where("lines is not null").drop("batch")
 
 
 def failures(spark: SparkSession, cache: str) -> DataFrame:
-    """file, attempts, permanent: the ledger over all batches, without files that were read since."""
-    ok = spark.read.parquet(f"{cache}/sessions").where("lines is not null and malformed < lines").select("file")
-    return lists.ledger(spark.read.parquet(f"{cache}/failures").select("file", "permanent"), ok)
+    """file, attempts, permanent: the ledger over all batches, without files that were read since. A file of broken lines alone has failed."""
+    rows = _rows(spark, cache).where("lines is not null")
+    return lists.ledger(rows.where("malformed = lines").select("file", F.lit(False).alias("permanent")), rows.where("malformed < lines").select("file"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.operators import evaluation, search
 from quarry.plans import registry
 from quarry.sources import lines, rollouts
+from quarry.streaming import collect
 
 QUERIES, _ = registry.load()
 
@@ -137,3 +138,23 @@ def test_folders_are_written_and_listed_by_a_few_tasks(spark, tmp_path):
     tasks = max(status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds if status.getStageInfo(s))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert found == 200 and tasks <= 4 * spark.sparkContext.defaultParallelism and spark.conf.get(name) == before
+
+
+def test_a_backlog_is_one_trigger_of_many_batches(spark, tmp_path):
+    root, cache, offsets = tmp_path / "in", str(tmp_path / "cache"), tmp_path / "offsets"
+    root.mkdir()
+    for i in range(25):
+        (root / f"{i}.jsonl").write_text("{broken\n" if i % 5 == 0 else json.dumps({"type": "user", "message": {"content": "hi"}}) + "\n")
+    see = lambda: (sorted((r.file.rsplit("/", 1)[1], r.prompts, r.malformed) for r in collect.sessions(spark, cache).collect()), sorted((r.file.rsplit("/", 1)[1], r.attempts) for r in collect.failures(spark, cache).collect()))
+    collect.run(spark, str(root), cache, str(offsets), most=4)
+    once = see()
+    assert len(once[0]) == 25 and once[1] == sorted((f"{i}.jsonl", 1) for i in range(0, 25, 5))
+    assert sorted(p.name for p in (offsets / "commits").iterdir() if p.name.isdigit()) == ["0"]
+    sizes = spark.read.parquet(f"{cache}/sessions").groupBy("batch").count().collect()
+    assert sorted((r.batch, r["count"]) for r in sizes) == [(i, 4) for i in range(6)] + [(6, 1)]
+    files = spark.read.format("binaryFile").load(str(root)).select("path", "modificationTime", "length")
+    collect.batch(files, 0, cache, 4)
+    assert see() == once
+    (root / "5.jsonl").write_text(json.dumps({"type": "user", "message": {"content": "now"}}) + "\n")
+    collect.batch(spark.read.format("binaryFile").load(str(root / "5.jsonl")).select("path", "modificationTime", "length"), 1, cache, 4)
+    assert ("5.jsonl", 1, 0) in see()[0] and "5.jsonl" not in dict(see()[1])
