@@ -85,12 +85,16 @@ def step_checks(calls: DataFrame, tool: str, at_least: int) -> DataFrame:
 
 def tool_durations(calls: DataFrame, most: int | None = None) -> DataFrame:
     """Per file and tool: calls, floor-index percentiles and the longest; with is_error also errors. most: tools with most calls."""
-    # all figures are windows over one sort, of which a group's first row is kept: no table of groups is held in memory beside it
-    w = Window.partitionBy("file", "tool")
-    x = calls.withColumn("i", F.row_number().over(w.orderBy("duration")) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda p: F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * p)), F.col("duration"))).over(w)
-    errors = [F.count_if("is_error").over(w).alias("errors")] if "is_error" in calls.columns else []
-    out = x.select("file", "tool", "i", "n", at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("duration").over(w).alias("longest"), *errors).where("i = 0").drop("i")
+    # all figures are windows over one sort, without a table of groups; only the first holds a whole group, it hands on at most three of its rows
+    by = Window.partitionBy("file", "tool")
+    w = by.orderBy("duration")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    of_all = [F.count("*").over(whole).alias("n"), F.max("duration").over(whole).alias("longest"), *([F.count_if("is_error").over(whole).alias("errors")] if "is_error" in calls.columns else [])]
+    x = calls.select("file", "tool", "duration", (F.row_number().over(w) - 1).alias("i"), *of_all)
+    here = lambda p: F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * p))
+    at = lambda p: F.max(F.when(here(p), F.col("duration"))).over(by)
+    few = x.where((F.col("i") == 0) | here(0.5) | here(0.95))
+    out = few.select("file", "tool", "i", "n", at(0.5).alias("p50"), at(0.95).alias("p95"), *x.columns[5:]).where("i = 0").drop("i")
     if most is None:
         return out
     return out.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("n"), "tool"))).where(F.col("r") <= most).drop("r")

@@ -50,6 +50,13 @@ def test_durations_of_one_sort(spark):
     assert "HashAggregate" not in plan and plan.count("Sort [") == plan.count("Exchange") == 1
 
 
+def test_durations_hold_a_large_group_once(spark):
+    rows = [("f", "a", float(i * 7919 % 5003), i % 5 == 0) for i in range(5003)]
+    df = evaluation.tool_durations(spark.createDataFrame(rows, "file string, tool string, duration double, is_error boolean"))
+    assert re.findall(r"(Window|Filter|Sort|Exchange)\b", executed(df)) == ["Filter", "Window", "Filter", "Window", "Sort", "Exchange"]
+    assert [tuple(r) for r in df.collect()] == [("f", "a", 5003, 2501.0, 4752.0, 5002.0, 1001)]
+
+
 def test_snippet_by_a_loop_over_words(spark):
     rng = random.Random(13)
     pieces = ["the", "The", "t-h.e", "«the»", "thé", "then", "and", "AND", "Androids", "--and--", "İ", "the ", "\u0085the", "😀the", "-", "…", "band", "x", "ΣΑΣ", "1"]
